@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import common, mixing, packing, quality, sharding, tokencounts
+from weftwork.llm import common, mixing, neardup, packing, quality, sharding, tokencounts
 
 
 def vocabulary(name: str) -> str:
@@ -37,13 +37,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = neardup.group(common.table(spark, sf_dir, "documents"), percent=85, width=5)
+    return grouped.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = tokencounts.prefix_table(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return tables.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_sharding, op6_quality_rules, op8_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op3_packing, op4_sharding, op6_quality_rules, op8_mixing, op9_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
