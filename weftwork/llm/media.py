@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftwork.llm import common
 
@@ -203,7 +204,7 @@ def decode(images: DataFrame) -> DataFrame:
     channels, samples (row by row), tile_npy (8 x 9), dhash and problem."""
     common.ship_package(images.sparkSession)
     kept = [f for f in images.schema.fields if f.name not in {*_NAMES, "media"}]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], RESULTS])
+    schema = T.StructType([*kept, *T.StructType.fromDDL(RESULTS).fields])
     names = [f.name for f in kept]
     return images.select(*[F.col(f"`{n}`") for n in names], F.col("media").cast("binary").alias("media")).mapInArrow(_decode(names), schema)
 

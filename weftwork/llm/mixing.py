@@ -68,8 +68,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def take(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken, for every document.
+def take(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken, for every document, and ``keep``.
 
     Documents are read once, into a slim table; histograms have a row for each
     source and bucket and are summed on the map side, so a source with a third of
@@ -77,7 +77,7 @@ def take(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: floa
     """
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     slim = common.materialize(
-        documents.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), common.word_count(text).alias("size"), identity_hash(doc_id, text).alias("h")), "mixing"
+        documents.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), common.word_count(text).alias("size"), identity_hash(doc_id, text).alias("h"), *keep), "mixing"
     )
     targets = common.materialize(source_targets(slim, weights, share, most), "mixing-targets")
     # Copies that every document gets, and the words still to be found by threshold.
@@ -116,4 +116,5 @@ def take(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: floa
         F.col("t_target").alias("target"),
         taken.cast("long").alias("copies"),
         (taken * F.col("size")).cast("long").alias("taken"),
+        *keep,
     )

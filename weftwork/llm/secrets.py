@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftwork.llm import common
 
@@ -197,7 +198,7 @@ def scan(documents: DataFrame, pair: MarkovPair, keep: tuple[str, ...] = ("doc_i
     common.ship_package(documents.sparkSession)
     fields = [documents.schema[c] for c in keep if c != "spans"]
     names = [f.name for f in fields]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], SPANS])
+    schema = T.StructType([*fields, *T.StructType.fromDDL(SPANS).fields])
     text = [] if "text" in names else [F.col("text").cast("string").alias("text")]
     return documents.select(*names, *text).mapInArrow(_scan(names, pair), schema)
 
