@@ -40,7 +40,7 @@ class WordTokenizer:
     the joined result by the tokens that end a word.
     """
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,7 +50,7 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> None:
-        plain = [w for w in words if _LETTERS.match(w)]
+        plain = [w for w in words if w.isalpha() and _LETTERS.match(w)]
         if plain:
             ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
@@ -68,27 +68,39 @@ class WordTokenizer:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.most_words:
             self.known = {"": b""}
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+        split = [_lowered(text).replace("\n", " ").split(" ") for text in texts]
         new: set[str] = set()
         for words in split:
             new.update(words)
         new.difference_update(self.known)
         marked, single = {}, set()
         for word in new:
-            if m := _MARKED.match(word):
+            if not word.isalpha() and (m := _MARKED.match(word)):
                 marked[word] = m.groups()
                 single.update(m.groups())
             else:
                 single.add(word)
         single.difference_update(self.known)
         if single:
-            self._encode(sorted(single))
+            self._encode(list(single))
+        known = self.known
         for word, (core, tail) in marked.items():
-            self.known[word] = self.known[core] + self.known[tail]
-        look = self.known.__getitem__
+            known[word] = known[core] + known[tail]
+        look = known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
 
+def _lowered(text: str) -> str:
+    """Lower case where that is surely what the vocabulary does: in Latin-1 texts
+    that hold no opening of a special token."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text if "<|" in text else text.lower()
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
