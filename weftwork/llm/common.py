@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftwork.session import ship_package as ship_package
+
 #: Fixed value: the white space that separates words (space, tab, LF, VT, FF, CR).
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Fixed value: a run of anything else is a word.
@@ -50,23 +50,6 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_weftwork_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="weftwork-ship-"), "weftwork_ship.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(target)
-    sc._weftwork_shipped = True
-
-
 def words_of(text: Column) -> Column:
     """The words of ``text`` as an array; empty for null, empty or blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
