@@ -15,7 +15,9 @@ set's size, a signature (equal for equal sets) and a sketch of minwise tokens.
    A pair is skipped only when its two sides are already connected by confirmed links.
 4. Components of the confirmed links, by alternating large-star and small-star steps.
 
-Nodes that have the same members in several trees are compared once.  All steps are joins
+The first trees are finished, up to components, before the others begin; those drop nodes whose
+members are connected already and compare only what isn't.  So a large group costs a
+forest per early tree, not one in every node of all trees.  Nodes that have the same members in several trees are compared once.  All steps are joins
 and aggregations keyed by node or class; nothing is gathered on the driver.
 
 Defined results: texts with fewer words than a shingle are one shingle, the whole
@@ -33,11 +35,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftwork.llm import common
 
 TOKENS = 128
 TREES = 12
+FIRST_TREES = 3
 _SEEDS = np.random.default_rng(20240917).integers(1, 1 << 63, (2, TOKENS), dtype=np.uint64)
 _FACTOR, _SHIFT = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -133,17 +137,40 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, TOKENS)
 
 
-def _alike(sketches: np.ndarray, sizes: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i < j) of rows that agree in ``least`` tokens or more, and in how many."""
+def _agreement(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """In how many tokens each of the rows agrees with each of the others."""
+    if len(rows) * len(others) <= 1024:
+        return (rows[:, None, :] == others[None, :, :]).sum(axis=2)
+    out = np.zeros((len(rows), len(others)), np.uint8)
+    for own, their in zip(np.ascontiguousarray(rows.T), np.ascontiguousarray(others.T)):
+        out += own[:, None] == their[None, :]
+    return out
+
+
+def _alike(sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i < j) of rows of unlike labels that agree in ``least`` tokens or more, and in how many.
+
+    Rows of the most frequent label are compared with the others only, in blocks.
+    """
+    kinds, counts = np.unique(labels, return_counts=True)
+    common_label = kinds[counts.argmax()]
+    rest = np.flatnonzero(labels != common_label) if counts.max() > 1 else np.arange(len(labels))
+    every = np.arange(len(labels))
+    # A pair of two rest rows is met once, by its earlier row.
+    rank = np.full(len(labels), -1)
+    rank[rest] = np.arange(len(rest))
     left, right, agree = [], [], []
-    for i in range(len(sketches) - 1):
-        same = (sketches[i + 1 :] == sketches[i]).sum(axis=1)
-        other = sizes[i + 1 :]
-        near = np.flatnonzero((same >= least) & (100 * np.minimum(other, sizes[i]) >= percent * np.maximum(other, sizes[i])))
-        if len(near):
-            left.append(np.full(len(near), i))
-            right.append(near + i + 1)
-            agree.append(same[near])
+    for at in range(0, len(rest), 64):
+        block = rest[at : at + 64]
+        others = every[(rank < 0) | (rank >= at)]
+        same = _agreement(sketches[block], sketches[others])
+        big, small = np.maximum(sizes[block][:, None], sizes[others][None, :]), np.minimum(sizes[block][:, None], sizes[others][None, :])
+        near = (same >= least) & (100 * small >= percent * big) & (labels[block][:, None] != labels[others][None, :])
+        near &= (rank[others][None, :] < 0) | (rank[others][None, :] > rank[block][:, None])
+        i, j = np.nonzero(near)
+        left.append(np.minimum(block[i], others[j]))
+        right.append(np.maximum(block[i], others[j]))
+        agree.append(same[i, j].astype(np.int64))
     if not left:
         none = np.empty(0, np.int64)
         return none, none, none
@@ -172,19 +199,19 @@ def _clusters(least: int, percent: int):
     """Node members to (cluster, member): what agrees by sketch, transitively."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clusters, members = [], []
+        clusters, members, marks = [], [], []
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(clusters, pa.int64()), pa.array(members, pa.int64())], names=["cluster", "row_id"])
-            clusters.clear()
-            members.clear()
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (clusters, members, marks)], names=["cluster", "row_id", "label"])
+            for x in (clusters, members, marks):
+                x.clear()
             return batch
 
         for group in _groups(batches):
             if group.num_rows < 2:
                 continue
-            ids = group.column("row_id").to_numpy()
-            left, right, _ = _alike(_matrix(group.column("sketch")), group.column("n_shingles").to_numpy(), least, percent)
+            ids, labels = group.column("row_id").to_numpy(), group.column("label").to_numpy()
+            left, right, _ = _alike(_matrix(group.column("sketch")), group.column("n_shingles").to_numpy(), labels, least, percent)
             if not len(left):
                 continue
             forest = _Forest(len(ids))
@@ -194,6 +221,7 @@ def _clusters(least: int, percent: int):
             for i in sorted({*left.tolist(), *right.tolist()}):
                 clusters.append(xxhash.xxh3_64_intdigest(f"{node} {ids[forest.root(i)]}") - (1 << 63))
                 members.append(int(ids[i]))
+                marks.append(int(labels[i]))
             if len(members) > 50_000:
                 yield out()
         yield out()
@@ -209,11 +237,14 @@ def _links(width: int, least: int, percent: int):
         for group in _groups(batches):
             if group.num_rows < 2:
                 continue
-            ids = group.column("row_id").to_numpy()
+            ids, labels = group.column("row_id").to_numpy(), group.column("label").to_numpy()
             sets = [shingle_set(text, width) for text in common.utf8_column(group.column("text"))]
-            left, right, agree = _alike(_matrix(group.column("sketch")), np.array([*map(len, sets)]), least, percent)
+            left, right, agree = _alike(_matrix(group.column("sketch")), np.array([*map(len, sets)]), labels, least, percent)
             order = np.argsort(-agree, kind="stable")
             forest = _Forest(len(ids))
+            seen: dict[int, int] = {}
+            for i, label in enumerate(labels.tolist()):
+                forest.join(i, seen.setdefault(label, i))
             for i, j in zip(left[order].tolist(), right[order].tolist()):
                 if forest.root(i) != forest.root(j) and jaccard_at_least(sets[i], sets[j], percent):
                     forest.join(i, j)
@@ -237,7 +268,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = common.materialize(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
@@ -258,12 +289,47 @@ def _unlike(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("n", "mark").agg(F.min("node").alias("node")).select("node", "n")
 
 
+def _leaves(labelled: DataFrame, trees: range, node_limit: int, second_branch: int, depth: int) -> DataFrame:
+    """(node, row_id) of all nodes to be compared, over the given trees.
+
+    Nodes whose members all have one label are finished; of nodes with the same members one is kept.
+    """
+    level = labelled.select("row_id", "label", F.explode(F.slice("roots", trees.start + 1, len(trees))).alias("node"))
+    leaves: list[DataFrame] = []
+    for at in range(depth + 1):
+        sums = [F.count(F.lit(1)).alias("n"), _member_mark().alias("mark"), F.min("label").alias("low"), F.max("label").alias("high")]
+        nodes = common.materialize(_unlike(level.groupBy("node").agg(*sums).where("low < high")), "nodes")
+        leaves.append(common.materialize(level.select("node", "row_id").join(nodes.where(F.col("n") <= node_limit), "node").select("node", "row_id"), "leaves"))
+        big = nodes.where(F.col("n") > node_limit)
+        if big.isEmpty():
+            break
+        inside = level.join(big, "node")
+        if "sketch" not in level.columns:
+            inside = inside.join(labelled.select("row_id", "sketch"), "row_id")
+        if at == depth:
+            # Blocks of half the limit, each with each: every pair of the node meets once or more.
+            blocks = F.ceil(F.col("n") / F.lit(node_limit // 2)).cast("int")
+            own = F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")
+            paired = inside.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            leaves.append(paired.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "row_id"))
+            break
+        branches = F.when(F.pmod(F.xxhash64("node", F.lit("branches")), F.lit(100)) < second_branch, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        coordinate = F.pmod(F.xxhash64("node", "branch"), F.lit(TOKENS)).cast("int")
+        token = F.substring(F.col("sketch"), coordinate * 2 + 1, F.lit(2))
+        level = inside.select("row_id", "label", "sketch", "node", F.explode(branches).alias("branch"))
+        level = common.materialize(level.select("row_id", "label", "sketch", F.xxhash64("node", "branch", coordinate, token).alias("node")), "level")
+    members = leaves[0]
+    for more in leaves[1:]:
+        members = members.union(more)
+    return members
+
+
 def group(
     documents: DataFrame,
     percent: int = 80,
     width: int = 5,
     keep: tuple[str, ...] = (),
-    node_limit: int = 512,
+    node_limit: int = 4096,
     second_branch: int = 60,
     depth: int = 8,
 ) -> DataFrame:
@@ -276,7 +342,7 @@ def group(
     common.ship_package(spark)
     names = ["doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")]]
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *names[2:])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields) + ", " + SKETCH
+    schema = T.StructType([*slim.schema.fields, *T.StructType.fromDDL(SKETCH).fields])
     sketched = common.materialize(slim.mapInArrow(_sketches(width, names), schema).withColumn("row_id", F.monotonically_increasing_id()), "sketches")
     # Four standard deviations of the estimate below the threshold.
     share = percent / 100
@@ -289,41 +355,22 @@ def group(
     reps = sketched.select("row_id", "n_shingles", "roots", "sketch").join(classes.select(F.col("class_row").alias("row_id")), "row_id")
     reps = common.materialize(reps, "representatives")
 
-    # Trees: rows (node, row_id) of the present level; counts name the nodes to compare.
-    level = reps.select("row_id", F.explode("roots").alias("node"))
-    leaves: list[DataFrame] = []
-    for at in range(depth + 1):
-        counts = common.materialize(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), _member_mark().alias("mark")).where("n > 1"), "nodes")
-        leaves.append(common.materialize(level.select("node", "row_id").join(_unlike(counts.where(F.col("n") <= node_limit)), "node").select("node", "row_id"), "leaves"))
-        big = _unlike(counts.where(F.col("n") > node_limit))
-        if big.isEmpty():
-            break
-        inside = level.join(big, "node")
-        if "sketch" not in level.columns:
-            inside = inside.join(reps.select("row_id", "sketch"), "row_id")
-        if at == depth:
-            # Blocks of half the limit, each with each: every pair of the node meets once or more.
-            blocks = F.ceil(F.col("n") / F.lit(node_limit // 2)).cast("int")
-            own = F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")
-            paired = inside.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            leaves.append(paired.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "row_id"))
-            break
-        branches = F.when(F.pmod(F.xxhash64("node", F.lit("branches")), F.lit(100)) < second_branch, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        coordinate = F.pmod(F.xxhash64("node", "branch"), F.lit(TOKENS)).cast("int")
-        token = F.substring(F.col("sketch"), coordinate * 2 + 1, F.lit(2))
-        level = inside.select("row_id", "sketch", "node", F.explode(branches).alias("branch"))
-        level = common.materialize(level.select("row_id", "sketch", F.xxhash64("node", "branch", coordinate, token).alias("node")), "level")
-    members = leaves[0]
-    for more in leaves[1:]:
-        members = members.union(more)
-
-    sketches = members.join(reps.select("row_id", "n_shingles", "sketch"), "row_id").select("node", "row_id", "n_shingles", "sketch")
-    clusters = common.materialize(sketches.repartition("node").sortWithinPartitions("node").mapInArrow(_clusters(least, percent), "cluster long, row_id long").distinct(), "clusters")
-    marks = clusters.groupBy(F.col("cluster").alias("node")).agg(F.count(F.lit(1)).alias("n"), _member_mark().alias("mark"))
-    wanted = clusters.join(_unlike(marks).select(F.col("node").alias("cluster")), "cluster")
-    texts = wanted.join(sketched.select("row_id", "sketch", "text"), "row_id").select("cluster", "row_id", "sketch", "text")
-    links = texts.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_links(width, least, percent), "a long, b long")
-    rooted = components(links)
+    links, rooted = None, None
+    for trees in (range(0, FIRST_TREES), range(FIRST_TREES, TREES)):
+        labelled = reps.withColumn("label", F.col("row_id"))
+        if rooted is not None:
+            labelled = common.materialize(reps.join(rooted.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("label", F.coalesce("root", "row_id")).drop("root"), "labelled")
+        members = _leaves(labelled, trees, node_limit, second_branch, depth)
+        sketches = members.join(labelled.select("row_id", "label", "n_shingles", "sketch"), "row_id").select("node", "row_id", "label", "n_shingles", "sketch")
+        ready = sketches.repartition("node").sortWithinPartitions("node")
+        clusters = common.materialize(ready.mapInArrow(_clusters(least, percent), "cluster long, row_id long, label long").distinct(), "clusters")
+        marks = clusters.groupBy(F.col("cluster").alias("node")).agg(F.count(F.lit(1)).alias("n"), _member_mark().alias("mark"))
+        wanted = clusters.join(_unlike(marks).select(F.col("node").alias("cluster")), "cluster")
+        texts = wanted.join(sketched.select("row_id", "sketch", "text"), "row_id").select("cluster", "row_id", "label", "sketch", "text")
+        found = texts.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_links(width, least, percent), "a long, b long")
+        found = common.materialize(found, "confirmed")
+        links = found if links is None else links.union(found)
+        rooted = components(links)
 
     # The first row of each component, for the classes that have company.
     linked = classes.join(rooted, classes["class_row"] == rooted["node"])
@@ -338,3 +385,20 @@ def group(
         F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
         F.coalesce(F.col("head.row_id") == F.col("row_id"), F.lit(True)).alias("kept_row"),
     )
+
+
+def group_sql(percent: int, width: int = 5) -> str:
+    """DuckDB SQL for doc_id, n_shingles, component_id and kept over ``documents``, by counting
+    the shingles that any two documents share; for small tables."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{common.WORD_PATTERN}') AS ws FROM documents),
+        g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + {width - 1}), ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {width - 2}, 2))) AS i FROM w WHERE len(ws) > 0)),
+        s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common_n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM x JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * common_n >= {percent} * (p.n + q.n - common_n)),
+        y AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        c AS (SELECT doc_id AS a, doc_id AS root FROM documents UNION SELECT y.b, c.root FROM c JOIN y ON y.a = c.a),
+        m AS (SELECT a, min(root) AS root FROM c GROUP BY a)
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, m.root AS component_id, d.doc_id IS NOT DISTINCT FROM m.root AS kept
+        FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id"""
