@@ -72,6 +72,9 @@ def with_statistics(documents: DataFrame) -> DataFrame:
             "n_upper": _squeezed_length(t, r"[^A-Z]+"),
             "n_digits": _squeezed_length(t, r"[^0-9]+"),
             "n_marks": _squeezed_length(t, r"[^!?]+"),
+            "n_letters": _squeezed_length(t, r"\P{L}+"),
+            "n_symbol_runs": _squeezed_length(F.regexp_replace(F.regexp_replace(t, r"[^#*$%&|<>]+", " "), r"[^ ]+", "x"), " "),
+            "n_distinct_words": F.size(F.array_distinct("_words")).cast("long"),
         }
     ).drop("_text", "_words", "_lines", "_grams", "_sorted", "_starts")
 
@@ -86,12 +89,16 @@ class Rule:
 
 
 #: The rules of the production query.  Integer arithmetic only, so that no rounding
-#: decides a vote.
+#: decides a vote.  Kinds of junk are each seen by two rules or more: one vote alone, which
+#: clean documents also get at times, seldom outweighs the others.
 RULES = (
-    Rule("length", "n_words >= 40", "n_words < 15"),
-    Rule("symbols", "100 * n_symbols <= word_chars", "10 * n_symbols > word_chars"),
+    Rule("length", "n_words >= 50", "n_words < 10"),
+    Rule("symbols", "100 * n_symbols <= word_chars", "20 * n_symbols > word_chars"),
+    Rule("symbol_runs", "50 * n_symbol_runs <= n_words", "5 * n_symbol_runs > n_words"),
+    Rule("letters", "100 * n_letters >= 92 * word_chars", "100 * n_letters < 85 * word_chars"),
     Rule("repeats", "100 * n_repeat_words <= 5 * n_words", "100 * n_repeat_words > 20 * n_words"),
     Rule("lines", "n_lines >= 2 AND n_dup_lines = 0", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("distinct", "2 * n_distinct_words >= n_words", "3 * n_distinct_words < n_words"),
     Rule("word_length", "word_chars >= 3 * n_words AND word_chars <= 9 * n_words", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
     Rule("capitals", "10 * n_upper <= 2 * word_chars", "10 * n_upper > 4 * word_chars"),
     Rule("marks", "20 * n_marks <= n_words", "4 * n_marks > n_words"),
@@ -100,8 +107,9 @@ RULES = (
 
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 ROUNDS = 12
-#: Counts added to every vote, so that no rule is held for certain.
-SMOOTHING = 1.0
+#: What is held of a rule before any document is seen: the share of bad votes on good and on bad
+#: documents, with the weight of this share of the documents of each kind.
+BAD_ON_GOOD, BAD_ON_BAD, WEIGHT = 0.02, 0.57, 0.2
 
 
 def votes_sql(rules: tuple[Rule, ...] = RULES) -> dict[str, str]:
@@ -141,13 +149,15 @@ def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS)
         row = patterns.withColumn("p", p).agg(*sums).first()
         if row["good"] is None:
             return model
-        s = SMOOTHING
         up, down = [], []
+        good, bad = row["good"], row["bad"]
         for c in names:
             g1, g0, b1, b0 = (row[f"{c}_{v}_{k}"] for k in ("good", "bad") for v in (GOOD, BAD))
-            up.append(math.log((g1 + s) / (g1 + g0 + 2 * s)) - math.log((b1 + s) / (b1 + b0 + 2 * s)))
-            down.append(math.log((g0 + s) / (g1 + g0 + 2 * s)) - math.log((b0 + s) / (b1 + b0 + 2 * s)))
-        model = Model(math.log((row["good"] + s) / (row["bad"] + s)), tuple(up), tuple(down))
+            on_good = (g0 + 1.0 + WEIGHT * good * BAD_ON_GOOD) / (g1 + g0 + 2.0 + WEIGHT * good)
+            on_bad = (b0 + 1.0 + WEIGHT * bad * BAD_ON_BAD) / (b1 + b0 + 2.0 + WEIGHT * bad)
+            up.append(math.log(1.0 - on_good) - math.log(1.0 - on_bad))
+            down.append(math.log(on_good) - math.log(on_bad))
+        model = Model(math.log((good + 1.0) / (bad + 1.0)), tuple(up), tuple(down))
         p = 1.0 / (1.0 + F.exp(-model.log_odds(rules)))
     return model
 
@@ -160,9 +170,50 @@ def judge(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tupl
     """
     measured = with_statistics(documents)
     kept_columns = [F.col(c) for c in keep]
-    stats = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks")
+    stats = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_letters", "n_symbol_runs", "n_distinct_words")
     voted = measured.select(*kept_columns, *[c for c in stats if c not in keep]).withColumns({k: F.expr(v) for k, v in votes_sql(rules).items()}).withColumn("base_failed", F.expr(BASE_FAILED))
     stored = common.materialize(voted, "quality")
     log_odds = fit(stored, rules).log_odds(rules)
     verdict = ~F.col("base_failed") & (log_odds >= math.log(threshold / (1.0 - threshold)))
     return stored.withColumn("quality", 1.0 / (1.0 + F.exp(-log_odds))).withColumn("kept", verdict)
+
+
+def judge_sql(rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> str:
+    """DuckDB SQL for the rows of ``judge`` over ``documents``: statistics by plain list and
+    window functions, and each round of expectation-maximisation as a query of its own."""
+    drop = lambda pattern: f"length(regexp_replace(t, '{pattern}', '', 'g'))::BIGINT"
+    names = [f"v_{r.name}" for r in rules]
+    space, word = common.SPACE_PATTERN, common.WORD_PATTERN
+    votes = ", ".join(f"{v} AS {k}" for k, v in votes_sql(rules).items())
+    parts = [
+        f"w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM documents)",
+        f"g AS (SELECT rid, i, list_slice(ws, i, i + {WINDOW - 1}) AS gram FROM (SELECT rid, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w))",
+        "r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1)",
+        f"c AS (SELECT rid, sum(least({WINDOW}, coalesce(i - before, {WINDOW})))::BIGINT AS n FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM r) GROUP BY rid)",
+        f"l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM w)",
+        f"""s AS (SELECT w.rid, doc_id, len(ws)::BIGINT AS n_words, {drop(space)} AS word_chars, {drop('[^#*$%&|<>]+')} AS n_symbols,
+            (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(ls)::BIGINT AS n_lines, {drop('[^A-Z]+')} AS n_upper,
+            {drop('[^0-9]+')} AS n_digits, {drop('[^!?]+')} AS n_marks, {drop('[^' + chr(92) + 'p{L}]+')} AS n_letters,
+            length(replace(regexp_replace(regexp_replace(t, '[^#*$%&|<>]+', ' ', 'g'), '[^ ]+', 'x', 'g'), ' ', ''))::BIGINT AS n_symbol_runs, len(list_distinct(ws))::BIGINT AS n_distinct_words
+            FROM w JOIN l ON w.rid = l.rid LEFT JOIN c ON w.rid = c.rid)""",
+        f"v AS (SELECT *, {BASE_FAILED} AS base_failed, {votes} FROM s)",
+        f"p AS MATERIALIZED (SELECT {', '.join(names)}, count(*) AS n FROM v GROUP BY ALL)",
+    ]
+    goods, bads = (" + ".join(f"({c} = {x})::INT" for c in names) for x in (GOOD, BAD))
+    weight, source = f"(({goods}) + 1.0::DOUBLE) / (({goods}) + ({bads}) + 2.0::DOUBLE)", "p"
+    for k in range(rounds):
+        sums = ["sum(n * q) AS g", "sum(n * (1 - q)) AS b"]
+        for c in names:
+            sums += [f"sum(CASE WHEN {c} = {x} THEN n * {y} ELSE 0 END) AS {c}_{x}_{z}" for x in (GOOD, BAD) for y, z in (("q", "g"), ("(1 - q)", "b"))]
+        parts.append(f"e{k} AS MATERIALIZED (SELECT {', '.join(sums)} FROM (SELECT p.*, {weight} AS q FROM {source}))")
+        share = lambda c, z, prior: f"(({c}_{BAD}_{z} + 1.0 + {WEIGHT} * {z} * {prior}) / ({c}_{GOOD}_{z} + {c}_{BAD}_{z} + 2.0 + {WEIGHT} * {z}))"
+        made = ["ln((g + 1.0) / (b + 1.0)) AS prior"]
+        for c in names:
+            on_good, on_bad = share(c, "g", BAD_ON_GOOD), share(c, "b", BAD_ON_BAD)
+            made += [f"ln(1.0 - {on_good}) - ln(1.0 - {on_bad}) AS {c}_up", f"ln({on_good}) - ln({on_bad}) AS {c}_down"]
+        parts.append(f"m{k} AS MATERIALIZED (SELECT {', '.join(made)} FROM e{k})")
+        odds = "prior" + "".join(f" + CASE {c} WHEN {GOOD} THEN {c}_up WHEN {BAD} THEN {c}_down ELSE 0.0 END" for c in names)
+        weight, source = f"1.0 / (1.0 + exp(-({odds})))", f"p, m{k}"
+    return f"""WITH {", ".join(parts)}
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND o >= 0 AS kept, round(1.0 / (1.0 + exp(-o)), 6) AS quality
+        FROM (SELECT v.*, {odds} AS o FROM v, m{rounds - 1})"""
