@@ -118,3 +118,25 @@ def take(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: floa
         (taken * F.col("size")).cast("long").alias("taken"),
         *keep,
     )
+
+
+def take_sql(weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> str:
+    """DuckDB SQL for doc_id, size, source_size, target and taken over ``documents``: the same
+    targets, and the thresholds by sorting each source by hash, which ``take`` avoids."""
+    cases = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
+    return f"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{common.WORD_PATTERN}'))::BIGINT AS size,
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, {HASH_BITS // 4}))::BIGINT AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, source_size * {most}::DOUBLE AS lim, (CASE (row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1) % {len(weights)} {cases} END)::DOUBLE AS weight FROM s),
+        r AS (SELECT *, lim / weight AS fill, coalesce(sum(lim) OVER (ORDER BY lim / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut,
+              sum(weight) OVER (ORDER BY lim / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_from,
+              sum(source_size) OVER () * {share}::DOUBLE AS budget FROM w),
+        f AS (SELECT *, (budget - cut) / weight_from AS rate FROM r),
+        e AS (SELECT arg_min(rate, fill) AS final_rate FROM f WHERE rate * weight <= lim),
+        t AS (SELECT source, source_size, CASE WHEN final_rate IS NULL THEN lim ELSE least(lim, final_rate * weight) END AS target FROM f LEFT JOIN e ON true),
+        n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM t),
+        b AS (SELECT source, h, sum(size) AS words FROM d WHERE size > 0 GROUP BY source, h),
+        u AS (SELECT source, h, words, sum(words) OVER (PARTITION BY source ORDER BY h) AS upto FROM b)
+        SELECT doc_id, size, n.source_size, n.target, ((copies + CASE WHEN u.upto - u.words / 2 <= n.target - copies * n.source_size AND n.target > copies * n.source_size THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+        FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source AND d.h = u.h"""

@@ -231,3 +231,16 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
         "record_type",
         F.when(revisit, F.col("held_page")).alias("refers_to"),
     )
+
+
+def decisions_sql(min_bytes: int = 0) -> str:
+    """DuckDB SQL for what the archives of ``pages`` say of each page."""
+    digit = lambda group, shift: f"substr('{BASE32}', ((('0x' || substr(sha1(html), {5 * group + 1}, 5))::BIGINT >> {shift}) & 31)::INT + 1, 1)"
+    base32 = " || ".join(digit(group, shift) for group in range(8) for shift in (15, 10, 5, 0))
+    return f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {base32} AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {min_bytes} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= {min_bytes} AND page_id <> first THEN first END AS refers_to
+        FROM f"""
