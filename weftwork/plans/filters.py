@@ -113,18 +113,14 @@ def _folded(entity: Entity, name: str) -> Column:
     return F.col(stored) if stored in entity.schema.names else fold_column(F.col(name))
 
 
-def in_values(column: Column, values: list[Any]) -> Column:
-    return column.isin(values)
-
-
-def local_predicate(entity: Entity, name: str, op: str, value: str) -> Column | tuple[Column, list[Any]] | None:
+def local_predicate(entity: Entity, name: str, op: str, value: str, bare: bool = True) -> Column | tuple[Column, list[Any]] | None:
     """The predicate of one key on one of the entity's own fields.
 
     None: an empty value list, which empties the whole result.  A pair (column, values): a
-    list too long for the plan.
+    list too long for the plan.  ``bare``: the key named no relation.
     """
     kind, folded = entity.fields[name], name in entity.folded
-    op = location_operator(name, op, value)
+    op = location_operator(name, op, value) if bare else op
     column = F.col(name)
     type_name = entity.schema[name].dataType.simpleString()
     if op in ("icontains", "istartswith"):
@@ -145,7 +141,7 @@ def local_predicate(entity: Entity, name: str, op: str, value: str) -> Column |
             return text, sorted(set(probes))
         if kind == "time":
             probes = [moment_literal(p, type_name) for p in probes]
-        return in_values(text, probes)
+        return text.isin(probes)
     if op in ("lt", "gt", "lte", "gte"):
         if kind == "time":
             moment, day = parse_time(value)
@@ -174,8 +170,8 @@ def _values_join(column: Column, values: list[Any]) -> Callable[[DataFrame], Dat
 
 
 def _select(df: DataFrame, entity: Entity, name: str, op: str, value: str) -> DataFrame | None:
-    """Rows that meet one predicate; None for an empty value list."""
-    made = local_predicate(entity, name, op, value)
+    """Related rows that meet one predicate; None for an empty value list."""
+    made = local_predicate(entity, name, op, value, bare=False)
     if made is None:
         return None
     return _values_join(*made)(df) if isinstance(made, tuple) else df.where(made)
