@@ -29,9 +29,9 @@ def grouped(catalogue: Catalogue, names: list[str], query: str, preview: int = P
     for place, name in enumerate(names):
         # A limit per entity keeps the window over a few rows; totals come from one count.
         found = hits(catalogue, name, query, tier=tier)
-        total = found.agg(F.count(F.lit(1)).alias("total"))
+        total = found.groupBy("type").agg(F.count(F.lit(1)).alias("total"))
         first = found.orderBy("name", "id").limit(preview)
-        ranked.append(first.crossJoin(F.broadcast(total)).withColumn("place", F.lit(place)))
+        ranked.append(first.join(total, "type").withColumn("place", F.lit(place)))
     rows = reduce(DataFrame.unionByName, ranked)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy("name", "id")))
 
