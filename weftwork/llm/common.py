@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +41,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/weftwork/{label}-{uuid.uuid4().hex}"
 
 
+#: Open lists of the paths that ``materialize`` writes; see ``tracking``.
+_TRACKED: list[list[str]] = []
+
+
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -47,9 +53,57 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
+    for paths in _TRACKED:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tracking() -> Iterator[list[str]]:
+    """Collect the paths of the tables that are written inside, so that they can be deleted
+    when no plan reads them any more."""
+    paths: list[str] = []
+    _TRACKED.append(paths)
+    try:
+        yield paths
+    finally:
+        _TRACKED[:] = [p for p in _TRACKED if p is not paths]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Positions of the bitmap of ``with_likely``; with 64 to a row it has 2**17 rows (2 MB) at most.
+BITMAP_BITS = 23
+
+
+def _one_bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+
+
+def with_likely(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Add ``_likely``: false for rows whose key is surely not in ``keys``.
+
+    A bitmap of hashed keys is broadcast.  Its size is fixed; with many more keys than positions
+    more rows are likely, never fewer.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS))
+    words = keys.select(key).groupBy(F.shiftright(place, 6).alias("_word")).agg(F.bit_or(_one_bit(place)).alias("_bits"))
+    words = materialize(words, "bitmap")
+    marked = df.withColumn("_place", place).join(F.broadcast(words), F.shiftright("_place", 6) == F.col("_word"), "left")
+    hit = F.col("_bits").bitwiseAND(_one_bit(F.col("_place"))) != 0
+    return marked.withColumn("_likely", F.coalesce(hit, F.lit(False))).drop("_place", "_word", "_bits")
+
+
+def likely_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is in ``keys``, and a few others: a filter to run before a join."""
+    return with_likely(df, keys, key).where("_likely").drop("_likely")
+
+
 def words_of(text: Column) -> Column:
     """The words of ``text`` as an array; empty for null, empty or blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

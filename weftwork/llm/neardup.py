@@ -18,7 +18,9 @@ set's size, a signature (equal for equal sets) and a sketch of minwise tokens.
 The first trees are finished, up to components, before the others begin; those drop nodes whose
 members are connected already and compare only what isn't.  So a large group costs a
 forest per early tree, not one in every node of all trees.  Nodes that have the same members in several trees are compared once.  All steps are joins
-and aggregations keyed by node or class; nothing is gathered on the driver.
+and aggregations keyed by node or class; nothing is gathered on the driver.  Joins of tables that
+grow alike are merge joins at every size; where one side is a small part of the other,
+a bitmap of fixed size filters the large side first, so that texts are shuffled only for candidates.
 
 Defined results: texts with fewer words than a shingle are one shingle, the whole
 sequence; null, empty and blank texts have no shingle and are linked with nothing.  A null
@@ -289,8 +291,8 @@ def _unlike(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("n", "mark").agg(F.min("node").alias("node")).select("node", "n")
 
 
-def _leaves(labelled: DataFrame, trees: range, node_limit: int, second_branch: int, depth: int) -> DataFrame:
-    """(node, row_id) of all nodes to be compared, over the given trees.
+def _leaves(labelled: DataFrame, reps: DataFrame, trees: range, node_limit: int, second_branch: int, depth: int) -> DataFrame:
+    """(node, row_id, label) of all nodes to be compared, over the given trees.
 
     Nodes whose members all have one label are finished; of nodes with the same members one is kept.
     """
@@ -299,19 +301,20 @@ def _leaves(labelled: DataFrame, trees: range, node_limit: int, second_branch: i
     for at in range(depth + 1):
         sums = [F.count(F.lit(1)).alias("n"), _member_mark().alias("mark"), F.min("label").alias("low"), F.max("label").alias("high")]
         nodes = common.materialize(_unlike(level.groupBy("node").agg(*sums).where("low < high")), "nodes")
-        leaves.append(common.materialize(level.select("node", "row_id").join(nodes.where(F.col("n") <= node_limit), "node").select("node", "row_id"), "leaves"))
+        leaves.append(common.materialize(level.select("node", "row_id", "label").join(nodes.where(F.col("n") <= node_limit).hint("merge"), "node").select("node", "row_id", "label"), "leaves"))
         big = nodes.where(F.col("n") > node_limit)
         if big.isEmpty():
             break
-        inside = level.join(big, "node")
+        inside = level.join(big.hint("merge"), "node")
         if "sketch" not in level.columns:
-            inside = inside.join(labelled.select("row_id", "sketch"), "row_id")
+            inside = common.materialize(inside, "inside")
+            inside = inside.join(common.likely_in(reps.select("row_id", "sketch"), inside, "row_id").hint("merge"), "row_id")
         if at == depth:
             # Blocks of half the limit, each with each: every pair of the node meets once or more.
             blocks = F.ceil(F.col("n") / F.lit(node_limit // 2)).cast("int")
             own = F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")
             paired = inside.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            leaves.append(paired.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "row_id"))
+            leaves.append(paired.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "row_id", "label"))
             break
         branches = F.when(F.pmod(F.xxhash64("node", F.lit("branches")), F.lit(100)) < second_branch, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         coordinate = F.pmod(F.xxhash64("node", "branch"), F.lit(TOKENS)).cast("int")
@@ -344,47 +347,61 @@ def group(
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *names[2:])
     schema = T.StructType([*slim.schema.fields, *T.StructType.fromDDL(SKETCH).fields])
     sketched = common.materialize(slim.mapInArrow(_sketches(width, names), schema).withColumn("row_id", F.monotonically_increasing_id()), "sketches")
+    with common.tracking() as paths:
+        company = common.materialize(_company(sketched, percent, width, node_limit, second_branch, depth), "company").withColumnRenamed("signature", "s")
+    common.delete(spark, paths[:-1])
+    # Rows that surely have no company bypass the join, with their texts.
+    shown = [c for c in names if c != "text" or "text" in keep]
+    marked = common.with_likely(sketched.select(*shown, "n_shingles", "row_id", "signature"), company.withColumnRenamed("s", "signature"), "signature")
+    likely, alone = marked.where("_likely").drop("_likely"), marked.where("NOT _likely")
+    joined = likely.join(company.hint("merge"), F.col("signature") == F.col("s"), "left")
+    grouped = joined.select(
+        *shown,
+        "n_shingles",
+        F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
+        F.coalesce(F.col("head.row_id") == F.col("row_id"), F.lit(True)).alias("kept_row"),
+    )
+    return grouped.union(alone.select(*shown, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept_row")))
+
+
+def _company(sketched: DataFrame, percent: int, width: int, node_limit: int, second_branch: int, depth: int) -> DataFrame:
+    """(signature, head) of the classes that have several rows or links: the first row of the group."""
     # Four standard deviations of the estimate below the threshold.
     share = percent / 100
     least = int(TOKENS * (share - 4 * (share * (1 - share) / TOKENS) ** 0.5))
-
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
     classes = common.materialize(
         sketched.where("n_shingles > 0").groupBy("signature").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("rows")).withColumn("class_row", F.col("first.row_id")), "classes"
     )
-    reps = sketched.select("row_id", "n_shingles", "roots", "sketch").join(classes.select(F.col("class_row").alias("row_id")), "row_id")
+    reps = sketched.select("row_id", "n_shingles", "roots", "sketch").join(classes.select(F.col("class_row").alias("row_id")).hint("merge"), "row_id")
     reps = common.materialize(reps, "representatives")
 
     links, rooted = None, None
     for trees in (range(0, FIRST_TREES), range(FIRST_TREES, TREES)):
-        labelled = reps.withColumn("label", F.col("row_id"))
+        labelled = reps.select("row_id", "roots", F.col("row_id").alias("label"))
         if rooted is not None:
-            labelled = common.materialize(reps.join(rooted.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("label", F.coalesce("root", "row_id")).drop("root"), "labelled")
-        members = _leaves(labelled, trees, node_limit, second_branch, depth)
-        sketches = members.join(labelled.select("row_id", "label", "n_shingles", "sketch"), "row_id").select("node", "row_id", "label", "n_shingles", "sketch")
+            roots = reps.select("row_id", "roots").join(rooted.withColumnRenamed("node", "row_id").hint("merge"), "row_id", "left")
+            labelled = common.materialize(roots.select("row_id", "roots", F.coalesce("root", "row_id").alias("label")), "labelled")
+        members = common.materialize(_leaves(labelled, reps, trees, node_limit, second_branch, depth), "members")
+        known = common.likely_in(reps.select("row_id", "n_shingles", "sketch"), members, "row_id")
+        sketches = members.join(known.hint("merge"), "row_id").select("node", "row_id", "label", "n_shingles", "sketch")
         ready = sketches.repartition("node").sortWithinPartitions("node")
         clusters = common.materialize(ready.mapInArrow(_clusters(least, percent), "cluster long, row_id long, label long").distinct(), "clusters")
         marks = clusters.groupBy(F.col("cluster").alias("node")).agg(F.count(F.lit(1)).alias("n"), _member_mark().alias("mark"))
-        wanted = clusters.join(_unlike(marks).select(F.col("node").alias("cluster")), "cluster")
-        texts = wanted.join(sketched.select("row_id", "sketch", "text"), "row_id").select("cluster", "row_id", "label", "sketch", "text")
+        wanted = common.materialize(clusters.join(_unlike(marks).select(F.col("node").alias("cluster")), "cluster"), "wanted")
+        whole = common.likely_in(sketched.select("row_id", "sketch", "text"), wanted, "row_id")
+        texts = wanted.join(whole.hint("merge"), "row_id").select("cluster", "row_id", "label", "sketch", "text")
         found = texts.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_links(width, least, percent), "a long, b long")
         found = common.materialize(found, "confirmed")
         links = found if links is None else links.union(found)
         rooted = components(links)
 
     # The first row of each component, for the classes that have company.
-    linked = classes.join(rooted, classes["class_row"] == rooted["node"])
+    linked = classes.join(rooted.hint("merge"), classes["class_row"] == rooted["node"])
     heads = linked.groupBy("root").agg(F.min("first").alias("head"))
     of_class = linked.select("signature", "root").join(heads, "root").select("signature", "head")
     copies = classes.where("rows > 1").join(of_class.select("signature"), "signature", "left_anti").select("signature", F.col("first").alias("head"))
-    company = common.materialize(of_class.union(copies), "company").withColumnRenamed("signature", "s")
-    joined = sketched.select(*[c for c in names if c != "text" or "text" in keep], "n_shingles", "row_id", "signature").join(company, F.col("signature") == F.col("s"), "left")
-    return joined.select(
-        *[c for c in names if c != "text" or "text" in keep],
-        "n_shingles",
-        F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
-        F.coalesce(F.col("head.row_id") == F.col("row_id"), F.lit(True)).alias("kept_row"),
-    )
+    return of_class.union(copies)
 
 
 def group_sql(percent: int, width: int = 5) -> str:
