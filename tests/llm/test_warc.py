@@ -55,6 +55,12 @@ def test_revisits_point_to_the_smallest_page(spark, tmp_path):
     )
 
 
+def test_archives_follow_the_size_of_pages(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    assert warc.records_per_archive(pages, 1 << 20) == int(3 * (1 << 20) / (sum(len((p[2] or "").encode()) for p in PAGES) / len(PAGES) + 1500))
+    assert warc.records_per_archive(pages.limit(0)) > 3 and warc.records_per_archive(pages, 1) == 3
+
+
 def test_minimum_size_keeps_small_payloads(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     assert warc.with_decisions(pages, min_bytes=1000).where("NOT is_response").count() == 0

@@ -115,6 +115,15 @@ def archive_records(decided: DataFrame, date: str = "2026-01-01T00:00:00Z") -> D
     return decided.select(F.explode(F.array(request, F.when(F.col("is_response"), response).otherwise(revisit), metadata)).alias("value"))
 
 
+def records_per_archive(pages: DataFrame, most_bytes: int = 16 << 20) -> int:
+    """How many records make an archive of about ``most_bytes``, at the mean size of a page.
+
+    An archive is read as a whole, so this bounds the memory of a reading task.
+    """
+    mean = pages.agg(F.avg(F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))))).first()[0] or 0.0
+    return max(3, int(3 * most_bytes / (mean + 1500)))
+
+
 def write_archives(records: DataFrame, path: str, records_per_file: int = 3000) -> None:
     """Write archives that end each record as the format asks, gzip-compressed as a whole."""
     records.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
