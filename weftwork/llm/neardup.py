@@ -15,12 +15,17 @@ set's size, a signature (equal for equal sets) and a sketch of minwise tokens.
    A pair is skipped only when its two sides are already connected by confirmed links.
 4. Components of the confirmed links, by alternating large-star and small-star steps.
 
-The first trees are finished, up to components, before the others begin; those drop nodes whose
-members are connected already and compare only what isn't.  So a large group costs a
-forest per early tree, not one in every node of all trees.  Nodes that have the same members in several trees are compared once.  All steps are joins
-and aggregations keyed by node or class; nothing is gathered on the driver.  Joins of tables that
-grow alike are merge joins at every size; where one side is a small part of the other,
-a bitmap of fixed size filters the large side first, so that texts are shuffled only for candidates.
+A first pass over a few trees only contracts: large nodes are dealt into blocks that share
+pivots, in linear work, and the links found there join most of any large group.  The pass over
+all trees then loses nothing: it drops nodes whose members are connected already, compares only
+unlike labels, and where almost all of a large node is one group, it compares the others with
+all of it in blocks, without splitting.  Nodes that have the same members in several trees are
+compared once.
+
+All steps are joins and aggregations keyed by node or class; nothing is gathered on the driver.
+Joins of tables that grow alike are merge joins at every size; where one side is a small part of
+the other, a bitmap of fixed size filters the large side first, so that texts are shuffled only
+for candidates.
 
 Defined results: texts with fewer words than a shingle are one shingle, the whole
 sequence; null, empty and blank texts have no shingle and are linked with nothing.  A null
@@ -44,6 +49,7 @@ from weftwork.llm import common
 TOKENS = 128
 TREES = 12
 FIRST_TREES = 3
+PIVOTS = 4
 _SEEDS = np.random.default_rng(20240917).integers(1, 1 << 63, (2, TOKENS), dtype=np.uint64)
 _FACTOR, _SHIFT = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -291,36 +297,63 @@ def _unlike(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("n", "mark").agg(F.min("node").alias("node")).select("node", "n")
 
 
-def _leaves(labelled: DataFrame, reps: DataFrame, trees: range, node_limit: int, second_branch: int, depth: int) -> DataFrame:
+def _dealt(rows: DataFrame, node_limit: int) -> DataFrame:
+    """Add ``blocks``, how many blocks of half the limit a node of ``n`` rows makes, and ``own``."""
+    blocks = F.ceil(F.col("n") / F.lit(max(1, node_limit // 2))).cast("long")
+    return rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("row_id"), F.col("blocks")))
+
+
+def _in_every_block(rows: DataFrame) -> DataFrame:
+    spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return spread.select(F.xxhash64("node", "block").alias("node"), "row_id", "label")
+
+
+def _contracting(inside: DataFrame, node_limit: int) -> DataFrame:
+    """Blocks of large nodes that link what is alike, in linear work: every block also holds a
+    few rows of the node, its pivots, which tie the blocks together."""
+    dealt = _dealt(inside, node_limit)
+    picks = [F.min(F.struct(F.xxhash64("row_id", F.lit(k)).alias("h"), "row_id", "label", "blocks")) for k in range(PIVOTS)]
+    pivots = dealt.groupBy("node").agg(F.array_distinct(F.array(*picks)).alias("p")).select("node", F.explode("p").alias("p")).select("node", "p.row_id", "p.label", "p.blocks")
+    return dealt.select(F.xxhash64("node", "own").alias("node"), "row_id", "label").union(_in_every_block(pivots)).distinct()
+
+
+def _leaves(labelled: DataFrame, reps: DataFrame, trees: range, node_limit: int, second_branch: int, depth: int, contract: bool) -> DataFrame:
     """(node, row_id, label) of all nodes to be compared, over the given trees.
 
     Nodes whose members all have one label are finished; of nodes with the same members one is kept.
+    Large nodes are dealt into blocks, if the aim is to contract.  Else one in which almost all
+    members have one label compares the others with all, in blocks; the rest is split by tokens.
     """
     level = labelled.select("row_id", "label", F.explode(F.slice("roots", trees.start + 1, len(trees))).alias("node"))
     leaves: list[DataFrame] = []
     for at in range(depth + 1):
         sums = [F.count(F.lit(1)).alias("n"), _member_mark().alias("mark"), F.min("label").alias("low"), F.max("label").alias("high")]
         nodes = common.materialize(_unlike(level.groupBy("node").agg(*sums).where("low < high")), "nodes")
-        leaves.append(common.materialize(level.select("node", "row_id", "label").join(nodes.where(F.col("n") <= node_limit).hint("merge"), "node").select("node", "row_id", "label"), "leaves"))
+        leaves.append(common.materialize(level.join(nodes.where(F.col("n") <= node_limit).hint("merge"), "node").select("node", "row_id", "label"), "leaves"))
         big = nodes.where(F.col("n") > node_limit)
         if big.isEmpty():
             break
-        inside = level.join(big.hint("merge"), "node")
-        if "sketch" not in level.columns:
-            inside = common.materialize(inside, "inside")
-            inside = inside.join(common.likely_in(reps.select("row_id", "sketch"), inside, "row_id").hint("merge"), "row_id")
+        inside = common.materialize(level.join(big.hint("merge"), "node").select("node", "row_id", "label", "n"), "inside")
+        if contract:
+            leaves.append(_contracting(inside, node_limit))
+            break
+        tops = inside.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", "label")).alias("top"))
+        inside = _dealt(inside, node_limit).join(tops.hint("merge"), "node").withColumn("few", F.col("n") - F.col("top.c") <= F.lit(max(1, node_limit // 4)))
+        inside = common.materialize(inside.withColumn("major", F.col("label") == F.col("top.label")).drop("top"), "sorted-out")
+        few = inside.where("few")
+        leaves.append(few.where("major").select(F.xxhash64("node", "own").alias("node"), "row_id", "label").union(_in_every_block(few.where("NOT major"))))
+        inside = inside.where("NOT few")
         if at == depth:
-            # Blocks of half the limit, each with each: every pair of the node meets once or more.
-            blocks = F.ceil(F.col("n") / F.lit(node_limit // 2)).cast("int")
-            own = F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int")
-            paired = inside.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            # Each block with each: every pair of the node meets once or more.
+            paired = inside.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             leaves.append(paired.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "row_id", "label"))
             break
+        known = common.likely_in(reps.select("row_id", "sketch"), inside, "row_id")
         branches = F.when(F.pmod(F.xxhash64("node", F.lit("branches")), F.lit(100)) < second_branch, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         coordinate = F.pmod(F.xxhash64("node", "branch"), F.lit(TOKENS)).cast("int")
         token = F.substring(F.col("sketch"), coordinate * 2 + 1, F.lit(2))
-        level = inside.select("row_id", "label", "sketch", "node", F.explode(branches).alias("branch"))
-        level = common.materialize(level.select("row_id", "label", "sketch", F.xxhash64("node", "branch", coordinate, token).alias("node")), "level")
+        level = inside.join(known.hint("merge"), "row_id").select("row_id", "label", "sketch", "node", F.explode(branches).alias("branch"))
+        level = common.materialize(level.select("row_id", "label", F.xxhash64("node", "branch", coordinate, token).alias("node")), "level")
     members = leaves[0]
     for more in leaves[1:]:
         members = members.union(more)
@@ -332,7 +365,7 @@ def group(
     percent: int = 80,
     width: int = 5,
     keep: tuple[str, ...] = (),
-    node_limit: int = 4096,
+    node_limit: int = 2048,
     second_branch: int = 60,
     depth: int = 8,
 ) -> DataFrame:
@@ -377,12 +410,12 @@ def _company(sketched: DataFrame, percent: int, width: int, node_limit: int, sec
     reps = common.materialize(reps, "representatives")
 
     links, rooted = None, None
-    for trees in (range(0, FIRST_TREES), range(FIRST_TREES, TREES)):
+    for trees in (range(FIRST_TREES), range(TREES)):
         labelled = reps.select("row_id", "roots", F.col("row_id").alias("label"))
         if rooted is not None:
             roots = reps.select("row_id", "roots").join(rooted.withColumnRenamed("node", "row_id").hint("merge"), "row_id", "left")
             labelled = common.materialize(roots.select("row_id", "roots", F.coalesce("root", "row_id").alias("label")), "labelled")
-        members = common.materialize(_leaves(labelled, reps, trees, node_limit, second_branch, depth), "members")
+        members = common.materialize(_leaves(labelled, reps, trees, node_limit, second_branch, depth, rooted is None), "members")
         known = common.likely_in(reps.select("row_id", "n_shingles", "sketch"), members, "row_id")
         sketches = members.join(known.hint("merge"), "row_id").select("node", "row_id", "label", "n_shingles", "sketch")
         ready = sketches.repartition("node").sortWithinPartitions("node")
