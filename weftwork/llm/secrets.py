@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -131,16 +132,6 @@ def labelled_ordinary(n: int = 8000, seed: int = 12) -> list[str]:
     return out
 
 
-def corpus_words(documents: DataFrame, most: int = 5000) -> list[str]:
-    """At most ``most`` ordinary words of the corpus: letters alone, in ASCII, 8 or longer.
-
-    One word of each sampled text, by hash; the bound keeps the training sample small.
-    """
-    word = F.regexp_extract(F.col("text"), r"(?<![A-Za-z])([A-Za-z]{8,40})(?![A-Za-z])", 1)
-    picked = documents.select(word.alias("w"), F.xxhash64("text").alias("h")).where("w <> ''").groupBy("w").agg(F.min("h").alias("h"))
-    return [r["w"] for r in picked.orderBy("h", "w").limit(most).collect()]
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the fixed patterns find."""
     out = []
@@ -188,9 +179,11 @@ def _scan(names: list[str], pair: MarkovPair):
     return run
 
 
-def trained_pair(documents: DataFrame) -> MarkovPair:
-    """The pair of models of the production query."""
-    return train(labelled_random(), [*labelled_ordinary(), *corpus_words(documents)])
+@cache
+def trained_pair() -> MarkovPair:
+    """The pair of models of the production query: from labelled samples of fixed size alone,
+    so that it is the same for every corpus."""
+    return train(labelled_random(), labelled_ordinary())
 
 
 def scan(documents: DataFrame, pair: MarkovPair, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
