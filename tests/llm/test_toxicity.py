@@ -21,9 +21,13 @@ def labelled(spark, n=900, seed=1):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
 
 
+def fit(rows):
+    return toxicity.fit(rows, rows.select("doc_id", "toxic"))
+
+
 def test_held_out_accuracy(spark):
     rows = labelled(spark)
-    net = toxicity.fit(rows.where("doc_id % 4 <> 2"))
+    net = toxicity.fit(rows, rows.where("doc_id % 4 <> 2").select("doc_id", "toxic"))
     got = toxicity.score(rows, net).join(rows.select("doc_id", "toxic"), "doc_id").where("doc_id % 4 = 2").collect()
     hits = sum(r["score"] >= 0.3 for r in got if r["toxic"])
     alarms = sum(r["score"] >= 0.3 for r in got if not r["toxic"])
@@ -33,7 +37,7 @@ def test_held_out_accuracy(spark):
 
 def test_scores_of_whole_texts_in_parts(spark):
     """A long text scores as the network scores it in one go."""
-    net = toxicity.fit(labelled(spark, 300))
+    net = fit(labelled(spark, 300))
     words = [f"w{i}" for i in range(9000)]
     words[8500] = "badword"
     features = np.array([toxicity.word_features(w, net.shape) for w in words])
@@ -43,15 +47,15 @@ def test_scores_of_whole_texts_in_parts(spark):
 
 def test_same_twice(spark):
     rows = labelled(spark, 300)
-    a, b = toxicity.fit(rows), toxicity.fit(rows)
+    a, b = fit(rows), fit(rows.repartition(3))
     assert (a.embed == b.embed).all() and a.thresholds == b.thresholds
 
 
 def test_cases(docs, empty, clashing, spark):
-    net = toxicity.fit(labelled(spark, 200))
+    net = fit(labelled(spark, 200))
     assert toxicity.score(docs, net).count() == docs.count() == toxicity.score(clashing, net).count()
     assert toxicity.score(empty, net).count() == 0
-    none = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, lang string, toxic int"))
+    none = fit(spark.createDataFrame([], "doc_id long, text string, lang string, toxic int"))
     assert none is None and {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
-    one_kind = toxicity.fit(spark.createDataFrame([(1, "a b", "en", 0), (2, "c", None, 0)], "doc_id long, text string, lang string, toxic int"))
+    one_kind = fit(spark.createDataFrame([(1, "a b", "en", 0), (2, "c", None, 0)], "doc_id long, text string, lang string, toxic int"))
     assert all(r["score"] < 0.01 for r in toxicity.score(docs, one_kind).collect())

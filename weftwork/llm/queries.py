@@ -24,15 +24,14 @@ def held_out(doc_id: Column) -> Column:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
-    learnt = labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    net = toxicity.fit(documents.select("doc_id", "text", "lang").join(learnt, "doc_id"))
+    net = toxicity.fit(documents, labels.where(~held_out(F.col("doc_id"))))
     scored = toxicity.score(documents, net)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "flagged")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = common.shared_path(spark, "warc")
-    warc.write_archives(warc.archive_records(warc.with_decisions(common.table(spark, sf_dir, "pages"), min_bytes=0)), path)
+    pages, path = common.table(spark, sf_dir, "pages"), common.shared_path(spark, "warc")
+    warc.write_archives(warc.archive_records(warc.with_decisions(pages, min_bytes=0)), path, warc.records_per_archive(pages))
     captures = warc.assemble(warc.read_records(spark, path))
     return warc.resolve_revisits(captures)
 
@@ -70,7 +69,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents")
-    found = secrets.scan(documents, secrets.trained_pair(documents))
+    found = secrets.scan(documents, secrets.trained_pair())
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "markov")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))

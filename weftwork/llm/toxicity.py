@@ -205,21 +205,24 @@ def calibrate(net: Network, logits: np.ndarray, labels: np.ndarray, langs: list[
             net.thresholds[lang] = float(cuts[max(range(len(cuts)), key=right.__getitem__)])
 
 
-def fit(labelled: DataFrame, most_rows: int = 10_000, most_words: int = 4000, shape: Shape | None = None) -> Network | None:
-    """Train on rows (text, lang, toxic, doc_id).
+def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 10_000, most_words: int = 4000, shape: Shape | None = None) -> Network | None:
+    """Train on documents (doc_id, text, lang) that labels (doc_id, toxic) cover.
 
     At most ``most_rows`` rows come to the driver, as word hashes; of a training text the
-    first ``most_words`` words take part.  (Scoring always takes whole texts.)
+    first ``most_words`` words take part.  (Scoring always takes whole texts.)  Labels are drawn
+    before they are joined, so the broadcast side is bounded by ``most_rows`` and no text is shuffled.
     """
     shape = shape or Shape()
-    usable = labelled.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     n = usable.count()
     if not n:
         return None
     order = F.xxhash64("doc_id", F.lit("train"))
-    share = min(1.0, 1.2 * most_rows / n + 0.02)
-    drawn = usable.where(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000)) if n > most_rows else usable
-    rows = drawn.orderBy(order).limit(most_rows).select("toxic", "lang", F.slice(common.words_of(F.col("text")), 1, most_words).alias("words"), F.pmod(order, F.lit(10)).alias("part"))
+    share = min(1.0, 1.1 * most_rows / n)
+    drawn = usable.where(F.pmod(order, F.lit(1 << 40)) < int(share * (1 << 40))).limit(2 * most_rows)
+    texts_of = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    joined = texts_of.join(F.broadcast(drawn), "doc_id")
+    rows = joined.orderBy(order, "text").limit(most_rows).select("toxic", "lang", F.slice(common.words_of(F.col("text")), 1, most_words).alias("words"), F.pmod(order, F.lit(10)).alias("part"))
     texts, labels, langs, parts, known = [], [], [], [], {}
     for row in rows.toLocalIterator():
         matrix = np.empty((len(row["words"]), 1 + len(shape.prefixes)), np.int32)
