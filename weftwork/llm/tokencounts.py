@@ -20,7 +20,9 @@ is kept.  Repeated rows give repeated results.  Other columns are ignored.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,7 @@ def byte_alphabet() -> dict[int, str]:
 class PrefixCounter:
     """Token counts of all prefixes of a text, for one byte-level vocabulary."""
 
-    def __init__(self, path: str, most_pieces: int = 700_000):
+    def __init__(self, path: str, most_pieces: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         back = {c: b for b, c in byte_alphabet().items()}
@@ -83,9 +85,6 @@ class PrefixCounter:
         parts merge earlier than the step that was undone, the pair would not
         have survived.
         """
-        key = (left, right)
-        if (known := self.fits.get(key)) is not None:
-            return known
         limit, ok = float("inf"), True
         a, b = left, right
         while True:
@@ -105,19 +104,28 @@ class PrefixCounter:
                 break
         if len(self.fits) > 2_000_000:
             self.fits.clear()
-        self.fits[key] = ok
+        self.fits[left, right] = ok
         return ok
 
     def bytes_prefixes(self, data: bytes) -> list[int]:
         """Token counts of data[:1], data[:2], ... for a piece of text."""
         counts, last = [0], [-1]
+        token_of, fits, longest = self.ids.get, self.fits, self.longest
         for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = self.ids.get(data[start:end])
-                if token is not None and (start == 0 or self._fit(last[start], token)):
-                    counts.append(counts[start] + 1)
-                    last.append(token)
-                    break
+            for start in range(max(0, end - longest), end):
+                token = token_of(data[start:end])
+                if token is None:
+                    continue
+                if start:
+                    pair = (last[start], token)
+                    fit = fits.get(pair)
+                    if fit is None:
+                        fit = self._fit(*pair)
+                    if not fit:
+                        continue
+                counts.append(counts[start] + 1)
+                last.append(token)
+                break
             else:
                 raise ValueError("the vocabulary lacks a byte")
         return counts[1:]
@@ -129,7 +137,7 @@ class PrefixCounter:
             counts = self.bytes_prefixes(data)
             if len(data) != len(text):
                 counts = [counts[e - 1] for e in np.cumsum([len(c.encode()) for c in text]).tolist()]
-            known = np.diff(counts, prepend=0).astype("<i2").tobytes()
+            known = struct.pack(f"<{len(counts)}h", counts[0], *map(sub, counts[1:], counts))
             if len(self.known) > self.most_pieces:
                 self.known.clear()
             self.known[text] = known
