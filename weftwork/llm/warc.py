@@ -69,11 +69,15 @@ def with_decisions(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         rows.withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long")), "captures"
     )
     rank = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row_id")
-    firsts = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min(rank).alias("first"))
-    firsts = firsts.select(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), "first")
-    joined = rows.join(firsts, (rows["payload_digest"] == F.col("d")) & (rows["payload_bytes"] == F.col("b")), "left")
-    own = F.coalesce(F.col("first.row_id") == F.col("row_id"), F.lit(True))
-    return joined.withColumn("is_response", own).withColumn("of_row", F.coalesce(F.col("first.row_id"), F.col("row_id"))).drop("d", "b", "first")
+    firsts = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = common.materialize(firsts.select("payload_digest", F.col("payload_bytes").alias("b"), F.col("first.row_id").alias("first_row")), "firsts")
+    # Payloads that surely have no equal bypass the join.
+    marked = common.with_likely(rows, firsts, "payload_digest")
+    likely, alone = marked.where("_likely").drop("_likely"), marked.where("NOT _likely").drop("_likely")
+    firsts = firsts.withColumnRenamed("payload_digest", "d").hint("merge")
+    joined = likely.join(firsts, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left").drop("d", "b")
+    every = joined.union(alone.withColumn("first_row", F.lit(None).cast("long")))
+    return every.withColumn("of_row", F.coalesce("first_row", "row_id")).withColumn("is_response", F.col("of_row") == F.col("row_id")).drop("first_row")
 
 
 def archive_records(decided: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
