@@ -40,7 +40,7 @@ class WordTokenizer:
     the joined result by the tokens that end a word.
     """
 
-    def __init__(self, path: str, most_words: int = 1_200_000):
+    def __init__(self, path: str, most_words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
