@@ -59,3 +59,17 @@ def test_cases(docs, empty, clashing, spark):
     assert none is None and {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
     one_kind = fit(spark.createDataFrame([(1, "a b", "en", 0), (2, "c", None, 0)], "doc_id long, text string, lang string, toxic int"))
     assert all(r["score"] < 0.01 for r in toxicity.score(docs, one_kind).collect())
+
+
+def test_training_takes_whole_texts(spark):
+    """What stands behind thousands of words trains and calibrates like what stands before them."""
+    rng = random.Random(5)
+    plain = [f"{a}{b}" for a in ("ka", "lo", "mi", "ru") for b in ("ta", "ne", "so", "pi")]
+    rows = []
+    for i in range(120):
+        toxic = i % 3 == 0
+        words = [rng.choice(plain) for _ in range(4200)] + (["badword"] if toxic else []) + [rng.choice(plain) for _ in range(5)]
+        rows.append((i, " ".join(words), "en", int(toxic)))
+    net = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int"))
+    late, none = net.probability(toxicity.Scorer(net).logits([rows[0][1], rows[1][1]]))
+    assert late >= 0.5 > none

@@ -22,7 +22,8 @@ the share of toxic labels, or 0.  An empty table gives an empty result.  Other c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -116,7 +117,7 @@ class _Adagrad:
         value -= self.rate * grad / np.sqrt(self.seen)
 
 
-def log_odds_start(net: Network, texts: list[np.ndarray], labels: np.ndarray, doubt: float = 3.0) -> None:
+def log_odds_start(net: Network, texts: Sequence[np.ndarray], labels: np.ndarray, doubt: float = 3.0) -> None:
     """Set the first dimension of every bucket from the texts that hold it.
 
     Odds are smoothed and shrunk by how few texts hold the bucket; buckets that no text holds keep 0.
@@ -136,7 +137,7 @@ def log_odds_start(net: Network, texts: list[np.ndarray], labels: np.ndarray, do
             net.out[c * net.shape.filters + f] = 1.0 / (half * len(net.shape.widths))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, net: Network) -> None:
+def train(texts: Sequence[np.ndarray], labels: np.ndarray, net: Network) -> None:
     """Fit the network to feature matrices (words x features) and 0/1 labels, in place."""
     shape = net.shape
     rng = np.random.default_rng(shape.seed + 1)
@@ -155,9 +156,10 @@ def train(texts: list[np.ndarray], labels: np.ndarray, net: Network) -> None:
             rows, grads = [], []
             batch = order[first : first + shape.batch]
             for i in batch:
-                if not len(texts[i]):
+                features = texts[i]
+                if not len(features):
                     continue
-                words = net.embed[texts[i]].sum(axis=1)
+                words = net.embed[features].sum(axis=1)
                 pooled, places = net.pooled(words)
                 z = float(pooled @ net.out + net.bias)
                 error = np.float32((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i]) / len(batch))
@@ -171,7 +173,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, net: Network) -> None:
                     g_bias[c] += own
                     for k in range(width):
                         g_conv[c][k] += words[at + k].T * own
-                        rows.append(texts[i][at + k])
+                        rows.append(features[at + k])
                         grads.append((net.convs[c][k] * own).T)
             for value, step, grad in zip([*net.convs, *net.conv_bias, net.out], [*steps, *bias_steps, out_step], [*g_conv, *g_bias, g_out]):
                 step.step(value, grad)
@@ -205,12 +207,25 @@ def calibrate(net: Network, logits: np.ndarray, labels: np.ndarray, langs: list[
             net.thresholds[lang] = float(cuts[max(range(len(cuts)), key=right.__getitem__)])
 
 
-def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 10_000, most_words: int = 4000, shape: Shape | None = None) -> Network | None:
+class _Texts:
+    """Feature matrices of texts, kept as numbers of words: 4 bytes a word of a text."""
+
+    def __init__(self, numbers: list[np.ndarray], table: np.ndarray):
+        self.numbers, self.table = numbers, table
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.table[self.numbers[i]]
+
+
+def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 10_000, shape: Shape | None = None) -> Network | None:
     """Train on documents (doc_id, text, lang) that labels (doc_id, toxic) cover.
 
-    At most ``most_rows`` rows come to the driver, as word hashes; of a training text the
-    first ``most_words`` words take part.  (Scoring always takes whole texts.)  Labels are drawn
-    before they are joined, so the broadcast side is bounded by ``most_rows`` and no text is shuffled.
+    At most ``most_rows`` rows come to the driver, as numbers of words, and each takes part with its
+    whole text, as in scoring.  Labels are drawn before they are joined, so the broadcast side is
+    bounded by ``most_rows`` and no text is shuffled.
     """
     shape = shape or Shape()
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
@@ -222,23 +237,26 @@ def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 10_000, most_w
     drawn = usable.where(F.pmod(order, F.lit(1 << 40)) < int(share * (1 << 40))).limit(2 * most_rows)
     texts_of = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     joined = texts_of.join(F.broadcast(drawn), "doc_id")
-    rows = joined.orderBy(order, "text").limit(most_rows).select("toxic", "lang", F.slice(common.words_of(F.col("text")), 1, most_words).alias("words"), F.pmod(order, F.lit(10)).alias("part"))
-    texts, labels, langs, parts, known = [], [], [], [], {}
+    rows = joined.orderBy(order, "text").limit(most_rows).select("toxic", "lang", common.words_of(F.col("text")).alias("words"), F.pmod(order, F.lit(10)).alias("part"))
+    numbers, labels, langs, parts, known, table = [], [], [], [], {}, array("i")
     for row in rows.toLocalIterator():
-        matrix = np.empty((len(row["words"]), 1 + len(shape.prefixes)), np.int32)
+        own = np.empty(len(row["words"]), np.int32)
         for i, word in enumerate(row["words"]):
-            if (ids := known.get(word)) is None:
-                ids = known[word] = word_features(word, shape)
-                if len(known) > 200_000:
+            if (number := known.get(word)) is None:
+                if len(known) >= 200_000:
                     known.clear()
-            matrix[i] = ids
-        texts.append(matrix)
+                number = known[word] = len(table) // (1 + len(shape.prefixes))
+                table.extend(word_features(word, shape))
+            own[i] = number
+        numbers.append(own)
         labels.append(row["toxic"])
         langs.append(row["lang"])
         parts.append(row["part"])
+    known.clear()
+    texts = _Texts(numbers, np.array(table, np.int32).reshape(-1, 1 + len(shape.prefixes)))
     y, part = np.array(labels, np.float32), np.array(parts)
     net = Network.fresh(shape)
-    pick = lambda mask: ([texts[i] for i in np.flatnonzero(mask)], y[mask])
+    pick = lambda mask: (_Texts([numbers[i] for i in np.flatnonzero(mask)], texts.table), y[mask])
     if len(set(y[part < 4])) < 2 or len(set(y[(part >= 4) & (part < 8)])) < 2:
         net.out[:] = 0
         share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
