@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models on what they leave.
 
 Two models of first order give the likelihood of each character after the one before: one
-learnt from random strings, one from ordinary identifiers and words.  A run of
-key-like characters whose log-likelihood ratio is high enough is a secret.
+learnt from random strings, one from ordinary identifiers and words.  In a run of
+key-like characters, each part whose log-likelihood ratio is high enough is a secret.
 Both models and the threshold come from labelled samples, of bounded size.
 
 Defined results: null and empty texts have no spans.  Spans are offsets in code points, end
@@ -32,7 +32,7 @@ ASSIGN_LEAST = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ACCESS_LEAST = 18
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: What the models look at: runs of key-like characters that hold a digit and a letter.
+#: What the models look at: runs of key-like characters, without what the patterns found in them.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 #: Words from which ordinary identifiers are put together.
@@ -53,6 +53,17 @@ COMMON_WORDS = (
     "widget width window worker wrapper write year zone"
 ).split()
 
+#: Words from which long words without a break are put together, as several languages do.
+PROSE_WORDS = (
+    "the that with which from this have they there their about would other thing never after where these being under between nation "
+    "action session ending reading working water people little ever only hand land house ably able ness ment ship hood less father "
+    "und die der ein eine nicht auch nach schaft fahrt heit keit lich ung gesellschaft versicherung arbeit zeit haus schule recht "
+    "verwaltung schiff donau dampf kraft werk wagen freund freiheit be ver zer ent an auf aus schrift sprache schutz pflicht ach zusch "
+    "les des une que dans pour elle sont avec mais tout ment tion eau eaux aux eur euse ique ais ait oir oire peux jeux chateau "
+    "gouvernement en au oui ai re anticonstitutionnellement los las una que por para con como pero mente cion ado ada idad ero oso "
+    "es as os gue miento ciudad trabajo siempre entonces sin embargo desafortunadamente haha hehe hihi jaja oh ah"
+).split()
+
 _LOW, _HIGH = 33, 127
 _SIZE = _HIGH - _LOW + 1
 
@@ -69,10 +80,38 @@ class MarkovPair:
     step: np.ndarray
     threshold: float
 
-    def ratio(self, token: str) -> float:
-        """Log-likelihood of a random string minus that of an ordinary one."""
+    def ratios(self, token: str) -> np.ndarray:
+        """For each character the log-likelihood under the random model minus that under the ordinary one."""
         codes = _codes(token)
-        return float(self.first[codes[0]] + self.step[codes[:-1], codes[1:]].sum())
+        return np.concatenate([self.first[codes[:1]], self.step[codes[:-1], codes[1:]]])
+
+    def parts(self, token: str, free: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+        """(start, end) of all parts of a token whose sums reach the threshold, the best of each stretch first
+        and then what lies beside it; ``free`` are the stretches to look at, or the whole token."""
+        ratios, out, left = self.ratios(token), [], list(free if free is not None else [(0, len(token))])
+        while left:
+            low, high = left.pop()
+            start, end, total = best_part(ratios[low:high])
+            if total >= self.threshold:
+                # A word of letters and digits is taken whole: its ends may look ordinary by chance.
+                start, end = low + start, low + end
+                while start > low and token[start].isalnum() and token[start - 1].isalnum():
+                    start -= 1
+                while end < high and token[end].isalnum() and token[end - 1].isalnum():
+                    end += 1
+                out.append((start, end))
+                left += [(low, start), (end, high)]
+        return sorted(out)
+
+
+def best_part(ratios: np.ndarray) -> tuple[int, int, float]:
+    """(start, end, sum) of the consecutive values with the largest sum."""
+    if not len(ratios):
+        return 0, 0, -np.inf
+    sums = np.concatenate([[0.0], np.cumsum(ratios)])
+    gain = sums[1:] - np.minimum.accumulate(sums[:-1])
+    end = int(gain.argmax())
+    return int(sums[: end + 1].argmin()), end + 1, float(gain[end])
 
 
 def _model(tokens: list[str], smoothing: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +126,11 @@ def _model(tokens: list[str], smoothing: float = 0.5) -> tuple[np.ndarray, np.nd
 
 def train(random_tokens: list[str], ordinary_tokens: list[str], margin: float = 8.0) -> MarkovPair:
     """Fit both models on four of five samples; the threshold lies ``margin`` above the
-    highest ratio of the ordinary samples set aside that are long enough to be looked at."""
+    highest ratio of any part of the ordinary samples set aside that are long enough to be looked at."""
     fit = lambda tokens: _model([t for i, t in enumerate(tokens) if i % 5])
     (r_first, r_step), (o_first, o_step) = fit(random_tokens), fit(ordinary_tokens)
     pair = MarkovPair(r_first - o_first, r_step - o_step, 0.0)
-    aside = [pair.ratio(t) for t in ordinary_tokens[::5] if CANDIDATE.fullmatch(t)]
+    aside = [best_part(pair.ratios(t))[2] for t in ordinary_tokens[::5] if CANDIDATE.fullmatch(t)]
     pair.threshold = max([0.0, *aside]) + margin
     return pair
 
@@ -132,6 +171,18 @@ def labelled_ordinary(n: int = 8000, seed: int = 12) -> list[str]:
     return out
 
 
+def labelled_prose(n: int = 6000, seed: int = 13) -> list[str]:
+    """Long words of several languages, and rulers of one character."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        word = "".join(PROSE_WORDS[k] for k in rng.integers(0, len(PROSE_WORDS), int(rng.integers(2, 9))))
+        out.append(word.capitalize() if i % 4 == 0 else word.upper() if i % 40 == 1 else word)
+    for c in "-_=+/":
+        out += [c * int(k) for k in rng.integers(16, 60, 10)]
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the fixed patterns find."""
     out = []
@@ -146,17 +197,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def model_spans(text: str, pair: MarkovPair, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the models add."""
-    if not any(len(w) >= 16 and not w.isalpha() for w in text.split()):
+    if not any(len(w) >= 16 for w in text.split()):
         return []
     out = []
     for m in CANDIDATE.finditer(text):
-        token, start, end = m[0], m.start(), m.end()
-        if token.isalpha() or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
-            continue
-        if any(s < end and start < e for s, _, e in base):
-            continue
-        if pair.ratio(token) >= pair.threshold:
-            out.append((start, 3, end))
+        at, free = 0, []
+        for s, _, e in base:
+            if s < m.end() and m.start() < e:
+                free.append((at, s - m.start()))
+                at = max(at, e - m.start())
+        free.append((at, len(m[0])))
+        free = [(a, b) for a, b in free if a < b]
+        out += [(m.start() + a, 3, m.start() + b) for a, b in pair.parts(m[0], free)]
     return out
 
 
@@ -183,7 +235,7 @@ def _scan(names: list[str], pair: MarkovPair):
 def trained_pair() -> MarkovPair:
     """The pair of models of the production query: from labelled samples of fixed size alone,
     so that it is the same for every corpus."""
-    return train(labelled_random(), labelled_ordinary())
+    return train(labelled_random(), labelled_ordinary() + labelled_prose())
 
 
 def scan(documents: DataFrame, pair: MarkovPair, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
