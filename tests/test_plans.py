@@ -235,3 +235,13 @@ def test_costs():
 
 def test_deltas(cat):
     assert sorted(ids(paging.delta(cat.tables["net"], since_id=11, updated_since=F.lit("2024-01-03").cast("timestamp")))) == [13, 14]
+
+
+def test_batches_number_all_rows_over_ranges(spark):
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("id"), (F.col("id") * 7919 % 5000 / 2500).cast("int").alias("ts"))
+    got = paging.numbered(rows, ["ts", "id"])
+    assert all(r["id"] == r["at"] for r in got.collect())
+    assert {r["id"]: r["batch"] for r in paging.batches(rows, ["ts", "id"], 500).collect()} == {i: i // 500 for i in range(5000)}
+    assert paging.numbered(rows.limit(0), ["ts", "id"]).count() == 0
+    key = F.struct("ts", "id")
+    assert got.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.max(key)).count() > 1

@@ -8,7 +8,7 @@ import json
 from collections.abc import Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from weftwork.plans.filters import FilterError
@@ -182,3 +182,27 @@ def slice_page(column: Column, offset: int, size: int) -> Column:
     """Part of a nested set; a page holds 20 entries, 100 at most."""
     size = 20 if size <= 0 else min(size, 100)
     return F.slice(column, offset + 1, size)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], name: str = "at") -> DataFrame:
+    """Number the rows from 0 in the order of ``keys``, nulls first, without sorting all of them in one task.
+
+    Bounds from a sample deal the rows into ranges; a row's number is the count of the
+    ranges before its own plus its number within.  The bounds tell only how even the ranges are.
+    """
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    step = max(1, df.count() // (20 * n))
+    key = F.struct(*keys)
+    sample = df.where(F.pmod(F.xxhash64(*keys), F.lit(step)) == 0).agg(F.sort_array(F.collect_list(key)).alias("_sample"))
+    bounds = sample.select(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("_sample", F.floor(i * F.size("_sample") / n).cast("int"))).alias("_bounds"))
+    dealt = df.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each range.
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*keys)))
+    return within.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col(name) - 1).cast("bigint")).drop("_range", "_before")
+
+
+def batches(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """Add ``batch``: which batch of ``size`` rows, in the order of ``keys``, holds the row."""
+    return numbered(df, keys, "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("bigint"))

@@ -456,12 +456,13 @@ def top_per_parent(spark: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT event_id, ((row_number() OVER (ORDER BY ts, event_id)) - 1) // 500 AS batch FROM events WHERE event_type = 'click'")
 def page_stream_batches(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    # Batches number all rows of the stream; the filter keeps one type's worth of them.
     rows = _table(spark, d, "events").where("event_type = 'click'")
-    at = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return rows.select("event_id", F.floor((at - 1) / 500).cast("bigint").alias("batch"))
+    return paging.batches(rows, ["ts", "event_id"], 500).select("event_id", "batch")
+
+
+@register("SELECT event_id, ((row_number() OVER (ORDER BY ts, event_id)) - 1) // 500 AS batch FROM events")
+def page_stream_batches_all(spark: SparkSession, d: str) -> DataFrame:
+    return paging.batches(_table(spark, d, "events"), ["ts", "event_id"], 500).select("event_id", "batch")
 
 
 # Search and comparison.
