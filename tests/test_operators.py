@@ -145,3 +145,14 @@ def test_aggregates(spark, cat):
     m = spark.createDataFrame([({"a": 1, "b": 5},)], "m map<string,bigint>")
     assert m.select(aggregates.total_of(F.col("m"))).collect()[0][0] == 6
     assert joins.missing_parents(spark.createDataFrame([(1,), (9,), (9,), (None,)], "fk long"), "fk", cat.tables["org"]).collect()[0]["id"] == 9
+
+
+def test_whole_table_queries_have_no_subset(spark, tmp_path):
+    from weftwork.queries import QUERIES
+
+    links = [(s, p, k) for k, (s, p) in enumerate([(1, 7), (40, 7), (40, 7), (40, 3), (900, 5), (900, 99)])]
+    spark.createDataFrame(links, "l_suppkey long, l_partkey long, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(3, "c"), (5, "e"), (7, "g")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    names = {3: "c", 5: "e", 7: "g"}
+    assert sorted(map(tuple, QUERIES["join_through_all"](spark, str(tmp_path)).collect())) == sorted((s, p, names[p]) for s, p, _ in links if p in names)
+    assert sorted(map(tuple, QUERIES["nest_through_ids_all"](spark, str(tmp_path)).collect())) == [(1, "7"), (40, "7,7,3"), (900, "5,99")]

@@ -261,6 +261,12 @@ def join_through(spark: SparkSession, d: str) -> DataFrame:
     return reached.select(F.col("_fk").alias("l_suppkey"), "p_partkey", "p_name")
 
 
+@register("SELECT l_suppkey, p_partkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey")
+def join_through_all(spark: SparkSession, d: str) -> DataFrame:
+    reached = joins.through(_table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_orderkey", _table(spark, d, "part"), "p_partkey")
+    return reached.select(F.col("_fk").alias("l_suppkey"), "p_partkey", "p_name")
+
+
 @register("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment <> 'FURNITURE')")
 def join_anti_orphans(spark: SparkSession, d: str) -> DataFrame:
     return joins.orphans(_table(spark, d, "orders"), "o_custkey", _table(spark, d, "customer").where("c_mktsegment <> 'FURNITURE'"), "c_custkey").select("o_orderkey", "o_custkey")
@@ -314,6 +320,12 @@ def nest_through_ids(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("_fk").alias("l_suppkey"), _listed("items").alias("parts"))
 
 
+@register("SELECT l_suppkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_orderkey, l_partkey) AS parts FROM lineitem GROUP BY 1")
+def nest_through_ids_all(spark: SparkSession, d: str) -> DataFrame:
+    found = joins.through_ids(_table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_orderkey")
+    return found.select(F.col("_fk").alias("l_suppkey"), _listed("items").alias("parts"))
+
+
 # Aggregations.
 
 
