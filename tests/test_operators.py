@@ -156,3 +156,10 @@ def test_whole_table_queries_have_no_subset(spark, tmp_path):
     names = {3: "c", 5: "e", 7: "g"}
     assert sorted(map(tuple, QUERIES["join_through_all"](spark, str(tmp_path)).collect())) == sorted((s, p, names[p]) for s, p, _ in links if p in names)
     assert sorted(map(tuple, QUERIES["nest_through_ids_all"](spark, str(tmp_path)).collect())) == [(1, "7"), (40, "7,7,3"), (900, "5,99")]
+
+
+def test_bandwidth_halves_round_as_doubles(spark):
+    values = [m * 50_000 for m in range(1, 2000)] + [999, 1000, 999_999, 1_049_999, 1_050_001, 123_456_789]
+    shown = spark.createDataFrame([(v,) for v in values], "mbps long").select("mbps", fmt.format_bandwidth(F.col("mbps")).alias("s"))
+    brute = lambda v: f"{v / 1e6:.1f} Tbps" if v >= 1_000_000 else f"{v // 1000} Gbps" if v >= 1000 else f"{v} Mbps"
+    assert [r for r in map(tuple, shown.collect()) if r[1] != brute(r[0])] == []

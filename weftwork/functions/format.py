@@ -17,7 +17,14 @@ def format_speed(mbps: Column) -> Column:
 
 
 def format_bandwidth(mbps: Column) -> Column:
-    tera = F.format_string("%.1f Tbps", (mbps / F.lit(1_000_000)).cast("double"))
+    """Halves of a tenth go where the nearest double lies, as in C and Go; exact ones to the even tenth."""
+    value = mbps.cast("double") / F.lit(1e6)
+    # Multiples of the value near the number of half tenths: each step is exact in doubles.
+    beyond = (value * 16 - F.floor(mbps / 50_000)) + value * 4
+    low = F.floor(mbps / 100_000)
+    up = (beyond > 0) | ((beyond == 0) & (low % 2 == 1))
+    tenths = F.when(mbps % 100_000 == 50_000, low + F.when(up, 1).otherwise(0)).otherwise(F.floor((mbps + 50_000) / 100_000))
+    tera = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" Tbps"))
     return F.when(mbps >= 1_000_000, tera).when(mbps >= 1000, F.concat(_whole(mbps, 1000), F.lit(" Gbps"))).otherwise(F.concat(mbps.cast("string"), F.lit(" Mbps")))
 
 

@@ -620,6 +620,16 @@ def fmt_bandwidth(spark: SparkSession, d: str) -> DataFrame:
     return _mbps(spark, d).where("mbps % 100000 <> 50000").select("o_orderkey", fmt.format_bandwidth(F.col("mbps")).alias("bandwidth"))
 
 
+@register(
+    f"""
+    SELECT o_orderkey, CASE WHEN {_ROUNDED} >= 1000000 THEN printf('%.1f Tbps', {_ROUNDED}::DOUBLE / 1000000::DOUBLE)
+    WHEN {_ROUNDED} >= 1000 THEN ({_ROUNDED} // 1000)::VARCHAR || ' Gbps' ELSE {_ROUNDED}::VARCHAR || ' Mbps' END AS bandwidth FROM orders
+    """
+)
+def fmt_bandwidth_all(spark: SparkSession, d: str) -> DataFrame:
+    return _mbps(spark, d).select("o_orderkey", fmt.format_bandwidth(F.col("mbps")).alias("bandwidth"))
+
+
 @register(
     f"""
     SELECT tier, count(*) AS n FROM (SELECT CASE WHEN {_ROUNDED} >= 400000 THEN '400G' WHEN {_ROUNDED} >= 100000 THEN '100G' WHEN {_ROUNDED} > 1000 THEN '10G'
