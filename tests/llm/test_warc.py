@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
+import os
 from base64 import b32encode
 from collections import Counter
 
@@ -21,7 +23,7 @@ PAGES = [
 def write(spark, tmp_path, rows=PAGES, name="warc"):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     path = f"{tmp_path}/{name}"
-    warc.write_archives(warc.archive_records(warc.with_decisions(pages)), path, records_per_file=5)
+    warc.write_archives(warc.with_decisions(pages), path, most_bytes=1 << 13)
     return path
 
 
@@ -55,10 +57,34 @@ def test_revisits_point_to_the_smallest_page(spark, tmp_path):
     )
 
 
-def test_archives_follow_the_size_of_pages(spark):
-    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
-    assert warc.records_per_archive(pages, 1 << 20) == int(3 * (1 << 20) / (sum(len((p[2] or "").encode()) for p in PAGES) / len(PAGES) + 1500))
-    assert warc.records_per_archive(pages.limit(0)) > 3 and warc.records_per_archive(pages, 1) == 3
+def test_no_archive_is_larger_than_asked(spark, tmp_path):
+    """However sizes are spread: large pages lie together among small ones."""
+    rows = [(i, f"http://a.example/{i}", "x" * n) for i, n in enumerate([*[10] * 200, *[30_000] * 12, *[900] * 100, 500_000, 70_000, *[10] * 100])]
+    path = write(spark, tmp_path, rows)
+    sizes = {}
+    for name in os.listdir(path):
+        if name.endswith(".gz"):
+            with gzip.open(f"{path}/{name}") as f:
+                sizes[name] = (len(data := f.read()), sum(1 for h, _ in warc.parse(data) if h["warc-type"] == "metadata"))
+    assert sum(n for _, n in sizes.values()) == len(rows)
+    assert all(size <= 1 << 13 or n == 1 for size, n in sizes.values())
+    assert warc.captures_per_archive(0) > 6000 and warc.captures_per_archive(len(warc.CLASS_BYTES)) == 1
+
+
+def test_the_result_comes_through_the_transactions(spark, tmp_path):
+    """Both joins of the assembly are in the plan, archives are parsed once, and records left out are missed."""
+    records = warc.read_records(spark, write(spark, tmp_path))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    resolved = plan(warc.resolve_revisits(warc.assemble(records)))
+    assert "MapInArrow" not in resolved
+    for df in (warc.assemble(records), warc.resolve_revisits(warc.assemble(records).where("response.type = 'response'"))):
+        assert plan(df).count("Join Inner") >= 1 and plan(df).count("Join LeftOuter") >= 1
+    rows = warc.resolve_revisits(warc.assemble(records.where("type <> 'request'"))).collect()
+    assert {(r["request_uri"], r["n_concurrent"]) for r in rows} == {(None, 1)}
+    rows = warc.resolve_revisits(warc.assemble(records.where("type <> 'metadata'"))).collect()
+    assert {r["metadata_bytes"] for r in rows} == {None}
+    by_page = {r["page_id"]: r for r in warc.resolve_revisits(warc.assemble(records)).collect()}
+    assert by_page[3]["request_uri"] == "http://a.example/x%20y" and by_page[6]["metadata_bytes"] == 300_000 and by_page[5]["n_concurrent"] == 2
 
 
 def test_minimum_size_keeps_small_payloads(spark):
@@ -67,15 +93,28 @@ def test_minimum_size_keeps_small_payloads(spark):
 
 
 def test_links_in_both_directions(spark):
-    fields = "record_id string, type string, concurrent_to string, refers_to string, target string, page_id long, headers map<string,string>, payload binary, payload_bytes long, payload_digest string"
+    fields = "record_id string, type string, concurrent_to array<string>, refers_to string, target string, page_id long, headers map<string,string>, payload binary, payload_bytes long, payload_digest string"
     blank = (None, "t", None, {}, b"", 0, "d")
-    rows = [("r1", "response", "q1", *blank), ("q1", "request", None, *blank), ("m1", "metadata", "r1", *blank), ("m2", "metadata", "nowhere", *blank), ("r2", "response", None, *blank)]
+    rows = [
+        ("r1", "response", ["q1", "m3"], *blank),
+        ("q1", "request", None, *blank),
+        ("m1", "metadata", ["r1"], *blank),
+        ("m2", "metadata", ["nowhere"], *blank),
+        ("m3", "metadata", ["r1", "nowhere"], *blank),
+        ("r2", "response", [], *blank),
+    ]
     got = {c["capture_id"]: c for c in warc.assemble(spark.createDataFrame(rows, fields)).collect()}
-    assert got["r1"]["request"]["record_id"] == "q1" and [m["record_id"] for m in got["r1"]["metadata"]] == ["m1"]
+    assert got["r1"]["request"]["record_id"] == "q1" and [m["record_id"] for m in got["r1"]["metadata"]] == ["m1", "m3"]
     assert got["r2"]["request"] is None and got["r2"]["metadata"] is None and got.keys() == {"r1", "r2"}
 
 
+def test_repeated_headers():
+    record = b"WARC/1.1\r\nWARC-Concurrent-To: <a>\r\nWARC-Type: metadata\r\nWARC-Concurrent-To: <b>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    assert [(h["warc-concurrent-to"], block) for h, block in warc.parse(record)] == [("<a> <b>", b"hi")]
+
+
 def test_empty_and_extra_columns(spark, tmp_path):
+    assert warc.resolve_revisits(warc.captured(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/none")).count() == 0
     assert warc.with_decisions(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     pages = spark.createDataFrame([(1, "u", "h", "x")], "page_id long, url string, html string, payload string")
     assert warc.with_decisions(pages).count() == 1

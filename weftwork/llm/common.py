@@ -23,14 +23,16 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (a local test session), a local folder is
-    set once for the context.
+    Where the session names none, a local session gets a local folder, set once for the context.
+    A cluster's executors would each write to a disk of their own, so there this is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftwork-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -45,19 +47,26 @@ def shared_path(spark: SparkSession, label: str) -> str:
 _TRACKED: list[list[str]] = []
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage in storage that outlives any executor, and later
-    readers see only the columns they need.
+    readers see only the columns they need, and of a table dealt by a column only the folders they ask for.
     """
     path = shared_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     for paths in _TRACKED:
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any storage that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 @contextmanager
 def tracking() -> Iterator[list[str]]:
     """Collect the paths of the tables that are written inside, so that they can be deleted

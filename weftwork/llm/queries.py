@@ -30,9 +30,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, path = common.table(spark, sf_dir, "pages"), common.shared_path(spark, "warc")
-    warc.write_archives(warc.archive_records(warc.with_decisions(pages, min_bytes=0)), path, warc.records_per_archive(pages))
-    captures = warc.assemble(warc.read_records(spark, path))
+    captures = warc.captured(common.table(spark, sf_dir, "pages"), common.shared_path(spark, "warc"), min_bytes=0)
     return warc.resolve_revisits(captures)
 
 

@@ -3,14 +3,17 @@
 A capture is written as three records: request, response (or revisit, where an
 earlier capture has the same payload) and metadata.  WARC-Concurrent-To ties request and
 metadata to the response.  Reading gives one row per record; ``assemble`` joins
-them through these identifiers, in either direction, to one nested row per capture.
+them through these identifiers, in either direction, to one nested row per capture.  Archives are
+parsed once and captures assembled once: both are tables, and what follows reads the columns it needs.
 
 Archives are written by Spark's text writer with the record separator as line end, and
-read as whole files of bounded size, so any storage that Spark reaches will do.
+read as whole files, so any storage that Spark reaches will do.  Captures of like size share
+archives, so that none holds more than about 16 MB before compression, or a single capture.
 
 Defined results: a null payload is empty; a null url writes no target; a null page_id is kept
 as null and comes after all others when the smallest is chosen.  Repeated rows are
-captures of their own: the first of them is the response.  An empty table gives no records.
+captures of their own: the first of them is the response.  An empty table gives no records.  A very
+long page is an archive of its own, and takes its size a few times in the tasks that write and parse it.
 Records that no other names, or that name a missing one, are left out of captures but
 stay in ``read_records``.  Extra columns are ignored.
 """
@@ -57,17 +60,28 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(head, F.lit(f"{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
 
 
+#: Largest payload of each class of captures that share archives; what is larger has one of its own.
+CLASS_BYTES = tuple(1 << k for k in range(10, 24, 2))
+
+
+def size_class(payload_bytes: Column) -> Column:
+    """The number of the first class that the payload fits, or that of the class without a limit."""
+    out = F.lit(len(CLASS_BYTES))
+    for k in reversed(range(len(CLASS_BYTES))):
+        out = F.when(payload_bytes <= CLASS_BYTES[k], k).otherwise(out)
+    return out
+
+
 def with_decisions(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Add payload_digest, payload_bytes, record and whether each capture is a response.
+    """Add payload_digest, payload_bytes, size_class, of_row and whether each capture is a response.
 
     Among equal payloads of ``min_bytes`` or more, the first by (page_id, row) is the
     response; digests are grouped before anything is joined.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row_id"))
-    rows = common.materialize(
-        rows.withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long")), "captures"
-    )
+    rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    rows = common.materialize(rows.withColumn("size_class", size_class(F.col("payload_bytes"))), "captures", by="size_class")
     rank = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row_id")
     firsts = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = common.materialize(firsts.select("payload_digest", F.col("payload_bytes").alias("b"), F.col("first.row_id").alias("first_row")), "firsts")
@@ -119,18 +133,20 @@ def archive_records(decided: DataFrame, date: str = "2026-01-01T00:00:00Z") -> D
     return decided.select(F.explode(F.array(request, F.when(F.col("is_response"), response).otherwise(revisit), metadata)).alias("value"))
 
 
-def records_per_archive(pages: DataFrame, most_bytes: int = 16 << 20) -> int:
-    """How many records make an archive of about ``most_bytes``, at the mean size of a page.
+def captures_per_archive(kind: int, most_bytes: int = 16 << 20, headers: int = 1500) -> int:
+    """How many captures of a size class surely fit an archive of ``most_bytes``, one at least."""
+    return max(1, most_bytes // (CLASS_BYTES[kind] + headers)) if kind < len(CLASS_BYTES) else 1
 
-    An archive is read as a whole, so this bounds the memory of a reading task.
-    """
-    mean = pages.agg(F.avg(F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))))).first()[0] or 0.0
-    return max(3, int(3 * most_bytes / (mean + 1500)))
 
+def write_archives(decided: DataFrame, path: str, most_bytes: int = 16 << 20) -> None:
+    """Write the captures' archives, gzip-compressed as a whole, each record ended as the format asks.
 
-def write_archives(records: DataFrame, path: str, records_per_file: int = 3000) -> None:
-    """Write archives that end each record as the format asks, gzip-compressed as a whole."""
-    records.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    One write for each size class that has rows; the files of a class hold as many captures as
+    surely fit ``most_bytes``, however sizes are spread over the input.
+    """
+    for (kind,) in sorted(decided.select("size_class").distinct().collect()):
+        records = archive_records(decided.where(F.col("size_class") == kind))
+        records.write.mode("append").option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_per_archive(kind, most_bytes)).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -149,7 +165,9 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         headers: dict[str, str] = {}
         for line in re.sub(rb"\r\n[ \t]+", b" ", data[at:end]).split(b"\r\n")[1:]:
             key, _, value = line.partition(b":")
-            headers[key.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+            name, text = key.strip().lower().decode("utf-8", "replace"), value.strip().decode("utf-8", "replace")
+            # The one header that may come several times.
+            headers[name] = f"{headers[name]} {text}" if name == "warc-concurrent-to" and name in headers else text
         size = int(headers["content-length"])
         block = data[end + 4 : end + 4 + size]
         if len(block) < size:
@@ -159,7 +177,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 RECORDS = (
-    "record_id string, type string, concurrent_to string, refers_to string, target string, page_id long, "
+    "record_id string, type string, concurrent_to array<string>, refers_to string, target string, page_id long, "
     "headers map<string,string>, block_bytes long, payload binary, payload_bytes long, payload_digest string, archive string"
 )
 
@@ -172,7 +190,7 @@ def _payload(headers: dict[str, str], block: bytes) -> bytes:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string()] * 5 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()]
     names = [part.split(" ")[0] for part in re.sub(r"<.*?>", "", RECORDS).split(", ")]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -186,7 +204,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 page = h.get("warc-page-id")
                 digest = b32encode(hashlib.sha1(payload).digest()).decode()
                 rows.append(
-                    (h.get("warc-record-id"), h.get("warc-type"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), int(page) if page else None, list(h.items()), len(block), payload, len(payload), digest, archive)
+                    (h.get("warc-record-id"), h.get("warc-type"), h.get("warc-concurrent-to", "").split(), h.get("warc-refers-to"), h.get("warc-target-uri"), int(page) if page else None, list(h.items()), len(block), payload, len(payload), digest, archive)
                 )
                 size += len(block)
                 if size > 8 << 20:
@@ -197,10 +215,13 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of all archives in a folder.  Payload size and digest are of the bytes read."""
+    """One row per record of all archives in a folder, as a table of the shared folder, so that no archive
+    is parsed twice.  Payload size and digest are of the bytes read."""
     common.ship_package(spark)
+    if not common.exists(spark, path):
+        return spark.createDataFrame([], RECORDS)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_parsed, RECORDS)
+    return common.materialize(files.mapInArrow(_parsed, RECORDS), "records")
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -208,13 +229,13 @@ def assemble(records: DataFrame) -> DataFrame:
 
     ``response`` holds the record's fields; ``request`` is a struct or null and ``metadata`` an array of
     structs.  Links count in both directions: from a record to the response
-    and from the response to a record.  Blocks of responses are shuffled once at most.
+    and from the response to a record.  Blocks of responses are shuffled once.
     """
     main = F.col("type").isin("response", "revisit", "resource")
     heads = records.where(main)
     small = records.where(~main).select("record_id", "type", "concurrent_to", "target", "payload")
-    backward = small.select(F.col("concurrent_to").alias("capture_id"), F.col("record_id").alias("other"))
-    forward = heads.select(F.col("record_id").alias("capture_id"), F.col("concurrent_to").alias("other"))
+    backward = small.select(F.explode("concurrent_to").alias("capture_id"), F.col("record_id").alias("other"))
+    forward = heads.select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("other"))
     links = backward.union(forward).where("capture_id IS NOT NULL AND other IS NOT NULL").distinct()
     parts = links.join(small, links["other"] == small["record_id"])
     tied = parts.groupBy("capture_id").agg(F.sort_array(F.collect_list(F.struct("type", "record_id", "target", "payload"))).alias("parts"))
@@ -228,22 +249,46 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def resolve_revisits(captures: DataFrame) -> DataFrame:
-    """page_id, record_type, and of the payload a capture stands for: payload_bytes,
-    payload_digest and refers_to, the page whose response holds it."""
+    """page_id, record_type, of the payload a capture stands for payload_bytes, payload_digest and
+    refers_to (the page whose response holds it), and of the records tied to it request_uri,
+    metadata_bytes (what the first metadata record says of the page) and n_concurrent.
+
+    Revisits alone are joined; responses hold what they stand for.
+    """
     r = F.col("response")
+    said = F.regexp_extract(F.get("metadata", F.lit(0))["payload"].cast("string"), r"pageBytes: ([0-9]+)", 1)
     flat = captures.select(
-        r["record_id"].alias("record_id"), r["type"].alias("record_type"), r["page_id"].alias("page_id"), r["refers_to"].alias("to"), r["payload_bytes"].alias("n"), r["payload_digest"].alias("digest")
+        r["record_id"].alias("record_id"),
+        r["type"].alias("record_type"),
+        r["page_id"].alias("page_id"),
+        r["refers_to"].alias("to"),
+        r["payload_bytes"].alias("n"),
+        r["payload_digest"].alias("digest"),
+        F.col("request")["target"].alias("request_uri"),
+        F.when(said != "", said).cast("long").alias("metadata_bytes"),
+        (F.coalesce(F.size("metadata"), F.lit(0)) + F.when(F.col("request").isNull(), 0).otherwise(1)).cast("long").alias("n_concurrent"),
     )
+    more = ("request_uri", "metadata_bytes", "n_concurrent")
     held = flat.where("record_type = 'response'").select(F.col("record_id").alias("held_id"), F.col("page_id").alias("held_page"), F.col("n").alias("held_n"), F.col("digest").alias("held_digest"))
-    joined = flat.join(held, flat["to"] == held["held_id"], "left")
-    revisit = F.col("record_type") == "revisit"
-    return joined.select(
-        "page_id",
-        F.when(revisit, F.col("held_n")).otherwise(F.col("n")).alias("payload_bytes"),
-        F.when(revisit, F.col("held_digest")).otherwise(F.col("digest")).alias("payload_digest"),
-        "record_type",
-        F.when(revisit, F.col("held_page")).alias("refers_to"),
-    )
+    again = flat.where("record_type = 'revisit'").join(held, F.col("to") == F.col("held_id"), "left")
+    again = again.select("page_id", F.col("held_n").alias("payload_bytes"), F.col("held_digest").alias("payload_digest"), "record_type", F.col("held_page").alias("refers_to"), *more)
+    first = flat.where("record_type <> 'revisit'").select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), *more)
+    return first.union(again)
+
+
+def captured(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
+    """Write the archives of ``pages`` into the folder ``path``, read them back and assemble their captures.
+
+    The nested rows are a table of the shared folder; tables on the way are deleted.
+    """
+    spark = pages.sparkSession
+    with common.tracking() as made:
+        write_archives(with_decisions(pages, min_bytes), path)
+    common.delete(spark, made)
+    with common.tracking() as made:
+        captures = common.materialize(assemble(read_records(spark, path)), "assembled")
+    common.delete(spark, made[:-1])
+    return captures
 
 
 def decisions_sql(min_bytes: int = 0) -> str:
@@ -251,9 +296,10 @@ def decisions_sql(min_bytes: int = 0) -> str:
     digit = lambda group, shift: f"substr('{BASE32}', ((('0x' || substr(sha1(html), {5 * group + 1}, 5))::BIGINT >> {shift}) & 31)::INT + 1, 1)"
     base32 = " || ".join(digit(group, shift) for group in range(8) for shift in (15, 10, 5, 0))
     return f"""
-        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-        d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {base32} AS payload_digest FROM p),
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, url, strlen(html)::BIGINT AS payload_bytes, {base32} AS payload_digest FROM p),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {min_bytes} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= {min_bytes} AND page_id <> first THEN first END AS refers_to
+               CASE WHEN payload_bytes >= {min_bytes} AND page_id <> first THEN first END AS refers_to,
+               regexp_replace(url, '[\\x00-\\x20\\x7f]', '%20', 'g') AS request_uri, payload_bytes AS metadata_bytes, 2::BIGINT AS n_concurrent
         FROM f"""
