@@ -138,15 +138,32 @@ def captures_per_archive(kind: int, most_bytes: int = 16 << 20, headers: int = 1
     return max(1, most_bytes // (CLASS_BYTES[kind] + headers)) if kind < len(CLASS_BYTES) else 1
 
 
+def class_groups(counts: list[tuple[int, int, int]]) -> list[list[int]]:
+    """Size classes that are written together, from (class, captures, payload bytes): neighbours join while
+    the mean payload stays above an eighth of the largest class's limit, so that archives aren't tiny."""
+    groups: list[list[int]] = []
+    n = size = 0
+    for kind, captures, payload in sorted(counts):
+        n, size = n + captures, size + payload
+        if groups and kind < len(CLASS_BYTES) and 8 * size >= n * CLASS_BYTES[kind]:
+            groups[-1].append(kind)
+        else:
+            groups.append([kind])
+            n, size = captures, payload
+    return groups
+
+
 def write_archives(decided: DataFrame, path: str, most_bytes: int = 16 << 20) -> None:
     """Write the captures' archives, gzip-compressed as a whole, each record ended as the format asks.
 
-    One write for each size class that has rows; the files of a class hold as many captures as
-    surely fit ``most_bytes``, however sizes are spread over the input.
+    One write for each group of size classes; its files hold as many captures as surely
+    fit ``most_bytes``, however sizes are spread over the input.
     """
-    for (kind,) in sorted(decided.select("size_class").distinct().collect()):
-        records = archive_records(decided.where(F.col("size_class") == kind))
-        records.write.mode("append").option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_per_archive(kind, most_bytes)).text(path)
+    counts = decided.groupBy("size_class").agg(F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("size")).collect()
+    for kinds in class_groups([tuple(row) for row in counts]):
+        records = archive_records(decided.where(F.col("size_class").isin(kinds)))
+        most = 3 * captures_per_archive(kinds[-1], most_bytes)
+        records.write.mode("append").option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
