@@ -1,12 +1,13 @@
 """Media columns: Netpbm and BMP images as binary columns, decoded to numpy arrays.
 
-``with_payload_images`` stores any text losslessly as a grey Netpbm image;
+``store_texts`` stores any text losslessly, as a grey Netpbm image or as a colour BMP, by the
+checksum of its bytes;
 ``decode`` turns stored images back into samples, an NPY tile (the image resized
 by area with integral images) and a difference hash.
 
 Defined results: a null image gives null results.  Bytes that are no image of the known
-formats give null results and say why in ``problem``.  A null text is stored like an empty
-one.  Repeated rows give repeated results; an empty table gives an empty result; extra
+formats, or whose samples lie outside their range, give null results and say why in ``problem``.  A
+null text is stored like an empty one.  A very long text is one image, a few times its size in the task that has it.  Repeated rows give repeated results; an empty table gives an empty result; extra
 columns pass through ``decode`` unless they have the name of a result, which then wins.
 """
 
@@ -14,11 +15,12 @@ from __future__ import annotations
 
 import io
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,7 +68,7 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     n = width * height * channels
     if kind == 1:
         digits = b"".join(line.split(b"#")[0] for line in data[at - 1 :].splitlines())
-        samples = np.frombuffer(digits.translate(None, b" \t\n\r\x0b\x0c"), np.uint8) - 48
+        samples = np.frombuffer(digits.translate(None, b" \t\n\r\x0b\x0c"), np.uint8).astype(np.int64) - 48
     elif kind in (2, 3):
         samples = np.array(b" ".join(line.split(b"#")[0] for line in data[at - 1 :].splitlines()).split(), np.int64)
     elif kind == 4:
@@ -80,6 +82,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if len(samples) < n:
         raise MediaError("samples are missing")
     samples = samples[:n].reshape(height, width, channels)
+    if n and (samples.min() < 0 or samples.max() > top):
+        raise MediaError("a sample is out of range")
     if kind in (1, 4):
         return ((1 - samples) * 255).astype(np.uint8)
     return samples.astype(np.uint8) if top == 255 else (samples.astype(np.int64) * 255 // top).astype(np.uint8)
@@ -180,7 +184,7 @@ def _decoded(data: bytes | None) -> tuple:
         image = decode_image(data)
         if not image.size:
             raise MediaError("the image has no samples")
-    except (MediaError, ValueError, struct.error) as error:
+    except (ValueError, OverflowError, struct.error) as error:
         return (None,) * 6 + (str(error),)
     grey = image[:, :, 0] if image.shape[2] == 1 else image.astype(np.int64) @ np.array([299, 587, 114]) // 1000
     tile = np.floor(area_resize(grey, *TILE) + 0.5).clip(0, 255).astype(np.uint8)
@@ -209,17 +213,26 @@ def decode(images: DataFrame) -> DataFrame:
     return images.select(*[F.col(f"`{n}`") for n in names], F.col("media").cast("binary").alias("media")).mapInArrow(_decode(names), schema)
 
 
-def payload_image(text: Column) -> Column:
-    """The text's UTF-8 bytes, padded with 255, as a raw grey image 24 samples wide."""
-    payload = F.coalesce(text, F.lit("")).cast("binary")
-    blocks = F.greatest(F.ceil(F.octet_length(payload) / F.lit(BLOCK)), F.lit(1)).cast("int")
-    header = F.concat(F.lit(f"P5\n{WIDTH} "), (blocks * (BLOCK // WIDTH)).cast("string"), F.lit("\n255\n")).cast("binary")
-    return F.concat(header, F.rpad(payload, blocks * BLOCK, F.lit(b"\xff")))
+def payload_image(text: bytes) -> bytes:
+    """The text's UTF-8 bytes, padded with 255, as an image 24 samples wide: a raw grey one where
+    their checksum is even, else a BMP of 24 bits."""
+    payload = np.frombuffer(text + b"\xff" * (-len(text) % BLOCK if text else BLOCK), np.uint8)
+    if zlib.crc32(text) % 2:
+        return encode_bmp(payload.reshape(-1, WIDTH, 3))
+    return encode_pgm(payload.reshape(-1, WIDTH))
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in common.slices(whole, "text"):
+            texts = common.utf8_column(batch.column("text"))
+            made = [pa.array([len(t) for t in texts], pa.int64()), pa.array([payload_image(t) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "n_bytes", "media"])
 
 
 def store_texts(documents: DataFrame) -> DataFrame:
     """Write one image for each document as a table in the shared folder, and read it:
     doc_id, n_bytes, media."""
-    text = F.col("text").cast("string")
-    n_bytes = F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
-    return common.materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), n_bytes.alias("n_bytes"), payload_image(text).alias("media")), "media")
+    common.ship_package(documents.sparkSession)
+    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return common.materialize(slim.mapInArrow(_stored, "doc_id long, n_bytes long, media binary"), "media")
