@@ -45,6 +45,30 @@ def test_scores_of_whole_texts_in_parts(spark):
     assert np.isclose(toxicity.Scorer(net, most_words=10).logits(["badword x", ""])[1], net.bias)
 
 
+def test_query_scores_against_the_network_text_by_text(spark):
+    """What the query returns is the whole network's answer on each whole text, cut by the same rule as in training."""
+    rng = random.Random(3)
+    rows = labelled(spark, 300)
+    odd = [(1000 + i, sep.join(rng.choice(["badword", "kata", "lone", "Uglyterm!"]) for _ in range(k)), "en", 0) for i, (sep, k) in enumerate([("\x1c", 5), ("\u00a0", 9), ("\u2028", 3), (" ", 9000), ("", 1), (" ", 0)])]
+    every = rows.union(spark.createDataFrame([*odd, (2000, None, None, None), (None, "badword", "de", 1)], rows.schema))
+    net = fit(every)
+    texts = {r["doc_id"]: r["text"] or "" for r in every.collect()}
+    for r in toxicity.score(every, net).collect():
+        words = toxicity.split_words(texts[r["doc_id"]])
+        features = np.array([toxicity.word_features(w, net.shape) for w in words], np.int64).reshape(-1, 1 + len(net.shape.prefixes))
+        want = net.probability(np.array([net.logit(features)]))[0]
+        assert abs(r["score"] - want) < 1e-4
+
+
+def test_repeated_rows_are_counted(spark):
+    """The bound holds for rows, however often one repeats, and equal rows train as often as they come."""
+    rows = labelled(spark, 60)
+    many = rows.union(rows.where("doc_id = 1").crossJoin(spark.range(500)).drop("id"))
+    assert fit(many) is not None
+    a, b = (toxicity.fit(df, rows.select("doc_id", "toxic"), most_rows=100) for df in (many, many.repartition(7)))
+    assert (a.embed == b.embed).all()
+
+
 def test_same_twice(spark):
     rows = labelled(spark, 300)
     a, b = fit(rows), fit(rows.repartition(3))

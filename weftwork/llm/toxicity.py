@@ -16,7 +16,8 @@ word it covers, so words are projected onto all filters once and remembered.
 
 Defined results: null, empty and blank texts get the score of no evidence (the pooled
 values of an empty text are 0).  Rows without a label don't train; a null doc_id or label doesn't either.
-Repeated rows count as often as they come.  Without labelled rows of both kinds the score is
+Repeated rows count as often as they come.  Words are what ``str.split`` tells apart, in training as in scoring;
+a very long text is scored in parts that overlap.  Without labelled rows of both kinds the score is
 the share of toxic labels, or 0.  An empty table gives an empty result.  Other columns are ignored.
 """
 
@@ -62,6 +63,11 @@ def word_features(word: str, shape: Shape) -> list[int]:
     return out
 
 
+def split_words(text: str) -> list[str]:
+    """The one rule by which training and scoring cut a text."""
+    return text.split()
+
+
 @dataclass
 class Network:
     shape: Shape
@@ -223,36 +229,55 @@ class _Texts:
 def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 10_000, shape: Shape | None = None) -> Network | None:
     """Train on documents (doc_id, text, lang) that labels (doc_id, toxic) cover.
 
-    At most ``most_rows`` rows come to the driver, as numbers of words, and each takes part with its
-    whole text, as in scoring.  Labels are drawn before they are joined, so the broadcast side is
-    bounded by ``most_rows`` and no text is shuffled.
+    At most ``most_rows`` rows come to the driver, one partition after the other, and stay as numbers
+    of words; each takes part with its whole text, as in scoring.  Labels are drawn before they are
+    joined, so the broadcast side is bounded by ``most_rows``; equal rows are counted before texts of
+    labelled rows are shuffled, and what is ordered in one task are keys of fixed size.
     """
     shape = shape or Shape()
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     n = usable.count()
     if not n:
         return None
     order = F.xxhash64("doc_id", F.lit("train"))
     share = min(1.0, 1.1 * most_rows / n)
-    drawn = usable.where(F.pmod(order, F.lit(1 << 40)) < int(share * (1 << 40))).limit(2 * most_rows)
+    drawn = usable.where(F.pmod(order, F.lit(1 << 40)) < int(share * (1 << 40)))
+    drawn = drawn.orderBy(order, "doc_id", "toxic").limit(2 * most_rows)
     texts_of = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     joined = texts_of.join(F.broadcast(drawn), "doc_id")
-    rows = joined.orderBy(order, "text").limit(most_rows).select("toxic", "lang", common.words_of(F.col("text")).alias("words"), F.pmod(order, F.lit(10)).alias("part"))
+    key = F.struct(order.alias("o"), F.sha1(F.coalesce("text", F.lit(""))).alias("d"), "toxic", "lang")
+    counted = joined.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
+    counted = common.materialize(counted, "labelled")
+    times, left, last = {}, most_rows, None
+    for row in counted.select("key", "n").orderBy("key").limit(most_rows).toLocalIterator():
+        if left <= 0:
+            break
+        last = row["key"]
+        times[tuple(last)] = min(left, row["n"])
+        left -= row["n"]
+    drawn_rows = []
     numbers, labels, langs, parts, known, table = [], [], [], [], {}, array("i")
-    for row in rows.toLocalIterator():
-        own = np.empty(len(row["words"]), np.int32)
-        for i, word in enumerate(row["words"]):
+    for row in counted.where(F.col("key.o") <= last["o"]).select("key", "text").toLocalIterator() if last else ():
+        if tuple(row["key"]) not in times:
+            continue
+        words = split_words(row["text"] or "")
+        own = np.empty(len(words), np.int32)
+        for i, word in enumerate(words):
             if (number := known.get(word)) is None:
                 if len(known) >= 200_000:
                     known.clear()
                 number = known[word] = len(table) // (1 + len(shape.prefixes))
                 table.extend(word_features(word, shape))
             own[i] = number
-        numbers.append(own)
-        labels.append(row["toxic"])
-        langs.append(row["lang"])
-        parts.append(row["part"])
+        drawn_rows.append((tuple(row["key"]), own))
     known.clear()
+    # Partitions come in any order; rows take part in the order of their keys, nulls first.
+    for own_key, own in sorted(drawn_rows, key=lambda r: [(v is not None, v) for v in r[0]]):
+        for _ in range(times[own_key]):
+            numbers.append(own)
+            labels.append(own_key[2])
+            langs.append(own_key[3])
+            parts.append(own_key[0] % 10)
     texts = _Texts(numbers, np.array(table, np.int32).reshape(-1, 1 + len(shape.prefixes)))
     y, part = np.array(labels, np.float32), np.array(parts)
     net = Network.fresh(shape)
@@ -289,7 +314,7 @@ class Scorer:
         self.known.update(zip(words, range(first, first + len(words))))
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        split = [text.split() for text in texts]
+        split = [split_words(text) for text in texts]
         new = set()
         for words in split:
             new.update(words)
