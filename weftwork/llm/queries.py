@@ -57,6 +57,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "media_bytes",
         "media_sha256",
         F.col("dhash").alias("feature"),
+        "tile_npy",
     )
 
 
@@ -67,7 +68,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents")
-    found = secrets.scan(documents, secrets.trained_pair())
+    found = secrets.scan(documents, secrets.trained_pair(documents))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "markov")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))

@@ -3,15 +3,20 @@
 Two models of first order give the likelihood of each character after the one before: one
 learnt from random strings, one from ordinary identifiers and words.  In a run of
 key-like characters, each part whose log-likelihood ratio is high enough is a secret.
-Both models and the threshold come from labelled samples, of bounded size.
+Both models and the threshold come from labelled samples of bounded size: generated ones, names of
+Python's standard library, and what a sample of the corpus shows: values that the patterns found are random, other words
+ordinary.  Identifiers of public form (UUIDs, dates and times) are no secrets and aren't scored.
 
 Defined results: null and empty texts have no spans.  Spans are offsets in code points, end
 exclusive.  A model's span never overlaps a pattern's.  Repeated rows give repeated
-results; an empty table gives an empty result; extra columns pass through where kept.
+results; an empty table gives an empty result, and models of the generated samples alone; extra
+columns pass through where kept.  A very long text is scanned whole, in the task that has it.
 """
 
 from __future__ import annotations
 
+import glob
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +41,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: What the models look at: runs of key-like characters, without what the patterns found in them.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
+#: Identifiers of public form: UUIDs, and dates with or without a time.
+PUBLIC = re.compile(
+    r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|(?:19|20)\d\d-[01]\d-[0-3]\d(?:[T_-][0-2]\d(?:[-_]?[0-5]\d){1,2}(?:Z|[+-]\d{4})?)?)(?![A-Za-z0-9])", re.ASCII
+)
+
 #: Words from which ordinary identifiers are put together.
 COMMON_WORDS = (
     "account action address agent amount answer array attribute backend batch block body branch buffer build button cache "
@@ -124,14 +135,19 @@ def _model(tokens: list[str], smoothing: float = 0.5) -> tuple[np.ndarray, np.nd
     return np.log(first / first.sum()), np.log(step / step.sum(axis=1, keepdims=True))
 
 
-def train(random_tokens: list[str], ordinary_tokens: list[str], margin: float = 8.0) -> MarkovPair:
-    """Fit both models on four of five samples; the threshold lies ``margin`` above the
-    highest ratio of any part of the ordinary samples set aside that are long enough to be looked at."""
+def train(random_tokens: list[str], ordinary_tokens: list[str], odds: float = 8.0, alarms: float = 0.005) -> MarkovPair:
+    """Fit both models on four of five samples and set the threshold.
+
+    A part is a secret where the ratio outweighs ``odds``, the logarithm of how many ordinary runs come
+    with a random one (3,000).  Where more than the share ``alarms`` of the ordinary samples set aside, of those long
+    enough to be looked at, would still be taken, the threshold rises until no more are.
+    """
     fit = lambda tokens: _model([t for i, t in enumerate(tokens) if i % 5])
     (r_first, r_step), (o_first, o_step) = fit(random_tokens), fit(ordinary_tokens)
     pair = MarkovPair(r_first - o_first, r_step - o_step, 0.0)
-    aside = [best_part(pair.ratios(t))[2] for t in ordinary_tokens[::5] if CANDIDATE.fullmatch(t)]
-    pair.threshold = max([0.0, *aside]) + margin
+    aside = sorted((best_part(pair.ratios(t))[2] for t in ordinary_tokens[::5] if CANDIDATE.fullmatch(t)), reverse=True)
+    allowed = int(alarms * len(aside))
+    pair.threshold = max(odds, float(np.nextafter(aside[allowed], np.inf)) if aside else odds)
     return pair
 
 
@@ -195,6 +211,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _without_public(run: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """The stretches of run[low:high] between identifiers of public form."""
+    for m in PUBLIC.finditer(run, low, high):
+        yield low, m.start()
+        low = m.end()
+    yield low, high
+
+
 def model_spans(text: str, pair: MarkovPair, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the models add."""
     if not any(len(w) >= 16 for w in text.split()):
@@ -207,6 +231,7 @@ def model_spans(text: str, pair: MarkovPair, base: list[tuple[int, int, int]]) -
                 free.append((at, s - m.start()))
                 at = max(at, e - m.start())
         free.append((at, len(m[0])))
+        free = [part for a, b in free for part in _without_public(m[0], a, b)]
         free = [(a, b) for a, b in free if a < b]
         out += [(m.start() + a, 3, m.start() + b) for a, b in pair.parts(m[0], free)]
     return out
@@ -231,11 +256,65 @@ def _scan(names: list[str], pair: MarkovPair):
     return run
 
 
+def _samples(most_length: int):
+    """Texts to (random, token): values of the base patterns, and other words of key-like characters."""
+    word = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.slices(whole, "text"):
+                found: set[tuple[bool, str]] = set()
+                for text in batch.column("text").to_pylist():
+                    at = 0
+                    for start, kind, end in [*base_spans(text or ""), (len(text or ""), None, 0)]:
+                        found.update((False, w) for w in word.findall(text or "", at, max(at, start)))
+                        if kind is not None and kind != KINDS.index("hex"):
+                            found.update((True, w) for w in word.findall(text, start, end)[-1:])
+                        at = max(at, end)
+                kept = sorted(pair for pair in found if len(pair[1]) <= most_length)
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in kept], pa.bool_()), pa.array([t for _, t in kept], pa.string())], names=["random", "token"])
+
+    return run
+
+
+def corpus_samples(documents: DataFrame, most_texts: int = 4000, most_tokens: int = 10_000, most_length: int = 200) -> tuple[list[str], list[str]]:
+    """(random, ordinary) tokens of the corpus, for training.
+
+    From whole texts with the smallest hashes, about ``most_texts`` different ones in a table without repeats;
+    of each kind at most ``most_tokens`` different tokens of at most ``most_length`` characters come to the
+    driver, those with the smallest hashes.  Hexadecimal digits are left to the pattern.
+    """
+    common.ship_package(documents.sparkSession)
+    texts = documents.select(F.col("text").cast("string").alias("text"))
+    n = texts.count()
+    if not n:
+        return [], []
+    share = min(1.0, most_texts / n)
+    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    tokens = drawn.mapInArrow(_samples(most_length), "random boolean, token string").distinct()
+    first = lambda random: tokens.where(F.col("random") == random).orderBy(F.xxhash64("token"), "token").limit(most_tokens)
+    rows = [(r["random"], r["token"]) for r in first(True).union(first(False)).collect()]
+    return [t for random, t in rows if random], [t for random, t in rows if not random]
+
+
+def labelled_names(most: int = 12_000) -> list[str]:
+    """Identifiers that the sources of Python's standard library use, those with the smallest hashes."""
+    names: set[str] = set()
+    for path in sorted(glob.glob(f"{os.path.dirname(os.__file__)}/*.py")):
+        with open(path, encoding="utf-8", errors="ignore") as source:
+            names.update(re.findall(r"[A-Za-z_][A-Za-z0-9_/-]{7,199}", source.read()))
+    return sorted(names, key=lambda name: xxhash.xxh64_intdigest(name))[:most]
+
+
 @cache
-def trained_pair() -> MarkovPair:
-    """The pair of models of the production query: from labelled samples of fixed size alone,
-    so that it is the same for every corpus."""
-    return train(labelled_random(), labelled_ordinary() + labelled_prose())
+def _generated() -> tuple[tuple[str, ...], tuple[str, ...]]:
+    return tuple(labelled_random()), tuple(labelled_ordinary() + labelled_prose() + labelled_names())
+
+
+def trained_pair(documents: DataFrame | None = None) -> MarkovPair:
+    """The pair of models of the production query, from generated samples and from those of ``documents``."""
+    random, ordinary = ([], []) if documents is None else corpus_samples(documents)
+    return train([*_generated()[0], *random], [*_generated()[1], *ordinary])
 
 
 def scan(documents: DataFrame, pair: MarkovPair, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
