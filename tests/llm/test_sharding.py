@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftwork.llm import sharding
@@ -34,6 +35,55 @@ def test_walk_against_keys_one_by_one():
     assert all(sorted(covered[a]) == list(range(n)) for a, n in enumerate(arcs))
 
 
+def ring_one_by_one(rows, n_shards, virtual_nodes, order):
+    """Every key alone: its own shard while that has room, else clockwise to the next shard with room."""
+    points = sharding.ring_points(n_shards, virtual_nodes)
+    arc = lambda position: next((i for i, (p, _) in enumerate(points) if p >= position), 0)
+    room = [len(rows) // n_shards + (s < len(rows) % n_shards) for s in range(n_shards)]
+    placed, waiting = Counter(), []
+    for row in sorted(rows, key=lambda r: (arc(r[0]), *order(r))):
+        shard = points[arc(row[0])][1]
+        if room[shard]:
+            room[shard] -= 1
+            placed[row[1:], shard] += 1
+        else:
+            waiting.append(row)
+    for row in waiting:
+        at = arc(row[0])
+        while not room[points[at][1]]:
+            at = (at + 1) % len(points)
+        room[points[at][1]] -= 1
+        placed[row[1:], points[at][1]] += 1
+    return placed
+
+
+@pytest.mark.parametrize("window_rows", [500_000, 40])
+def test_overflow_continues_clockwise_key_by_key(spark, window_rows):
+    """Rows with a null id, one id with many texts, equal rows and ids of their own, at two sizes of windows."""
+    none, one, same, own = (spark.range(n) for n in (150, 130, 90, 230))
+    rows = none.select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    rows = rows.union(one.select(F.lit(5).cast("long"), F.concat(F.lit("u"), "id"))).union(same.select(F.lit(6).cast("long"), F.lit("same"))).union(own.select(F.col("id") + 100, F.lit("x")))
+    got = sharding.assign(rows, n_shards=5, virtual_nodes=8, window_rows=window_rows).collect()
+    position = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.lit(sharding.RING))
+    salted = F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")), (F.octet_length("text") + 8).cast("long"))
+    flat = [(r["position"], r["doc_id"], r["crc"], r["content"]) for r in rows.select(position.alias("position"), "doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"), salted.alias("content")).collect()]
+    n_salts = Counter()
+    points = sharding.ring_points(5, 8)
+    for r in flat:
+        n_salts[next((i for i, (p, _) in enumerate(points) if p >= r[0]), 0)] += 1
+    salt = lambda r: r[3] % max(1, -(-n_salts[next((i for i, (p, _) in enumerate(points) if p >= r[0]), 0)] // window_rows))
+    want = ring_one_by_one(flat, 5, 8, lambda r: (salt(r), r[0], r[1] is not None, r[1] or 0, r[2]))
+    assert Counter(((r["doc_id"], r["text_crc32"]), r["shard"]) for r in got) == Counter({((k[0], k[1]), shard): n for (k, shard), n in want.items()})
+    counts = Counter(r["shard"] for r in got)
+    assert set(counts.values()) == {120} and all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(120)) for s in range(5))
+
+
+def test_long_runs_of_copies_are_dealt(spark):
+    parts = spark.createDataFrame([(1, 9, 7, 0, 3, 25), (2, 9, 7, 1, 0, 4)], "doc_id long, size long, text_crc32 long, shard int, first long, n long")
+    got = sharding._copies(parts, at_once=10).collect()
+    assert sorted(r["slot"] for r in got if r["shard"] == 0) == list(range(3, 28)) and sorted(r["slot"] for r in got if r["shard"] == 1) == list(range(4))
+
+
 def test_growth_moves_few_rows(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     before = {r["doc_id"]: r["shard"] for r in sharding.assign(rows, 10, 256).collect()}

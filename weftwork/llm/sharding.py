@@ -10,11 +10,14 @@ How it runs: keys are counted by arc (the stretch before one virtual node), a ta
 whose size depends on the number of virtual nodes alone.  From these counts the
 ring is walked once, giving for every arc the ranges of ranks that stay and that
 go on.  Rows then get their rank within their arc by one window, and the ranges tell
-shard and slot.  Arcs are split further by a salt of the row's content, so that a key
-that repeats over many texts is spread over several windows.
+shard and slot.  Large arcs are split by a salt of the row's content, into as many parts as their rows
+ask for, so that a key that repeats over many texts is spread over many windows.  Equal
+rows are counted before they are shuffled: a window sees one of them, with their number, and
+the ranks they take are dealt out afterwards.
 
 Defined results: a null text has no bytes; a null ``doc_id`` is a key like another;
-repeated rows are rows of their own, in any order among themselves; an empty table
+repeated rows are rows of their own, in any order among themselves; of a text, however long, only its
+length and checksum go on; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -111,43 +114,61 @@ def _arc(points: list[tuple[int, int]]):
 _PLAN = T.StructType([T.StructField(c, T.LongType()) for c in ("arc", "salt", "first_rank", "end_rank", "shard", "slot_base")])
 
 
-def assign(documents: DataFrame, n_shards: int = 24, virtual_nodes: int = 128, salts: int = 8) -> DataFrame:
+def assign(documents: DataFrame, n_shards: int = 24, virtual_nodes: int = 128, window_rows: int = 500_000, most_windows: int = 65_536) -> DataFrame:
     """doc_id, size (UTF-8 bytes + 8), text_crc32, shard and slot of every row.
 
-    Two tables meet here: one slim row for each document, and the plan, of at most
-    about ``n_shards * virtual_nodes * (salts + 2)`` rows whatever the input's size,
-    which is broadcast.
+    A window holds about ``window_rows`` different rows, or more where ``most_windows`` windows wouldn't do.
+    Two tables meet here: one slim row for each different document, and the plan, of at most about
+    ``2 * n_shards * virtual_nodes + most_windows`` rows whatever the input's size, which is broadcast.
     """
     spark: SparkSession = documents.sparkSession
     common.ship_package(spark)
     points = ring_points(n_shards, virtual_nodes)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    slim = common.materialize(
-        documents.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            (F.octet_length(text) + 8).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-        ).withColumn("position", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.lit(RING))),
-        "sharding",
+    slim = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    placed = slim.withColumn("arc", _arc(points)("position")).withColumn("salt", F.pmod(F.xxhash64("text_crc32", "size"), F.lit(salts)).cast("long"))
+    position = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.lit(RING))
+    counted = slim.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")).withColumn("arc", _arc(points)(position))
+    counted = common.materialize(counted.withColumn("position", position), "sharding")
+    of_arc = {row["arc"]: row["rows"] for row in counted.groupBy("arc").agg(F.sum("n").alias("rows")).toLocalIterator()}
+    per_window = max(window_rows, -(-sum(of_arc.values()) // most_windows))
+    salts = [-(-of_arc.get(arc, 0) // per_window) or 1 for arc in range(len(points))]
+    content = F.xxhash64("doc_id", "text_crc32", "size")
+    salt = F.pmod(content, F.element_at(F.lit(salts), F.col("arc").cast("int") + 1)) if max(salts) > 1 else F.lit(0)
+    placed = counted.withColumn("salt", salt.cast("long"))
     cells: dict[int, list[tuple[int, int]]] = {}
-    for row in placed.groupBy("arc", "salt").count().toLocalIterator():
-        cells.setdefault(row["arc"], []).append((row["salt"], row["count"]))
+    for row in placed.groupBy("arc", "salt").agg(F.sum("n").alias("rows")).toLocalIterator():
+        cells.setdefault(row["arc"], []).append((row["salt"], row["rows"]))
     arcs = [sum(n for _, n in cells.get(a, [])) for a in range(len(points))]
     plan = list(_split(walk(arcs, [s for _, s in points], n_shards), cells))
     plan_df = F.broadcast(spark.createDataFrame(plan, _PLAN))
     order = Window.partitionBy("arc", "salt").orderBy("position", "doc_id", "text_crc32", "size")
-    ranked = placed.withColumn("rank", F.row_number().over(order) - 1)
+    # A row's copies take the ranks from rank to end; a range of the plan takes those it covers.
+    ranked = placed.withColumn("end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.col("end") - F.col("n"))
     joined = ranked.alias("r").join(
         plan_df.alias("p"),
-        (F.col("r.arc") == F.col("p.arc")) & (F.col("r.salt") == F.col("p.salt")) & (F.col("r.rank") >= F.col("p.first_rank")) & (F.col("r.rank") < F.col("p.end_rank")),
+        (F.col("r.arc") == F.col("p.arc")) & (F.col("r.salt") == F.col("p.salt")) & (F.col("r.end") > F.col("p.first_rank")) & (F.col("r.rank") < F.col("p.end_rank")),
     )
-    return joined.select(
+    low = F.greatest("r.rank", "p.first_rank")
+    parts = joined.select(
         "r.doc_id",
         "r.size",
         "r.text_crc32",
         F.col("p.shard").cast("int").alias("shard"),
-        (F.col("p.slot_base") + F.col("r.rank") - F.col("p.first_rank")).cast("long").alias("slot"),
+        (F.col("p.slot_base") + low - F.col("p.first_rank")).alias("first"),
+        (F.least("r.end", "p.end_rank") - low).alias("n"),
     )
+    return _copies(parts)
 
+
+def _copies(parts: DataFrame, at_once: int = 100_000) -> DataFrame:
+    """A row for each of the ``n`` slots from ``first`` on; long runs are dealt to all tasks first."""
+    given = ["doc_id", "size", "text_crc32", "shard"]
+    slots = lambda df: df.select(*given, F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+    long = parts.where(F.col("n") > at_once)
+    starts = long.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(at_once).cast("long"))))
+    cut = starts.select(*given, (F.col("first") + F.col("at")).alias("first"), F.least(F.col("n") - F.col("at"), F.lit(at_once)).alias("n")).repartition("first")
+    return slots(parts.where(F.col("n") <= at_once)).union(slots(cut))
