@@ -35,16 +35,11 @@ def brute(rows, weights=(5, 2, 1), share=1.5, most=2.0):
     out = []
     for source in order:
         copies = int(target[source] // sizes[source]) if sizes[source] else 0
-        need, run, taken = target[source] - copies * sizes[source], 0, set()
-        by_hash = defaultdict(int)
-        for _, s, n, h in docs:
-            if s == source and n:
-                by_hash[h] += n
-        for h in sorted(by_hash):
-            run += by_hash[h]
-            if need > 0 and run - by_hash[h] / 2 <= need:
-                taken.add(h)
-        out += [(str(i), n, sizes[source], round(target[source], 6), (copies + (h in taken)) * n) for i, s, n, h in docs if s == source]
+        need, run = target[source] - copies * sizes[source], 0
+        for i, _, n, _ in sorted((d for d in docs if d[1] == source), key=lambda d: d[3]):
+            more = n > 0 and need > 0 and run + n / 2 <= need
+            run += n
+            out.append((str(i), n, sizes[source], round(target[source], 6), (copies + more) * n))
     return sorted(out)
 
 
@@ -59,6 +54,18 @@ def test_against_sorting(docs, spark):
         assert got == brute(rows_of(df))
 
 
+def test_repeated_rows_come_near_the_target(spark):
+    """A source of one row many times, one of two such rows, and others beside them."""
+    rows = spark.range(900).select(F.lit(1).cast("long").alias("doc_id"), F.lit("seven words are in this short text").alias("text"), F.lit("a").alias("source"))
+    rows = rows.union(spark.range(400).select(F.col("id") % 2, F.lit("three more words"), F.lit("b"))).union(spark.range(300).select("id", F.lit("w x"), F.lit("c")))
+    got = sorted((str(r["doc_id"]), r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in mixing.take(rows).collect())
+    assert got == brute(rows_of(rows))
+    taken = defaultdict(int)
+    for r in mixing.take(rows.repartition(5)).collect():
+        taken[r["source"], r["target"]] += r["taken"]
+    assert all(abs(words - target) <= 7 for (_, target), words in taken.items())
+
+
 def test_budgets_are_nested(spark):
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("five words in this text").alias("text"), F.lit("a").alias("source"))
     small, large = (({r["doc_id"] for r in mixing.take(df, share=s).where("taken > 0").collect()}) for s in (0.2, 0.6))
