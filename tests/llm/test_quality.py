@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import random
 import re
 from collections import Counter
 
@@ -43,6 +45,43 @@ def test_posterior_tells_junk(spark):
     assert kept == set(range(150))
 
 
+def planted(spark, n=6000, seed=4):
+    """Votes of seven rules of known accuracy on documents of which three of four are good."""
+    rng = random.Random(seed)
+    rules = tuple(quality.Rule(f"r{i}", "", "") for i in range(7))
+    truth = {r.name: (1 - 0.02 * (i + 1), 0.5 + 0.06 * i) for i, r in enumerate(rules)}
+    rows = []
+    for k in range(n):
+        good = rng.random() < 0.75
+        votes = []
+        for r in rules:
+            right = rng.random() < truth[r.name][not good]
+            votes.append(quality.ABSTAIN if rng.random() < 0.15 else quality.GOOD if good == right else quality.BAD)
+        rows.append((k, good, *votes))
+    return rules, truth, spark.createDataFrame(rows, "k long, good boolean, " + ", ".join(f"v_{r.name} int" for r in rules))
+
+
+def test_planted_accuracies_are_found_and_do_not_hang_on_the_constant(spark):
+    rules, truth, voted = planted(spark)
+    voted = voted.cache()
+    verdicts = {}
+    for pseudo in (0.1, 1.0, 20.0):
+        model = quality.fit(voted, rules, pseudo=pseudo)
+        got = model.accuracy(rules)
+        assert all(abs(got[name][side] - truth[name][side]) < 0.04 for name in truth for side in (0, 1))
+        assert abs(math.exp(model.good[0]) - 0.75) < 0.02
+        verdicts[pseudo] = {r["k"]: r["kept"] == r["good"] for r in voted.select("k", "good", (model.log_odds(rules) >= 0).alias("kept")).collect()}
+        assert sum(verdicts[pseudo].values()) > 0.96 * voted.count()
+    assert sum(verdicts[0.1][k] != verdicts[20.0][k] for k in verdicts[1.0]) < 0.005 * voted.count()
+
+
+def test_rounds_end_where_the_likelihood_does(spark):
+    rules, _, voted = planted(spark, 1500)
+    voted = voted.cache()
+    a, b = (quality.fit(voted, rules, tolerance=t) for t in (1e-8, 1e-11))
+    assert all(abs(x - y) < 0.01 for x, y in zip((*a.good, *a.bad), (*b.good, *b.bad)))
+
+
 def test_empty_and_clashing(empty, clashing, docs):
     assert quality.judge(empty).count() == 0
     assert quality.judge(clashing).count() == docs.count()

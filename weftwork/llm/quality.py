@@ -4,14 +4,15 @@ Rules look at whole-text statistics; each votes good, votes bad or abstains.  Vo
 are counted by pattern (at most 3 to the number of rules), and
 expectation-maximisation over the counted patterns estimates how accurate each
 rule's good and bad votes are and how many documents are good.  The posterior
-probability of a document's votes replaces an all-must-pass filter.
+probability of a document's votes replaces an all-must-pass filter.  Rounds end when the
+likelihood of the votes stops growing; nothing is held of a rule beforehand but one vote of each kind.
 
 Every step is a Spark aggregation over the pattern table, which is small
 whatever the input's size; one row of sums comes back for each round.
 
 Defined results: null, empty and blank texts have no words; they fail the base rule.
 Rows with null ids and repeated rows are judged by their text alone.  An empty table
-gives an empty result.  Other columns pass through where ``keep`` asks for them; a column
+gives an empty result.  A very long text is measured whole, in the task that has it.  Other columns pass through where ``keep`` asks for them; a column
 that has the name of a statistic is replaced by it.
 """
 
@@ -106,10 +107,10 @@ RULES = (
 )
 
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
-ROUNDS = 12
-#: What is held of a rule before any document is seen: the share of bad votes on good and on bad
-#: documents, with the weight of this share of the documents of each kind.
-BAD_ON_GOOD, BAD_ON_BAD, WEIGHT = 0.02, 0.57, 0.2
+#: Rounds end when the log-likelihood of a document grows by less than this on average, or are this many.
+TOLERANCE, MOST_ROUNDS = 1e-6, 100
+#: Votes of each kind that a rule has cast on good and on bad documents before any is seen.
+PSEUDO = 1.0
 
 
 def votes_sql(rules: tuple[Rule, ...] = RULES) -> dict[str, str]:
@@ -118,47 +119,61 @@ def votes_sql(rules: tuple[Rule, ...] = RULES) -> dict[str, str]:
 
 @dataclass(frozen=True)
 class Model:
-    """Log-odds: of a good document at first, and added by each rule's votes."""
+    """Logarithms, once for good and once for bad documents: of their share, of the share of
+    good votes of each rule, and of the share of bad votes of each rule."""
 
-    prior: float
     good: tuple[float, ...]
     bad: tuple[float, ...]
 
     def log_odds(self, rules: tuple[Rule, ...]) -> Column:
-        out = F.lit(self.prior)
-        for rule, good, bad in zip(rules, self.good, self.bad):
+        share, *added = (g - b for g, b in zip(self.good, self.bad))
+        out = F.lit(share)
+        for rule, good, bad in zip(rules, added, added[len(rules) :]):
             vote = F.col(f"v_{rule.name}")
             out = out + F.when(vote == GOOD, good).when(vote == BAD, bad).otherwise(0.0)
         return out
 
+    def accuracy(self, rules: tuple[Rule, ...]) -> dict[str, tuple[float, float]]:
+        """Rule to the share of its good votes on good documents and of its bad votes on bad ones."""
+        n = len(rules)
+        return {r.name: (math.exp(self.good[1 + i]), math.exp(self.bad[1 + n + i])) for i, r in enumerate(rules)}
 
-def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> Model:
-    """Expectation-maximisation over vote patterns, from the rows' majority votes."""
+
+def _logs(n: float, good: list[float], bad: list[float], total: float, pseudo: float) -> tuple[float, ...]:
+    """One side of a model, from expected numbers of documents and of votes."""
+    of_bad = [(b + pseudo) / (g + b + 2 * pseudo) for g, b in zip(good, bad)]
+    return (math.log((n + 1) / (total + 2)), *[math.log(1 - x) for x in of_bad], *[math.log(x) for x in of_bad])
+
+
+def fit(voted: DataFrame, rules: tuple[Rule, ...] = RULES, pseudo: float = PSEUDO, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> Model:
+    """Expectation-maximisation over vote patterns, from the rows' majority votes.
+
+    A model enters a round as two arrays of literals, so that all rounds run the same compiled code.
+    """
     names = [f"v_{r.name}" for r in rules]
-    patterns = common.materialize(voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "quality-patterns")
-    goods = sum(((F.col(c) == GOOD).cast("double") for c in names), F.lit(0.0))
-    bads = sum(((F.col(c) == BAD).cast("double") for c in names), F.lit(0.0))
-    p = (goods + 1.0) / (goods + bads + 2.0)
-    model = Model(0.0, (0.0,) * len(rules), (0.0,) * len(rules))
-    for _ in range(rounds):
-        sums = [F.sum(F.col("n") * F.col("p")).alias("good"), F.sum(F.col("n") * (1.0 - F.col("p"))).alias("bad")]
-        for c in names:
-            for vote in (GOOD, BAD):
-                cast = F.when(F.col(c) == vote, F.col("n")).otherwise(0)
-                sums += [F.sum(cast * F.col("p")).alias(f"{c}_{vote}_good"), F.sum(cast * (1.0 - F.col("p"))).alias(f"{c}_{vote}_bad")]
-        row = patterns.withColumn("p", p).agg(*sums).first()
-        if row["good"] is None:
-            return model
-        up, down = [], []
-        good, bad = row["good"], row["bad"]
-        for c in names:
-            g1, g0, b1, b0 = (row[f"{c}_{v}_{k}"] for k in ("good", "bad") for v in (GOOD, BAD))
-            on_good = (g0 + 1.0 + WEIGHT * good * BAD_ON_GOOD) / (g1 + g0 + 2.0 + WEIGHT * good)
-            on_bad = (b0 + 1.0 + WEIGHT * bad * BAD_ON_BAD) / (b1 + b0 + 2.0 + WEIGHT * bad)
-            up.append(math.log(1.0 - on_good) - math.log(1.0 - on_bad))
-            down.append(math.log(on_good) - math.log(on_bad))
-        model = Model(math.log((good + 1.0) / (bad + 1.0)), tuple(up), tuple(down))
-        p = 1.0 / (1.0 + F.exp(-model.log_odds(rules)))
+    half, width = 1 + len(names), 1 + 2 * len(names)
+    cast = ", ".join(f"double({c} = {vote})" for vote in (GOOD, BAD) for c in names)
+    patterns = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).selectExpr("double(n) AS n", f"array(1D, {cast}) AS cast")
+    patterns = common.materialize(patterns.coalesce(1), "quality-patterns")
+    sums = [f"sum(n * {weight} * cast[{j}]) AS {side}_{j}" for j in range(width) for side, weight in (("good", "q"), ("bad", "(1 - q)"))]
+    sums = [F.expr(s) for s in ("sum(n * (greatest(good, bad) + log1p(exp(-abs(good - bad))))) AS l", *sums)]
+    added = lambda first, n: f"ln(1D + aggregate(slice(cast, {first}, {n}), 0D, (a, x) -> a + x))"
+    as_good, as_bad = added(2, len(names)), added(1 + half, len(names))
+    model, before = None, None
+    for _ in range(most_rounds):
+        # Exploding a single struct keeps the optimizer from repeating its expressions in every sum.
+        rows = patterns.selectExpr("n", "cast", f"explode(array(struct({as_good} AS good, {as_bad} AS bad))) AS s").selectExpr("n", "cast", "s.good", "s.bad", "1D / (1D + exp(s.bad - s.good)) AS q")
+        row = rows.agg(*sums).first()
+        if row["l"] is None:
+            return Model((0.0,) * width, (0.0,) * width)
+        good, bad = ([row[f"{side}_{j}"] for j in range(width)] for side in ("good", "bad"))
+        total = good[0] + bad[0]
+        if model is not None and before is not None and row["l"] - before < tolerance * total:
+            break
+        before = row["l"] if model is not None else None
+        model = Model(*(_logs(side[0], side[1:half], side[half:], total, pseudo) for side in (good, bad)))
+        of = lambda side: f"aggregate(zip_with(cast, array({', '.join(f'{w!r}D' for w in side)}), (x, w) -> x * w), 0D, (a, x) -> a + x)"
+        as_good, as_bad = of(model.good), of(model.bad)
     return model
 
 
@@ -178,9 +193,9 @@ def judge(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: tupl
     return stored.withColumn("quality", 1.0 / (1.0 + F.exp(-log_odds))).withColumn("kept", verdict)
 
 
-def judge_sql(rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> str:
+def judge_sql(rules: tuple[Rule, ...] = RULES) -> str:
     """DuckDB SQL for the rows of ``judge`` over ``documents``: statistics by plain list and
-    window functions, and each round of expectation-maximisation as a query of its own."""
+    window functions, and the rounds of expectation-maximisation by recursion."""
     drop = lambda pattern: f"length(regexp_replace(t, '{pattern}', '', 'g'))::BIGINT"
     names = [f"v_{r.name}" for r in rules]
     space, word = common.SPACE_PATTERN, common.WORD_PATTERN
@@ -200,20 +215,20 @@ def judge_sql(rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> str:
         f"p AS MATERIALIZED (SELECT {', '.join(names)}, count(*) AS n FROM v GROUP BY ALL)",
     ]
     goods, bads = (" + ".join(f"({c} = {x})::INT" for c in names) for x in (GOOD, BAD))
-    weight, source = f"(({goods}) + 1.0::DOUBLE) / (({goods}) + ({bads}) + 2.0::DOUBLE)", "p"
-    for k in range(rounds):
-        sums = ["sum(n * q) AS g", "sum(n * (1 - q)) AS b"]
-        for c in names:
-            sums += [f"sum(CASE WHEN {c} = {x} THEN n * {y} ELSE 0 END) AS {c}_{x}_{z}" for x in (GOOD, BAD) for y, z in (("q", "g"), ("(1 - q)", "b"))]
-        parts.append(f"e{k} AS MATERIALIZED (SELECT {', '.join(sums)} FROM (SELECT p.*, {weight} AS q FROM {source}))")
-        share = lambda c, z, prior: f"(({c}_{BAD}_{z} + 1.0 + {WEIGHT} * {z} * {prior}) / ({c}_{GOOD}_{z} + {c}_{BAD}_{z} + 2.0 + {WEIGHT} * {z}))"
-        made = ["ln((g + 1.0) / (b + 1.0)) AS prior"]
-        for c in names:
-            on_good, on_bad = share(c, "g", BAD_ON_GOOD), share(c, "b", BAD_ON_BAD)
-            made += [f"ln(1.0 - {on_good}) - ln(1.0 - {on_bad}) AS {c}_up", f"ln({on_good}) - ln({on_bad}) AS {c}_down"]
-        parts.append(f"m{k} AS MATERIALIZED (SELECT {', '.join(made)} FROM e{k})")
-        odds = "prior" + "".join(f" + CASE {c} WHEN {GOOD} THEN {c}_up WHEN {BAD} THEN {c}_down ELSE 0.0 END" for c in names)
-        weight, source = f"1.0 / (1.0 + exp(-({odds})))", f"p, m{k}"
-    return f"""WITH {", ".join(parts)}
+    sides = {"g": "q", "b": "(1 - q)"}
+    sums = [f"sum(n * {w}) AS s_{z}" for z, w in sides.items()]
+    sums += [f"sum(CASE WHEN {c} = {x} THEN n * {w} ELSE 0 END) AS {c}_{x}_{z}" for c in names for x in (GOOD, BAD) for z, w in sides.items()]
+    share = lambda c, z: f"(({c}_{BAD}_{z} + {PSEUDO}) / ({c}_{GOOD}_{z} + {c}_{BAD}_{z} + {2 * PSEUDO}::DOUBLE))"
+    made = [f"ln((s_{z} + 1) / (s_g + s_b + 2)) AS w_{z}" for z in sides]
+    made += [f"ln({x}) AS {c}_w{vote}_{z}" for c in names for z in sides for vote, x in ((GOOD, f"1 - {share(c, z)}"), (BAD, share(c, z)))]
+    weights = [m.rsplit(" AS ", 1)[1] for m in made]
+    of = lambda z: f"(w_{z}" + "".join(f" + CASE {c} WHEN {GOOD} THEN {c}_w{GOOD}_{z} WHEN {BAD} THEN {c}_w{BAD}_{z} ELSE 0 END" for c in names) + ")"
+    first = f"SELECT {', '.join(sums)} FROM (SELECT *, (({goods}) + 1.0::DOUBLE) / (({goods}) + ({bads}) + 2.0::DOUBLE) AS q FROM p)"
+    again = f"""SELECT k, old, sum(n * (greatest(lg, lb) + ln(1 + exp(-abs(lg - lb))))) AS new, {", ".join(sums)}
+        FROM (SELECT *, 1 / (1 + exp(lb - lg)) AS q FROM (SELECT k, l AS old, p.*, {of("g")} AS lg, {of("b")} AS lb FROM e, p)) GROUP BY k, old"""
+    parts.append(f"""e AS (SELECT 1 AS k, NULL::DOUBLE AS l, {", ".join(made)} FROM ({first}) WHERE s_g IS NOT NULL
+        UNION ALL SELECT k + 1, new, {", ".join(made)} FROM ({again}) WHERE (old IS NULL OR new - old >= {TOLERANCE} * (s_g + s_b)) AND k < {MOST_ROUNDS})""")
+    parts.append(f"m AS (SELECT {', '.join(weights)} FROM e ORDER BY k DESC LIMIT 1)")
+    return f"""WITH RECURSIVE {", ".join(parts)}
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND o >= 0 AS kept, round(1.0 / (1.0 + exp(-o)), 6) AS quality
-        FROM (SELECT v.*, {odds} AS o FROM v, m{rounds - 1})"""
+        FROM (SELECT v.*, {of("g")} - {of("b")} AS o FROM v, m)"""
