@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from weftwork.llm import neardup
 
 
@@ -69,6 +71,23 @@ def test_large_nodes_are_split_and_blocked(spark):
     check(spark, corpus(120, 4), 85, node_limit=4, depth=0)
 
 
+def test_parts_of_a_cluster():
+    """To contract, parts share the first member; else every pair meets; no part is larger than asked, but for single members."""
+    sizes = np.array([5, 3, 9, 1, 1, 7, 40, 2, 2])
+    linear = neardup.parts_of(sizes, True, most=20, most_rows=4)
+    assert all(part[0] == 0 and len(part) <= 4 for part in linear) and sorted(i for part in linear for i in part[1:]) == list(range(1, 9))
+    assert all(sizes[part].sum() <= 20 or len(part) == 2 for part in linear)
+    pairs = neardup.parts_of(sizes, False, most=20)
+    assert {(i, j) for part in pairs for i in part for j in part if i < j} == {(i, j) for i in range(9) for j in range(i + 1, 9)}
+    assert neardup.parts_of(sizes, False) == neardup.parts_of(sizes, True) == [list(range(9))]
+
+
+def test_parts_of_bounded_size_give_the_same(spark, monkeypatch):
+    rows = corpus(200, 6)
+    monkeypatch.setattr(neardup.parts_of, "__defaults__", (400, 3))
+    check(spark, rows, 85)
+
+
 def test_cases(docs):
     rows = {}
     for r in neardup.group(docs, percent=85).collect():

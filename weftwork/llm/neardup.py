@@ -10,8 +10,8 @@ set's size, a signature (equal for equal sets) and a sketch of minwise tokens.
    two a level, so that a pair at the threshold is expected to stay together in at
    least one child.  Nodes that a fixed depth hasn't made small are compared in blocks, so that
    no case is dropped.  Independent trees bring the recall to its target.
-3. Members whose sketches agree form clusters inside a node; their whole texts come
-   together and are linked by exact Jaccard similarity on full shingle sets, best sketches first.
+3. Members whose sketches agree form clusters inside a node, dealt into parts of bounded size; the whole
+   texts of a part come together and are linked by exact Jaccard similarity on full shingle sets, best sketches first.
    A pair is skipped only when its two sides are already connected by confirmed links.
 4. Components of the confirmed links, by alternating large-star and small-star steps.
 
@@ -30,7 +30,7 @@ for candidates.
 Defined results: texts with fewer words than a shingle are one shingle, the whole
 sequence; null, empty and blank texts have no shingle and are linked with nothing.  A null
 doc_id comes after all others when a group's smallest is chosen.  Repeated rows are in
-one class.  An empty table gives an empty result.  Other columns are ignored unless kept.
+one class.  A very long text is sketched whole; where it is compared, its part holds few others.  An empty table gives an empty result.  Other columns are ignored unless kept.
 """
 
 from __future__ import annotations
@@ -50,6 +50,8 @@ TOKENS = 128
 TREES = 12
 FIRST_TREES = 3
 PIVOTS = 4
+#: Shingles, and in the contracting pass also rows, whose texts meet in one part of a cluster.
+PART_SHINGLES, PART_ROWS = 2_000_000, 256
 _SEEDS = np.random.default_rng(20240917).integers(1, 1 << 63, (2, TOKENS), dtype=np.uint64)
 _FACTOR, _SHIFT = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -203,8 +205,32 @@ class _Forest:
         return a != b
 
 
-def _clusters(least: int, percent: int):
-    """Node members to (cluster, member): what agrees by sketch, transitively."""
+def parts_of(sizes: np.ndarray, contract: bool, most: int = PART_SHINGLES, most_rows: int = PART_ROWS) -> list[list[int]]:
+    """Deal the members of a cluster, given their numbers of shingles, into parts to be compared.
+
+    To contract, parts share the first member as pivot, which is linear.  Else members are dealt into
+    halves of parts, and each half meets each other one, so that all pairs meet.
+    """
+    if sizes.sum() <= most and not (contract and len(sizes) > most_rows):
+        return [list(range(len(sizes)))]
+    room, rows = (most - int(sizes[0]), most_rows - 1) if contract else (most // 2, len(sizes))
+    dealt: list[list[int]] = [[]]
+    held = 0
+    for i in range(1 if contract else 0, len(sizes)):
+        if dealt[-1] and (held + sizes[i] > room or len(dealt[-1]) >= rows):
+            dealt.append([])
+            held = 0
+        dealt[-1].append(i)
+        held += int(sizes[i])
+    if contract:
+        return [[0, *part] for part in dealt]
+    if len(dealt) == 1:
+        return dealt
+    return [dealt[a] + dealt[b] for a in range(len(dealt)) for b in range(a + 1, len(dealt))]
+
+
+def _clusters(least: int, percent: int, contract: bool):
+    """Node members to (part of a cluster, member): what agrees by sketch, transitively."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clusters, members, marks = [], [], []
@@ -219,19 +245,25 @@ def _clusters(least: int, percent: int):
             if group.num_rows < 2:
                 continue
             ids, labels = group.column("row_id").to_numpy(), group.column("label").to_numpy()
-            left, right, _ = _alike(_matrix(group.column("sketch")), group.column("n_shingles").to_numpy(), labels, least, percent)
+            sizes = group.column("n_shingles").to_numpy()
+            left, right, _ = _alike(_matrix(group.column("sketch")), sizes, labels, least, percent)
             if not len(left):
                 continue
             forest = _Forest(len(ids))
             for i, j in zip(left.tolist(), right.tolist()):
                 forest.join(i, j)
             node = group.column(0)[0].as_py()
+            own: dict[int, list[int]] = {}
             for i in sorted({*left.tolist(), *right.tolist()}):
-                clusters.append(xxhash.xxh3_64_intdigest(f"{node} {ids[forest.root(i)]}") - (1 << 63))
-                members.append(int(ids[i]))
-                marks.append(int(labels[i]))
-            if len(members) > 50_000:
-                yield out()
+                own.setdefault(forest.root(i), []).append(i)
+            for root, group_members in own.items():
+                of = np.array(group_members)
+                for k, part in enumerate(parts_of(sizes[of], contract)):
+                    clusters += [xxhash.xxh3_64_intdigest(f"{node} {ids[root]} {k}") - (1 << 63)] * len(part)
+                    members += ids[of[part]].tolist()
+                    marks += labels[of[part]].tolist()
+                    if len(members) > 50_000:
+                        yield out()
         yield out()
 
     return run
@@ -276,10 +308,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = common.materialize(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = common.materialize(small.where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         now = mark(edges)
         if now == seen:
@@ -419,9 +451,9 @@ def _company(sketched: DataFrame, percent: int, width: int, node_limit: int, sec
         known = common.likely_in(reps.select("row_id", "n_shingles", "sketch"), members, "row_id")
         sketches = members.join(known.hint("merge"), "row_id").select("node", "row_id", "label", "n_shingles", "sketch")
         ready = sketches.repartition("node").sortWithinPartitions("node")
-        clusters = common.materialize(ready.mapInArrow(_clusters(least, percent), "cluster long, row_id long, label long").distinct(), "clusters")
+        clusters = common.materialize(ready.mapInArrow(_clusters(least, percent, rooted is None), "cluster long, row_id long, label long").distinct(), "clusters")
         marks = clusters.groupBy(F.col("cluster").alias("node")).agg(F.count(F.lit(1)).alias("n"), _member_mark().alias("mark"))
-        wanted = common.materialize(clusters.join(_unlike(marks).select(F.col("node").alias("cluster")), "cluster"), "wanted")
+        wanted = common.materialize(clusters.join(_unlike(marks).select(F.col("node").alias("cluster")).hint("merge"), "cluster"), "wanted")
         whole = common.likely_in(sketched.select("row_id", "sketch", "text"), wanted, "row_id")
         texts = wanted.join(whole.hint("merge"), "row_id").select("cluster", "row_id", "label", "sketch", "text")
         found = texts.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_links(width, least, percent), "a long, b long")
@@ -432,8 +464,8 @@ def _company(sketched: DataFrame, percent: int, width: int, node_limit: int, sec
     # The first row of each component, for the classes that have company.
     linked = classes.join(rooted.hint("merge"), classes["class_row"] == rooted["node"])
     heads = linked.groupBy("root").agg(F.min("first").alias("head"))
-    of_class = linked.select("signature", "root").join(heads, "root").select("signature", "head")
-    copies = classes.where("rows > 1").join(of_class.select("signature"), "signature", "left_anti").select("signature", F.col("first").alias("head"))
+    of_class = linked.select("signature", "root").join(heads.hint("merge"), "root").select("signature", "head")
+    copies = classes.where("rows > 1").join(of_class.select("signature").hint("merge"), "signature", "left_anti").select("signature", F.col("first").alias("head"))
     return of_class.union(copies)
 
 
