@@ -4,6 +4,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weftwork.llm import tokencounts
@@ -40,3 +41,22 @@ def test_table_answers_budgets(docs, library):
 def test_empty_and_clashing(empty, clashing, docs):
     assert tokencounts.prefix_table(empty, PATH).count() == 0
     assert tokencounts.prefix_table(clashing, PATH).count() == docs.count()
+
+
+def test_columns_answer_budget_questions(docs):
+    """For every document and several budgets: the library's own count of the prefix, and of one character more."""
+    library = Tokenizer.from_file(PATH)
+    table = tokencounts.prefix_table(docs.where("length(text) < 1000 OR text IS NULL"), PATH)
+    budgets = table.select("*", F.explode(F.array(*map(F.lit, (0, 1, 3, 17, 5000)))).alias("budget"))
+    asked = budgets.withColumn("within", tokencounts.characters_within("deltas", "budget")).withColumn("at", tokencounts.tokens_at("deltas", "within"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    n = 0
+    for r in asked.collect():
+        text = texts[r["doc_id"]]
+        count = lambda k: len(library.encode(text[:k], add_special_tokens=False).ids)
+        assert r["at"] == count(r["within"]) <= r["budget"]
+        assert all(count(k) > r["budget"] for k in range(r["within"] + 1, len(text) + 1))
+        n += 1
+    assert n > 40
+    none = table.select(tokencounts.tokens_at(F.lit(None).cast("binary"), F.lit(3)).alias("x")).first()["x"]
+    assert none is None

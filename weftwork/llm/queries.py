@@ -86,7 +86,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = tokencounts.prefix_table(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
-    return tables.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+    return tables.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), tokencounts.characters_within("deltas", F.lit(512)).alias("chars_within"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,11 +10,13 @@ tokens never cross them, so the tables of the pieces add up to the table of the
 where a cut itself depends on what follows (white space, contractions), the prefixes
 that end there are counted apart.
 
-``prefix_table`` stores the counts, ``count_at`` and ``longest_within`` answer
-truncation and budget questions from them without encoding anything again.
+``prefix_table`` stores the counts; ``count_at`` and ``longest_within``, or for whole tables the
+columns ``tokens_at`` and ``characters_within``, answer truncation and budget questions from them
+without encoding anything again.
 
 Defined results: null and empty texts have the one-entry table [0].  Null doc_id
-is kept.  Repeated rows give repeated results.  Other columns are ignored.
+is kept.  Repeated rows give repeated results; an empty table gives an empty result.  A very long text is
+one table, of two bytes a character, in the task that has it.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from collections.abc import Iterator
 from operator import sub
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftwork.llm import common
 
@@ -204,6 +208,18 @@ def longest_within(deltas: bytes, budget: int) -> int:
     return int(np.flatnonzero(counts <= budget)[-1])
 
 
+@F.pandas_udf(T.LongType())
+def tokens_at(deltas: pd.Series, prefix: pd.Series) -> pd.Series:
+    """Column form of ``count_at``: stored tables and numbers of characters; null where either is."""
+    return pd.Series([None if d is None or p is None or p != p else count_at(d, int(p)) for d, p in zip(deltas, prefix)], dtype="Int64")
+
+
+@F.pandas_udf(T.LongType())
+def characters_within(deltas: pd.Series, budget: pd.Series) -> pd.Series:
+    """Column form of ``longest_within``: stored tables and budgets of tokens; null where either is."""
+    return pd.Series([None if d is None or b is None or b != b else longest_within(d, int(b)) for d, b in zip(deltas, budget)], dtype="Int64")
+
+
 _COUNTERS: dict[str, PrefixCounter] = {}
 
 
