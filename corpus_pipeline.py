@@ -2,9 +2,9 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns
 a DataFrame.  All but the last return the columns of documents.  ``run`` writes what each
-stage returns as Parquet in the shared folder and gives it, read again, to the next.  The result
-of a stage has to be written before the next stage is called: that one deletes the tables
-which the former kept for itself.
+stage returns as Parquet in the shared folder and gives it, read again, to the next; then it deletes the
+tables that the stage had written for itself, and the result before.  Who calls stages one by one
+can do the same with ``common.tracking``; a stage keeps no state.
 
 - quality: documents that fail the base rule or whose posterior quality is under one half go.
 - near_dedup: one document of each near-duplicate group stays (similarity 0.8 or more on
@@ -19,7 +19,6 @@ Empty tables pass through all stages.  Extra columns pass through up to the last
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,24 +34,6 @@ MAX_LENGTH = 2048
 ORACLE_SQL = None
 
 
-#: Tables that the stage before wrote for itself; its result has been written since.
-_LEFT: list[str] = []
-
-
-def _stage(function: Stage) -> Stage:
-    """A stage that first deletes what the one before no longer needs."""
-
-    @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.delete(spark, _LEFT)
-        with common.tracking() as paths:
-            out = function(spark, docs, sf_dir)
-        _LEFT[:] = paths
-        return out
-
-    return run_stage
-
-
 def _bundled(docs: DataFrame, *used: str) -> DataFrame:
     """The used columns, and all others in one struct, so that names can't clash."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
@@ -63,29 +44,25 @@ def _unbundled(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
     return df.select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) if c in used else F.col("_rest").getField(c).alias(c) for c in docs.columns])
 
 
-@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     used = ("doc_id", "text")
     judged = quality.judge(_bundled(docs, *used), keep=(*used, "_rest"))
     return _unbundled(judged.where("kept"), docs, *used)
 
 
-@_stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     used = ("doc_id", "text")
     grouped = neardup.group(_bundled(docs, *used), percent=NEAR_PERCENT, width=5, keep=("text", "_rest"))
     return _unbundled(grouped.where("kept_row"), docs, *used)
 
 
-@_stage
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     used = ("text", "n_chars")
-    found = secrets.scan(_bundled(docs, *used), secrets.trained_pair(), keep=(*used, "_rest"))
+    found = secrets.scan(_bundled(docs, *used), secrets.trained_pair(docs), keep=(*used, "_rest"))
     clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
     return _unbundled(clean.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text"))), docs, *used)
 
 
-@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     used = ("doc_id", "text", "source")
     mixed = mixing.take(_bundled(docs, *used), keep=("text", "_rest"))
@@ -93,7 +70,6 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _unbundled(taken, docs, *used)
 
 
-@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -113,9 +89,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before: list[str] = []
     for name, stage in STAGES:
-        result = stage(spark, docs, sf_dir)
         with common.tracking() as paths:
-            docs = common.materialize(result, f"pipeline-{name}")
-        common.delete(spark, before)
-        before = paths
+            docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # The last path is the result; the stage's own tables and the result before have been read.
+        common.delete(spark, [*paths[:-1], *before])
+        before = paths[-1:]
     return docs
