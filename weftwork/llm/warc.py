@@ -296,14 +296,17 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
 def captured(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
     """Write the archives of ``pages`` into the folder ``path``, read them back and assemble their captures.
 
-    The nested rows are a table of the shared folder; tables on the way are deleted.
+    The nested rows are a table of the shared folder; other tables on the way are deleted.  Of a
+    response they hold size and digest, of the bytes read, but not the payload itself: that isn't
+    shuffled where nobody asks for it.  ``assemble(read_records(...))`` has it.
     """
     spark = pages.sparkSession
     with common.tracking() as made:
         write_archives(with_decisions(pages, min_bytes), path)
     common.delete(spark, made)
     with common.tracking() as made:
-        captures = common.materialize(assemble(read_records(spark, path)), "assembled")
+        captures = assemble(read_records(spark, path))
+        captures = common.materialize(captures.withColumn("response", F.col("response").dropFields("payload")), "assembled")
     common.delete(spark, made[:-1])
     return captures
 
