@@ -78,6 +78,10 @@ def test_search(cat):
     page, total = search.page(cat, "net", "as6939")
     assert total == 1 and page.collect()[0]["id"] == 11
     assert search.completions(cat, ["net"], "cloud").collect()[0]["id"] == 10
+    assert search.completions(cat, ["org", "net"], "or", only="org").select("type").distinct().collect() == [("org",)]
+    assert search.completions(cat, ["net"], "cloud", only="fac").count() == 0
+    hit = search.hits(cat, "fac", "fac a", details=True).collect()[0]
+    assert (hit["country"], hit["city"], hit["number"]) == ("DE", "Frankfurt am Main", 0) and search.hits(cat, "net", "cloud", details=True).collect()[0]["number"] == 13335
 
 
 def test_addresses(spark):
@@ -136,7 +140,9 @@ def test_functions(spark):
     assert [tuple(r) for r in df.select(fmt.format_location(F.col("a"), F.col("b")), fmt.format_protocols(F.col("u"), F.lit(False), F.col("v"))).collect()] == [("Köln, DE", "unicast"), ("DE", "IPv6"), ("", "")]
     long = spark.createDataFrame([("abcdefgh\x1b\x07",)], "s string").select(text.truncated(text.strip_control(F.col("s")), 6), fmt.whois_block([("name", F.col("s")), ("none", F.lit(""))])).collect()[0]
     assert tuple(long) == ("abc...", "name:           abcdefgh")
-    assert fmt.shown_columns("net-ix", ["name", "speed", "ipaddr6"], 70) == ["name", "speed"] and fmt.parse_sections("IX, nets,networks,ixp") == ["ix", "net"]
+    assert fmt.shown_columns("net-ix", ["name", "speed", "rs", "ipv4", "crossref", "ipv6"], 80) == ["name", "speed", "rs", "ipv4"]
+    assert fmt.shown_columns("ix-participants", ["asn", "speed"], 49) == ["asn"] and fmt.shown_columns("ix-prefixes", ["prefix", "dfz"], 0) == ["prefix", "dfz"]
+    assert fmt.parse_sections("IX, nets,participants,exchanges, Campuses,carriers") == ["ix", "net", "campus", "carrier"]
 
 
 def test_aggregates(spark, cat):
@@ -163,3 +169,14 @@ def test_bandwidth_halves_round_as_doubles(spark):
     shown = spark.createDataFrame([(v,) for v in values], "mbps long").select("mbps", fmt.format_bandwidth(F.col("mbps")).alias("s"))
     brute = lambda v: f"{v / 1e6:.1f} Tbps" if v >= 1_000_000 else f"{v // 1000} Gbps" if v >= 1000 else f"{v} Mbps"
     assert [r for r in map(tuple, shown.collect()) if r[1] != brute(r[0])] == []
+
+
+def test_ranges_of_any_width(spark):
+    """Pairs come out once, whether a range is one number or all of them."""
+    ranges = [(0, 2**32 - 1), (5, 5), (6, 5), (10 << 24, (11 << 24) - 1), (3, 1000), (2**32 - 1, 2**32 - 1), (0, 0), (7, 8), (1, 2**31)]
+    points = [0, 1, 3, 5, 7, 8, 999, 1000, 1001, 10 << 24, (11 << 24) - 1, 11 << 24, 2**31, 2**31 + 1, 2**32 - 1, 5]
+    p = spark.createDataFrame([(i, n) for i, n in enumerate(points)], "i long, n long")
+    r = spark.createDataFrame([(j, a, b) for j, (a, b) in enumerate(ranges)], "j long, low long, high long")
+    got = sorted((x["i"], x["j"]) for x in lookup.numbers_in_ranges(p, r, "n", "low", "high").select("i", "j").collect())
+    assert got == sorted((i, j) for i, n in enumerate(points) for j, (a, b) in enumerate(ranges) if a <= n <= b)
+    assert lookup.numbers_in_ranges(p, r.limit(0), "n", "low", "high").count() == 0

@@ -227,8 +227,10 @@ def test_numbered_pages(cat):
 
 
 def test_costs():
-    assert cost.check_budget(100, "net", 0, 0).allowed and not cost.check_budget(1001, "net", 0, 1_600_000).allowed
-    assert cost.check_budget(1001, "net", 0, 1_600_000).max_rows == 1000
+    assert cost.check_budget(100, "net", 0, 0).allowed and not cost.check_budget(1001, "net", 0, 1_664_000).allowed
+    assert cost.check_budget(1001, "net", 0, 1_664_000).max_rows == 1000
+    assert len(cost.ROW_BYTES) == 13 and cost.row_bytes("net", 1) == 2560 and cost.row_bytes("other") == cost.row_bytes("other", 2) == 4096
+    assert cost.nested_cost("org", {"net": {"poc": {}, "netixlan": {"ixlan": {"netixlan": {}}}}}) == 1 + 4 * (1 + 4 + 16 * (1 + 1 + 64))
     deep = {"fields": 2, "size": 1000, "children": [{"size": "members", "children": [{"size": "moderate", "fields": 3}]}]}
     assert cost.selection_cost(deep) == 1000 * (2 + 64 * (1 + 16 * 3)) and not cost.check_cost(deep)
 

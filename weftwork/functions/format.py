@@ -68,8 +68,17 @@ def on_map(latitude: Column, longitude: Column) -> Column:
     return latitude.isNotNull() & longitude.isNotNull() & ((latitude != 0) | (longitude != 0))
 
 
-#: Columns that narrow displays leave out: the least width that shows them.
-SHOWN_FROM = {"net-ix": {"ipaddr6": 100, "ipaddr4": 80, "speed": 60}, "net-fac": {"country": 80, "city": 60}, "ix-net": {"policy": 80, "speed": 60}}
+#: The least width that shows a column of a section; other columns are always shown.
+SHOWN_FROM = {
+    "net-ix": {"speed": 50, "ipv4": 80, "crossref": 90, "rs": 70, "ipv6": 100},
+    "net-fac": {"crossref": 70, "location": 60},
+    "ix-participants": {"speed": 50, "ipv4": 80, "rs": 70, "ipv6": 100},
+    "ix-facilities": {"crossref": 70, "location": 60},
+    "ix-prefixes": {"dfz": 60},
+    "fac-networks": {"crossref": 60},
+    "fac-ixps": {"crossref": 60},
+    "fac-carriers": {"crossref": 60},
+}
 
 
 def shown_columns(section: str, columns: list[str], width: int) -> list[str]:
@@ -78,7 +87,24 @@ def shown_columns(section: str, columns: list[str], width: int) -> list[str]:
     return [c for c in columns if width == 0 or width >= least.get(c, 0)]
 
 
-SECTION_ALIASES = {"ix": "ix", "ixp": "ix", "exchanges": "ix", "fac": "fac", "facilities": "fac", "net": "net", "networks": "net", "prefix": "prefix", "prefixes": "prefix", "contact": "contact", "contacts": "contact"}
+#: Names of sections and what they stand for.
+SECTION_ALIASES = {
+    "ix": "ix",
+    "exchanges": "ix",
+    "fac": "fac",
+    "facilities": "fac",
+    "net": "net",
+    "networks": "net",
+    "participants": "net",
+    "carrier": "carrier",
+    "carriers": "carrier",
+    "campus": "campus",
+    "campuses": "campus",
+    "contact": "contact",
+    "contacts": "contact",
+    "prefix": "prefix",
+    "prefixes": "prefix",
+}
 
 
 def parse_sections(text: str) -> list[str]:

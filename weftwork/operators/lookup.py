@@ -23,10 +23,22 @@ def addresses_in_prefixes(addresses: DataFrame, prefixes: DataFrame, address: st
     return looked.join(parts, on).drop("_n", "_p")
 
 
-def numbers_in_ranges(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, bucket_bits: int = 8) -> DataFrame:
-    """Pairs of a number and a range around it, by buckets of 2**bucket_bits numbers.
+def numbers_in_ranges(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, bits: int = 32) -> DataFrame:
+    """Pairs of a number and a range around it, both ends included; numbers have ``bits`` bits.
 
-    Ranges are listed in each bucket they touch, so choose buckets about as wide as a range.
+    A range is a union of aligned blocks, two of each power of two at most, so it makes up to 2 * bits rows
+    however wide it is.  A number lies in one block of each size: the join is an equi-join on
+    (size, block), for the sizes in use, and each pair comes out once.
     """
-    listed = ranges.withColumn("_b", F.explode(F.sequence(F.shiftright(low, bucket_bits), F.shiftright(high, bucket_bits))))
-    return points.withColumn("_q", F.shiftright(point, bucket_bits)).join(listed, F.col("_q") == F.col("_b")).where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_b", "_q")
+    size = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+    left = lambda k: F.floor((F.col(low) + size(k) - 1) / size(k)).cast("bigint")
+    end = lambda k: F.floor((F.col(high) + 1) / size(k)).cast("bigint")
+    block = lambda k, at, there: F.when(there, F.struct(k.alias("k"), at.alias("at")))
+    first = lambda k: block(k, left(k), (left(k) % 2 == 1) & (left(k) < end(k)))
+    last = lambda k: block(k, end(k) - 1, (end(k) % 2 == 1) & (left(k) + left(k) % 2 < end(k)))
+    levels = F.sequence(F.lit(0), F.lit(bits))
+    blocks = F.filter(F.concat(F.transform(levels, first), F.transform(levels, last)), lambda b: b.isNotNull())
+    listed = ranges.where(F.col(low) <= F.col(high)).withColumn("_b", F.explode(blocks))
+    used = sorted(r["k"] for r in listed.select("_b.k").distinct().collect())
+    asked = F.transform(F.array(*map(F.lit, used)).cast("array<int>"), lambda k: F.struct(k.alias("k"), F.floor(F.col(point) / size(k)).cast("bigint").alias("at")))
+    return points.withColumn("_q", F.explode(asked)).join(listed, (F.col("_q.k") == F.col("_b.k")) & (F.col("_q.at") == F.col("_b.at"))).drop("_b", "_q")

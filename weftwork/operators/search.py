@@ -13,14 +13,19 @@ from weftwork.plans.schema import Catalogue
 PREVIEW, PAGE, LEAST_CHARACTERS = 10, 50, 2
 
 
-def hits(catalogue: Catalogue, name: str, query: str, label: str | None = None, tier: str = "public") -> DataFrame:
-    """(type, id, name) of an entity's rows that match; none for a query that is too short."""
+def hits(catalogue: Catalogue, name: str, query: str, label: str | None = None, tier: str = "public", details: bool = False) -> DataFrame:
+    """(type, id, name) of an entity's rows that match, and country, city and number where details are
+    asked for (empty or 0 for entities that have none); no rows for a query that is too short."""
     entity = catalogue.entities[name]
     df = catalogue.table(name, tier)
     if entity.status:
         df = df.where(F.col(entity.status).isin("ok", "pending")) if "status" in df.columns else df
     found = search_predicate(entity, query) if len(query.strip()) >= LEAST_CHARACTERS else F.lit(False)
-    return df.where(found).select(F.lit(name).alias("type"), F.col(entity.key).cast("bigint").alias("id"), F.col(label or entity.search[0]).alias("name"))
+    more = []
+    if details:
+        more = [(F.coalesce(c, F.lit("")) if c in df.columns else F.lit("")).alias(c) for c in ("country", "city")]
+        more.append((F.coalesce(F.col(entity.number).cast("bigint"), F.lit(0)) if entity.number else F.lit(0)).cast("bigint").alias("number"))
+    return df.where(found).select(F.lit(name).alias("type"), F.col(entity.key).cast("bigint").alias("id"), F.col(label or entity.search[0]).alias("name"), *more)
 
 
 def grouped(catalogue: Catalogue, names: list[str], query: str, preview: int = PREVIEW, tier: str = "public") -> DataFrame:
@@ -43,6 +48,9 @@ def page(catalogue: Catalogue, name: str, query: str, offset: int = 0, size: int
     return (ordered.offset(offset) if offset else ordered).limit(size), found.count()
 
 
-def completions(catalogue: Catalogue, names: list[str], query: str, most: int = 20) -> DataFrame:
-    """Keys to complete a query with: numbers where an entity has them, else ids."""
-    return grouped(catalogue, names, query).select("type", "id", "place", "rank").orderBy("place", "rank").limit(most)
+def completions(catalogue: Catalogue, names: list[str], query: str, most: int = 20, only: str | None = None) -> DataFrame:
+    """Ids to complete a query with: at most ``most`` of each entity, or of one alone."""
+    asked = [n for n in names if only is None or n == only]
+    if not asked:
+        return hits(catalogue, names[0], "").select("type", "id", F.lit(0).alias("place"), F.lit(0).alias("rank"))
+    return grouped(catalogue, asked, query, preview=most).select("type", "id", "place", "rank")

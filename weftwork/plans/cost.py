@@ -9,19 +9,35 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a serialised row: as it is, and with its sets expanded. Measured means, doubled and
-#: rounded up to 64.
+#: Bytes of a serialised row of each type, as it is and expanded, and those of a row of any other type.
 ROW_BYTES = {
-    "org": (640, 8448),
-    "net": (1600, 2496),
+    "org": (704, 8448),
+    "net": (1664, 2560),
     "fac": (1344, 3392),
     "ix": (1280, 2688),
     "poc": (384, 2752),
     "ixlan": (576, 2560),
+    "ixpfx": (384, 2240),
+    "netixlan": (640, 4928),
+    "netfac": (384, 4736),
+    "ixfac": (384, 4416),
+    "carrier": (512, 1664),
+    "carrierfac": (320, 3520),
+    "campus": (576, 2688),
 }
-DEFAULT_ROW_BYTES = (512, 2560)
+DEFAULT_ROW_BYTES = (4096, 4096)
 COST_LIMIT = 1_000_000
 EDGE_WEIGHTS = {"few": 4, "moderate": 16, "members": 64}
+#: How many rows each set of a type is taken to hold.
+EDGES = {
+    "org": {"net": "few", "fac": "few", "ix": "few", "campus": "few", "carrier": "few"},
+    "campus": {"fac": "few"},
+    "carrier": {"carrierfac": "moderate"},
+    "fac": {"netfac": "moderate", "ixfac": "few", "carrierfac": "few"},
+    "ix": {"ixlan": "few", "ixfac": "moderate"},
+    "ixlan": {"netixlan": "members", "ixpfx": "few"},
+    "net": {"netixlan": "moderate", "netfac": "moderate", "poc": "few"},
+}
 
 
 @dataclass(frozen=True)
@@ -32,7 +48,7 @@ class Budget:
 
 
 def row_bytes(entity: str, depth: int = 0) -> int:
-    return ROW_BYTES.get(entity, DEFAULT_ROW_BYTES)[1 if depth >= 2 else 0]
+    return ROW_BYTES.get(entity, DEFAULT_ROW_BYTES)[1 if depth >= 1 else 0]
 
 
 def check_budget(count: int, entity: str, depth: int, budget: int) -> Budget:
@@ -63,5 +79,10 @@ def selection_cost(selection: Mapping[str, Any]) -> int:
     return EDGE_WEIGHTS.get(size, size) * own if isinstance(size, str) else int(size) * own
 
 
+def nested_cost(entity: str, sets: Mapping[str, Any], fields: int = 1) -> int:
+    """Cost of a row of an entity with sets below it: {"net": {"poc": {}}}; a set weighs as ``EDGES`` says, a parent 1."""
+    return fields + sum(EDGE_WEIGHTS.get(EDGES.get(entity, {}).get(child, ""), 1) * nested_cost(child, below) for child, below in sets.items())
+
+
 def check_cost(selection: Mapping[str, Any]) -> bool:
     return selection_cost(selection) <= COST_LIMIT

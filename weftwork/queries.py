@@ -739,6 +739,8 @@ def stream_available_now(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and (not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     if base is None:
         import tempfile
 
@@ -757,7 +759,7 @@ def _stream_dir(spark: SparkSession, d: str, root: str) -> str:
     return f"{root}/in"
 
 
-@register("SELECT c_custkey, 640 + 1600 * (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS bytes FROM customer")
+@register("SELECT c_custkey, 704 + 1664 * (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS bytes FROM customer")
 def budget_estimate(spark: SparkSession, d: str) -> DataFrame:
     children = {"orders": (_table(spark, d, "orders"), "o_custkey", cost.row_bytes("net"))}
     return cost.fan_out_bytes(_table(spark, d, "customer"), "c_custkey", cost.row_bytes("org"), children)
@@ -778,3 +780,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 )
 def flagship_list(spark: SparkSession, d: str) -> DataFrame:
     return flagship(spark, d)
+
+
+# The queries over the native catalogue register themselves.
+from weftwork import native_queries  # noqa: E402, F401
