@@ -23,7 +23,8 @@ all of it in blocks, without splitting.  Nodes that have the same members in sev
 compared once.
 
 All steps are joins and aggregations keyed by node or class; nothing is gathered on the driver.
-Joins of tables that grow alike are merge joins at every size; where one side is a small part of
+Joins that carry sketches or texts are merge joins at every size; those of small link tables are left to Spark, which
+broadcasts a side only where its size is below the session's threshold; where one side is a small part of
 the other, a bitmap of fixed size filters the large side first, so that texts are shuffled only
 for candidates.
 
@@ -308,10 +309,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = common.materialize(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = common.materialize(small.where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         now = mark(edges)
         if now == seen:
@@ -453,7 +454,7 @@ def _company(sketched: DataFrame, percent: int, width: int, node_limit: int, sec
         ready = sketches.repartition("node").sortWithinPartitions("node")
         clusters = common.materialize(ready.mapInArrow(_clusters(least, percent, rooted is None), "cluster long, row_id long, label long").distinct(), "clusters")
         marks = clusters.groupBy(F.col("cluster").alias("node")).agg(F.count(F.lit(1)).alias("n"), _member_mark().alias("mark"))
-        wanted = common.materialize(clusters.join(_unlike(marks).select(F.col("node").alias("cluster")).hint("merge"), "cluster"), "wanted")
+        wanted = common.materialize(clusters.join(_unlike(marks).select(F.col("node").alias("cluster")), "cluster"), "wanted")
         whole = common.likely_in(sketched.select("row_id", "sketch", "text"), wanted, "row_id")
         texts = wanted.join(whole.hint("merge"), "row_id").select("cluster", "row_id", "label", "sketch", "text")
         found = texts.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_links(width, least, percent), "a long, b long")
@@ -464,8 +465,8 @@ def _company(sketched: DataFrame, percent: int, width: int, node_limit: int, sec
     # The first row of each component, for the classes that have company.
     linked = classes.join(rooted.hint("merge"), classes["class_row"] == rooted["node"])
     heads = linked.groupBy("root").agg(F.min("first").alias("head"))
-    of_class = linked.select("signature", "root").join(heads.hint("merge"), "root").select("signature", "head")
-    copies = classes.where("rows > 1").join(of_class.select("signature").hint("merge"), "signature", "left_anti").select("signature", F.col("first").alias("head"))
+    of_class = linked.select("signature", "root").join(heads, "root").select("signature", "head")
+    copies = classes.where("rows > 1").join(of_class.select("signature"), "signature", "left_anti").select("signature", F.col("first").alias("head"))
     return of_class.union(copies)
 
 
