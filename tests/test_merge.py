@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import native
 import pytest
@@ -52,6 +52,81 @@ def test_cycle(spark, tmp_path):
     assert merge.cursors({"net": store.read("net")})["net"] == datetime(2025, 1, 1)
 
 
+def test_arrival_order_and_untouched_types(spark, tmp_path):
+    store = merge.Store(spark, str(tmp_path))
+    orgs, nets = native.frame(spark, "org", [dict(id=1, name="One")]), [dict(id=10, org_id=1, name="Newer", updated=T2), dict(id=10, org_id=1, name="Last", updated=T1)]
+    both = native.frame(spark, "net", nets[:1]).withColumn("_arrival", native_arrival(1)).unionByName(native.frame(spark, "net", nets[1:]).withColumn("_arrival", native_arrival(2)))
+    first = merge.run_cycle(store, {"org": orgs, "net": both})
+    assert [r["name"] for r in store.read("net").collect()] == ["Last"] and store.read("net").columns == T.StructType.fromDDL(NATIVE_DDL["net"]).names
+    second = merge.run_cycle(store, {"net": native.frame(spark, "net", [dict(id=11, org_id=1, name="More")])})
+    assert store.places(second.version) == {"org": first.version, "net": second.version}
+    store.vacuum(keep=1)
+    assert store.read("net").count() == 2 and store.read("org").count() == 1 and store.current() == second.version
+    assert not (tmp_path / "versions" / first.version / "net").exists() and not list((tmp_path / "staging").iterdir())
+
+
+def native_arrival(n):
+    from pyspark.sql import functions as F
+
+    return F.struct(F.lit(n).cast("bigint").alias("page"), F.lit(0).alias("at"))
+
+
+def test_staging_falls_back(spark, tmp_path):
+    store = merge.Store(spark, str(tmp_path))
+    live = native.frame(spark, "org", [dict(id=1, name="One"), dict(id=2, name="Two")])
+    gone = native.frame(spark, "org", [dict(id=2, name="Two", status="deleted", updated=T2)])
+
+    def source(broken):
+        def read(since):
+            if since is None:
+                return live
+            if broken:
+                raise OSError("no increment")
+            return gone
+
+        return read
+
+    def staged(broken, cursor, mode):
+        rows, increment = merge.stage_type(store, "v", "org", source(broken), cursor, mode)
+        return sorted((r["id"], r["status"]) for r in rows.collect()), increment
+
+    assert staged(False, T1, "incremental") == ([(2, "deleted")], True)
+    assert staged(False, None, "incremental") == ([(1, "ok"), (2, "ok")], False)
+    assert staged(False, T1, "full") == ([(1, "ok"), (2, "deleted")], False)
+    assert staged(True, T1, "incremental") == ([(1, "ok"), (2, "ok")], False)
+    with pytest.raises(OSError):
+        staged(True, T1, "full")
+
+
+def test_backfill(spark, tmp_path):
+    known = native.catalogue(spark).tables
+    asked = []
+
+    def lookup(name, ids):
+        asked.append((name, sorted(r["id"] for r in ids.collect())))
+        return known[name]
+
+    spots = native.frame(spark, "netfac", [dict(id=60, net_id=10, fac_id=30), dict(id=61, net_id=12, fac_id=30), dict(id=62, net_id=99, fac_id=30)])
+    for n, (most, until, rows) in enumerate([(100, None, {60, 61}), (1, None, set()), (100, T1.replace(tzinfo=timezone.utc), set())]):
+        asked.clear()
+        store = merge.Store(spark, f"{tmp_path}/{n}")
+        result = merge.run_cycle(store, {"netfac": spots}, lookup=lookup, most=most, until=until)
+        assert {r["id"] for r in store.read("netfac").collect()} == rows
+        if n == 0:
+            assert asked == [("net", [10, 12, 99]), ("fac", [30]), ("org", [1, 2])] and result.backfilled == {"net": 2, "fac": 1, "org": 2}
+        else:
+            assert asked == ([("net", [10])] if n == 1 else [])
+
+
+def test_scheduled_stream(spark, tmp_path):
+    frame(spark, [(1, "a", T1, "ok")]).write.parquet(f"{tmp_path}/in")
+    seen = []
+    running = merge.scheduled(spark.readStream.schema("id long, v string, updated timestamp, status string").parquet(f"{tmp_path}/in"), lambda df, n: seen.append(df.count()), f"{tmp_path}/checkpoint", "1 second")
+    running.processAllAvailable()
+    running.stop()
+    assert sum(seen) == 1
+
+
 def test_failed_cycle_changes_nothing(spark, tmp_path):
     store = merge.Store(spark, str(tmp_path))
     org = native.frame(spark, "org", [dict(id=1, name="One")])

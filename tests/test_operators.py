@@ -180,3 +180,14 @@ def test_ranges_of_any_width(spark):
     got = sorted((x["i"], x["j"]) for x in lookup.numbers_in_ranges(p, r, "n", "low", "high").select("i", "j").collect())
     assert got == sorted((i, j) for i, n in enumerate(points) for j, (a, b) in enumerate(ranges) if a <= n <= b)
     assert lookup.numbers_in_ranges(p, r.limit(0), "n", "low", "high").count() == 0
+
+
+def test_percentiles_by_ranges(spark):
+    rows = [("a", float(v % 7)) for v in range(100)] + [("b", None), ("c", 1.0), ("c", None), (None, 3.0)] + [("hot", 5.0)] * 300
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: (r["p50"], r["p95"], r["p99"]) for r in aggregates.percentiles(df, "v", ["k"]).collect()}
+    rank = lambda values, p: sorted(values)[-(-len(values) * p // 100) - 1]
+    assert got["a"] == tuple(rank([v for k, v in rows if k == "a"], p) for p in (50, 95, 99))
+    assert got["b"] == (None,) * 3 and got["c"] == (1.0,) * 3 and got[None] == (3.0,) * 3 and got["hot"] == (5.0,) * 3 and len(got) == 5
+    assert aggregates.percentiles(df.where("k = 'a'"), "v").columns == ["p50", "p95", "p99"]
+    assert aggregates.percentiles(df.limit(0), "v", ["k"]).count() == 0

@@ -6,6 +6,8 @@ facilities suppliers, exchanges parts, and so on; some rows are deleted or pendi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,9 @@ from weftwork.plans import cost
 from weftwork.plans.filters import compile_filters
 from weftwork.plans.schema import NATIVE_DDL, Catalogue, driver_catalogue, native_entities
 from weftwork.queries import _table, register
-from weftwork.session import ship_package
+from weftwork.session import shared_folder, ship_package
+from weftwork.sources import envelope
+from weftwork.streaming import merge
 
 #: Type to the driver table and the columns it gives, in SQL that Spark and DuckDB read alike.
 VIEWS = {
@@ -119,6 +123,59 @@ def filter_in_number(spark: SparkSession, d: str) -> DataFrame:
     return compile_filters(cat, "supplier", {"s_acctbal__in": "0.5,1234.25"}).apply(cat.tables["supplier"]).select("s_suppkey", "s_acctbal")
 
 
+# The sync cycle: a full one from pages of envelopes, then an increment with repeated arrivals and missing parents.
+
+_SYNCED = {"org": {}, "fac": {"org_id": "org"}, "net": {"org_id": "org"}, "netfac": {"net_id": "net", "fac_id": "fac"}}
+_FIRST_UPDATE = "TIMESTAMP '2024-01-01 00:00:00' + id % 3 * INTERVAL 1 DAY"
+_NEXT_UPDATE = "CASE WHEN id % 8 = 0 THEN TIMESTAMP '2024-01-03 12:00:00' ELSE TIMESTAMP '2023-12-31 00:00:00' END"
+_FOUND_UPDATE = "TIMESTAMP '2024-01-01 06:00:00'"
+
+
+def _sync_sql() -> str:
+    """Types by suffix: _1 after the first cycle, _a what arrives then, _b what is looked up, _2 after the second cycle."""
+    parts = []
+    row = lambda t, label, updated: f"SELECT id, {', '.join([*_SYNCED[t], ''])}'{label}' AS name, {updated} AS updated FROM {t}"
+    has = lambda t, version: "".join(f" AND ({k} = 0 OR {k} IN (SELECT id FROM {p}_{version}))" for k, p in _SYNCED[t].items())
+    for t in _SYNCED:
+        parts.append(f"{t}_1 AS ({row(t, 'first', _FIRST_UPDATE)} WHERE id % 5 <> 0{has(t, 1)})")
+        parts.append(f"{t}_a AS ({row(t, 'late', _NEXT_UPDATE)} WHERE id % 4 = 0)")
+    for t in reversed(_SYNCED):
+        asked = " UNION ALL ".join(f"SELECT {k} FROM {c}_{v}" for c, keys in _SYNCED.items() for k, p in keys.items() if p == t for v in "ab")
+        here = "".join(f" AND id NOT IN (SELECT id FROM {t}_{v})" for v in "1a")
+        parts.append(f"{t}_b AS ({row(t, 'found', _FOUND_UPDATE)} WHERE {f'id > 0 AND id IN ({asked}){here}' if asked else 'false'})")
+    for t in _SYNCED:
+        parts.append(f"{t}_s AS (SELECT * FROM (SELECT * FROM {t}_a UNION ALL SELECT * FROM {t}_b) WHERE true{has(t, 2)})")
+        columns = ", ".join(f"CASE WHEN o.id IS NULL OR s.updated > o.updated THEN s.{c} ELSE o.{c} END AS {c}" for c in ("id", "name", "updated"))
+        parts.append(f"{t}_2 AS (SELECT {columns} FROM {t}_1 o FULL JOIN {t}_s s ON o.id = s.id)")
+    return _WITH + ",\n" + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT '{t}' AS type, id, name, updated FROM {t}_2" for t in _SYNCED)
+
+
+@register(_sync_sql())
+def sync_cycles(spark: SparkSession, d: str) -> DataFrame:
+    root = shared_folder(spark, "sync")
+    cat, page = catalogue(spark, d), F.floor(F.col("id") / 250)
+    store = merge.Store(spark, f"{root}/store")
+
+    def made(t: str, label: str, updated: str) -> DataFrame:
+        return cat.tables[t].where("id IS NOT NULL").withColumns({"name": F.lit(label), "updated": F.expr(updated).cast("timestamp"), **({"campus_id": F.lit(None).cast("bigint")} if t == "fac" else {})})
+
+    def arriving(t: str) -> DataFrame:
+        # The later arrival counts, though the earlier one has the newer update.
+        return made(t, "early", "TIMESTAMP '2025-01-01 00:00:00'").unionByName(made(t, "late", _NEXT_UPDATE)).where("id % 4 = 0")
+
+    for t in _SYNCED:
+        envelope.write_pages(made(t, "first", _FIRST_UPDATE).where("id % 5 <> 0"), f"{root}/full/{t}", page)
+        envelope.write_pages(arriving(t), f"{root}/increment/{t}", page * 2 + F.when(F.col("name") == "late", 1).otherwise(0))
+
+    def read(t: str, kind: str) -> DataFrame:
+        return envelope.read_pages(spark, f"{root}/{kind}/{t}", T.StructType.fromDDL(NATIVE_DDL[t]))
+
+    merge.sync(store, {t: lambda since, t=t: read(t, "full") for t in _SYNCED}, mode="full")
+    merge.sync(store, {t: lambda since, t=t: read(t, "increment") for t in _SYNCED}, lookup=lambda t, ids: made(t, "found", _FOUND_UPDATE), most=10**9)
+    out = [store.read(t).select(F.lit(t).alias("type"), "id", "name", F.col("updated").cast("timestamp_ntz").alias("updated")) for t in _SYNCED]
+    return reduce(DataFrame.unionByName, out)
+
+
 # Display formats.
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.plans import paging
+
 
 def sum_by(df: DataFrame, key: str, value: str, alias: str) -> DataFrame:
     return df.groupBy(key).agg(F.sum(value).alias(alias))
@@ -38,8 +40,18 @@ def total_of(counts: Column) -> Column:
 
 
 def percentiles(df: DataFrame, value: str, by: Sequence[str] = (), at: Sequence[int] = (50, 95, 99)) -> DataFrame:
-    """Nearest-rank percentiles."""
-    return df.groupBy(*by).agg(*[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{p}") for p in at])
+    """Nearest-rank percentiles; nulls don't count, and a group of nulls alone has none.
+
+    Equal values are counted before they are numbered by ranges, so no task holds or sorts all values of a group.
+    """
+    groups = {f"_g{k}": F.col(c) for k, c in enumerate(by)} or {"_g0": F.lit(0)}
+    counted = df.select(*[c.alias(g) for g, c in groups.items()], F.col(value).alias("_v")).groupBy(*groups, "_v").agg(F.count("_v").alias("_c"))
+    placed = paging.numbered(counted, [*groups, "_v"], "_at", F.col("_c"))
+    sizes = placed.groupBy(*groups).agg(F.min("_at").alias("_start"), F.sum("_c").alias("_n")).select(*[F.col(g).alias(f"{g}s") for g in groups], "_start", "_n")
+    found = placed.join(sizes, reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"{g}s")) for g in groups]))
+    rank = F.col("_at") - F.col("_start") + F.col("_c")
+    out = found.groupBy(*groups).agg(*[F.min(F.when(rank * 100 >= F.col("_n") * p, F.col("_v"))).alias(f"p{p}") for p in at])
+    return out.select(*[F.col(g).alias(c) for g, c in zip(groups, by)], *[f"p{p}" for p in at])
 
 
 def rollup(df: DataFrame, by: str, measures: Sequence[Column], total: str = "TOTAL") -> DataFrame:

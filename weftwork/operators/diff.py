@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -135,3 +136,8 @@ def markdown_report(types: dict[str, dict[str, Any]]) -> str:
         if result.get("fields"):
             out += ["| field | rows |", "|---|---|", *(f"| {k} | {v} |" for k, v in sorted(result["fields"].items())), ""]
     return "\n".join(out)
+
+
+def json_report(types: dict[str, dict[str, Any]]) -> str:
+    """The same report as JSON, types and fields in order."""
+    return json.dumps({"types": types}, sort_keys=True, indent=2, default=str)

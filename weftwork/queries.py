@@ -14,7 +14,7 @@ from weftwork.operators import aggregates, compare, diff, joins, lookup, search
 from weftwork.plans import cost, paging, query, typed
 from weftwork.plans.filters import compile_filters, hop
 from weftwork.plans.schema import Catalogue, driver_catalogue
-from weftwork.session import ship_package
+from weftwork.session import shared_folder, ship_package
 from weftwork.streaming import merge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -736,16 +736,7 @@ def merge_tombstone_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT user_id, max(ts) AS ts FROM events GROUP BY 1")
 def stream_available_now(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and (not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="weftwork-stream-")
-    root = f"{base.rstrip('/')}/weftwork-stream-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "stream")
     schema = _table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_stream_dir(spark, d, root))
     running = merge.merge_stream(stream.select("user_id", "ts"), f"{root}/table", f"{root}/checkpoint", "user_id", "ts")

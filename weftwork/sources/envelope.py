@@ -6,12 +6,15 @@ import json
 from collections.abc import Iterable, Iterator, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftwork.plans.schema import NATIVE_DDL
 
+#: The column that numbers arrivals: later ones are greater.
+ARRIVAL = "_arrival"
+
 
 def read_envelope(spark: SparkSession, path: str, row: T.StructType) -> DataFrame:
     """Rows of all envelopes under a path; unknown keys are dropped by the schema."""
@@ -23,6 +26,20 @@ def read_native(spark: SparkSession, path: str, name: str) -> DataFrame:
     return read_envelope(spark, path, T.StructType.fromDDL(NATIVE_DDL[name]))
 
 
+def write_pages(df: DataFrame, path: str, page: Column, meta: Mapping[str, Any] | None = None) -> None:
+    """Envelopes of pages, one a line, written by the executors; rows of a page are those of one value."""
+    head = F.struct(F.col("_page").alias("page"), *[F.lit(v).alias(k) for k, v in (meta or {}).items()])
+    pages = df.select(page.alias("_page"), F.struct(*df.columns).alias("_row")).groupBy("_page").agg(F.collect_list("_row").alias("data"))
+    pages.select(F.to_json(F.struct(head.alias("meta"), "data")).alias("value")).write.text(path)
+
+
+def read_pages(spark: SparkSession, path: str, row: T.StructType) -> DataFrame:
+    """Rows of envelopes, one a line, with ``_arrival``: (number of the page, position in it)."""
+    envelope = T.StructType([T.StructField("meta", T.StructType([T.StructField("page", T.LongType())])), T.StructField("data", T.ArrayType(row))])
+    pages = spark.read.schema(envelope).json(path).select("meta.page", F.posexplode("data").alias("at", "r"))
+    return pages.select("r.*", F.struct("page", "at").alias(ARRIVAL))
+
+
 def read_lines(spark: SparkSession, path: str, row: T.StructType) -> DataFrame:
     """One row object a line: splittable, the form for large captures."""
     return spark.read.schema(row).json(path)

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftwork.functions.text import fold_column
 from weftwork.operators import joins
+from weftwork.plans import paging
 from weftwork.plans.schema import NATIVE_DDL, NATIVE_KEYS, OPTIONAL_KEYS, Entity
+from weftwork.sources.envelope import ARRIVAL
 
 ZERO_TIME = "1900-01-01 00:00:00"
 
@@ -27,10 +32,21 @@ def last_wins(arrivals: DataFrame, key: str, order: Sequence[str | Column]) -> D
     return arrivals.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where("_n = 1").drop("_n")
 
 
+def newest_arrivals(rows: DataFrame, key: str = "id", updated: str = "updated") -> DataFrame:
+    """One row of a key: the last arrival, or where arrivals aren't numbered, the newest update.
+
+    Ties go by a hash of the whole row, so reruns agree.
+    """
+    if ARRIVAL in rows.columns:
+        plain = [c for c in rows.columns if c != ARRIVAL]
+        return last_wins(rows, key, [F.desc(ARRIVAL), F.xxhash64(*plain).desc()]).drop(ARRIVAL)
+    return last_wins(rows, key, [F.desc(updated), F.xxhash64(*rows.columns).desc()])
+
+
 def overlay(snapshot: DataFrame, window: DataFrame, key: str) -> DataFrame:
     """A full snapshot with a window of later changes, tombstones included, laid over it."""
-    both = snapshot.withColumn("_arrival", F.lit(0)).unionByName(window.withColumn("_arrival", F.lit(1)))
-    return last_wins(both, key, ["_arrival"]).drop("_arrival")
+    both = snapshot.withColumn(ARRIVAL, F.lit(0)).unionByName(window.withColumn(ARRIVAL, F.lit(1)))
+    return last_wins(both, key, [ARRIVAL]).drop(ARRIVAL)
 
 
 def drain(staged: DataFrame, after: int, n: int, key: str = "id") -> DataFrame:
@@ -99,17 +115,15 @@ def orphan_summary(orphans: DataFrame) -> DataFrame:
     return orphans.groupBy("child", "parent", "field", "action").agg(F.count(F.lit(1)).alias("n")).orderBy("child", "parent", "field", "action")
 
 
-def backfill(missing: DataFrame, lookup: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
-    """Rows of missing parents from a lookup, for at most ``most`` keys, smallest first."""
-    return lookup(missing.orderBy("id").limit(most))
-
-
-# Versions: every cycle writes a new folder; a pointer names the one in force.
+# Versions: a cycle writes what it changes to a new folder; a pointer names the version in force.
 
 
 @dataclass
 class Store:
-    """Versioned tables under a root; readers see a whole cycle or none of it."""
+    """Versioned tables under a root; readers see a whole cycle or none of it.
+
+    A version's manifest names the folder of each type, so types that a cycle leaves alone stay where they are.
+    """
 
     spark: SparkSession
     root: str
@@ -122,62 +136,186 @@ class Store:
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
 
+    def _names(self, folder: str) -> list[str]:
+        fs, at = self._fs(), self._path(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
     def current(self) -> str | None:
         """The version in force: the newest pointer file."""
-        fs, at = self._fs(), self._path("pointers")
-        if not fs.exists(at):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at))
+        names = self._names("pointers")
         return names[-1].split(".", 1)[1] if names else None
 
-    def read(self, name: str) -> DataFrame:
-        version = self.current()
-        schema = self.schemas.get(name) or T.StructType.fromDDL(NATIVE_DDL[name])
-        if version is None or not self._fs().exists(self._path("versions", version, name)):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/versions/{version}/{name}")
-
-    def commit(self, tables: Mapping[str, DataFrame]) -> str:
-        """Write all tables, then the pointer; a failure before the pointer changes nothing."""
-        fs, now = self._fs(), self.current()
-        version = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
-        for name, df in tables.items():
-            df.write.parquet(f"{self.root}/versions/{version}/{name}")
-        number = 0
-        if now is not None:
-            number = int(sorted(s.getPath().getName() for s in fs.listStatus(self._path("pointers")))[-1].split(".")[0]) + 1
-        fs.create(self._path("pointers", f"{number:012d}.{version}"), False).close()
+    def places(self, version: str | None) -> dict[str, str]:
+        """Type to the version whose folder holds its rows; one small file."""
+        if version is None:
+            return {}
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{version}", wholetext=True).first()["value"])
+
+    def _schema(self, name: str) -> T.StructType:
+        return self.schemas.get(name) or T.StructType.fromDDL(NATIVE_DDL[name])
+
+    def read(self, name: str, version: str | None = None) -> DataFrame:
+        """A type's rows in a version, the one in force if none is named."""
+        place = self.places(version or self.current()).get(name)
+        if place is None:
+            return self.spark.createDataFrame([], self._schema(name))
+        return self.spark.read.schema(self._schema(name)).parquet(f"{self.root}/versions/{place}/{name}")
+
+    def begin(self) -> str:
+        return f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+
+    def write(self, version: str, name: str, df: DataFrame) -> DataFrame:
+        """Write a type's rows for a version and read them back, which cuts the lineage."""
+        path = f"{self.root}/versions/{version}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def stage(self, version: str, name: str, df: DataFrame) -> DataFrame:
+        """Write arrivals beside the versions and read them back; another try overwrites the first."""
+        path = f"{self.root}/staging/{version}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def unstage(self, version: str) -> None:
+        self._fs().delete(self._path("staging", version), True)
+
+    def commit(self, version: str, names: Sequence[str]) -> str:
+        """Write the manifest, then the pointer; a failure before the pointer changes nothing."""
+        places = self.places(self.current()) | dict.fromkeys(names, version)
+        self.spark.createDataFrame([(json.dumps(places),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifests/{version}")
+        pointers = self._names("pointers")
+        number = int(pointers[-1].split(".")[0]) + 1 if pointers else 0
+        self._fs().create(self._path("pointers", f"{number:012d}.{version}"), False).close()
         return version
 
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete tables that none of the last versions reads, and what failed cycles left."""
+        fs, pointers = self._fs(), self._names("pointers")
+        kept = [p.split(".", 1)[1] for p in pointers[-keep:]]
+        used = {(place, name) for v in kept for name, place in self.places(v).items()}
+        for version in self._names("versions"):
+            for name in self._names(f"versions/{version}"):
+                if (version, name) not in used:
+                    fs.delete(self._path("versions", version, name), True)
+        for version in self._names("staging"):
+            self.unstage(version)
+        for pointer in pointers[:-keep]:
+            fs.delete(self._path("pointers", pointer), False)
+            fs.delete(self._path("manifests", pointer.split(".", 1)[1]), True)
+
 
 @dataclass
 class CycleResult:
     version: str
     counts: dict[str, int]
     orphans: dict[tuple[str, str, str, str], int]
+    backfilled: dict[str, int] = field(default_factory=dict)
+
+
+Read = Callable[[datetime | None], DataFrame]
+#: What reading from a source may raise; anything else is a fault of this library.
+SOURCE_ERRORS = (PySparkException, Py4JJavaError, OSError)
 
 
-def run_cycle(store: Store, staged: Mapping[str, DataFrame], full: bool = False) -> CycleResult:
-    """Merge staged rows of all types, parents before children, and commit them as one version.
+def stage_type(store: Store, version: str, name: str, read: Read, cursor: datetime | None, mode: str = "incremental") -> tuple[DataFrame, bool]:
+    """(staged rows, whether they are an increment); ``read`` gives rows since a moment, or all live ones.
 
-    A child's parents are those of the merged parent table.
+    An increment that fails falls back to a full read.  Rows since the cursor, tombstones among them, are laid
+    over a full snapshot, as the next cursor lies after them; where they can't be read a full cycle fails, and a
+    fallback goes without.
+    """
+    fell_back = False
+    if mode == "incremental" and cursor is not None:
+        try:
+            return store.stage(version, name, newest_arrivals(read(cursor))), True
+        except SOURCE_ERRORS:
+            fell_back = True
+    if cursor is not None:
+        try:
+            return store.stage(version, name, overlay(newest_arrivals(read(None)), newest_arrivals(read(cursor)), "id")), False
+        except SOURCE_ERRORS:
+            if not fell_back:
+                raise
+    return store.stage(version, name, newest_arrivals(read(None))), False
+
+
+def backfill(
+    store: Store, version: str, staged: Mapping[str, DataFrame], lookup: Callable[[str, DataFrame], DataFrame], most: int, until: datetime | None = None
+) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """Staged rows with the missing parents that a lookup finds, and how many each type got.
+
+    Children come before parents here, so rows found for one type ask for their own parents in turn and each type
+    is looked up once.  At most ``most`` keys are asked for in a cycle, smallest first, and none after ``until``.
+    """
+    out, found, left = dict(staged), {}, most
+    for parent in reversed(list(NATIVE_DDL)):
+        asked = [out[child].select(F.col(fk).alias("id")) for child, fk, p in NATIVE_KEYS if p == parent and child in out and (child, fk) not in OPTIONAL_KEYS]
+        if not asked or left <= 0 or (until is not None and datetime.now(timezone.utc) >= until):
+            continue
+        wanted = asked[0]
+        for more in asked[1:]:
+            wanted = wanted.union(more)
+        missing = joins.orphans(wanted.where("id > 0").distinct(), "id", store.read(parent).select("id"))
+        if parent in staged:
+            missing = joins.orphans(missing, "id", staged[parent].select("id"))
+        keys = store.stage(version, f"{parent}.asked", missing)
+        n = keys.count()
+        if n == 0:
+            continue
+        if n > left:
+            # Numbered by ranges: a list of the first ``left`` keys need not fit in a task.
+            keys = paging.numbered(keys, ["id"], "_at").where(F.col("_at") < left).drop("_at")
+        left -= min(n, left)
+        rows = store.stage(version, f"{parent}.found", newest_arrivals(lookup(parent, keys).join(keys, "id", "left_semi")))
+        found[parent] = rows.count()
+        out[parent] = out[parent].unionByName(rows) if parent in out else rows
+    return out, found
+
+
+def run_cycle(
+    store: Store, staged: Mapping[str, DataFrame], full: bool = False, lookup: Callable[[str, DataFrame], DataFrame] | None = None, most: int = 10_000, until: datetime | None = None
+) -> CycleResult:
+    """Merge arrivals of all types, parents before children, and commit them as one version.
+
+    Each merged table is written before its children look for their parents in it, and types without
+    arrivals stay where they are.  ``lookup`` fetches missing parents by type and ids.
     """
+    version = store.begin()
+    rows = {name: store.stage(version, name, newest_arrivals(df)) for name, df in staged.items()}
+    return _merge_staged(store, version, rows, {name: full for name in rows}, lookup, most, until)
+
+
+def sync(
+    store: Store, sources: Mapping[str, Read], mode: str = "incremental", lookup: Callable[[str, DataFrame], DataFrame] | None = None, most: int = 10_000, until: datetime | None = None
+) -> CycleResult:
+    """A whole cycle: read each type since its cursor, or in full, then merge and commit."""
+    version, rows = store.begin(), {}
+    for name in (n for n in NATIVE_DDL if n in sources):
+        cursor = cursors({name: store.read(name)})[name]
+        rows[name], _ = stage_type(store, version, name, sources[name], cursor, mode)
+    return _merge_staged(store, version, rows, {name: mode == "full" for name in rows}, lookup, most, until)
+
+
+def _merge_staged(store: Store, version: str, staged: Mapping[str, DataFrame], full: Mapping[str, bool], lookup, most: int, until: datetime | None) -> CycleResult:
+    found: dict[str, int] = {}
+    if lookup is not None:
+        staged, found = backfill(store, version, staged, lookup, most, until)
     merged: dict[str, DataFrame] = {}
     counts: dict[str, int] = {}
     lost: dict[tuple[str, str, str, str], int] = {}
     for name in NATIVE_DDL:
-        target = store.read(name)
         if name not in staged:
-            merged[name] = target
+            merged[name] = store.read(name)
             continue
-        source = last_wins(staged[name], "id", ["updated"])
         parents = {p: merged[p] for c, _, p in NATIVE_KEYS if c == name} | {p: merged[p] for (c, _), p in OPTIONAL_KEYS.items() if c == name}
-        source, orphan_rows = check_keys(name, source, parents)
+        source, orphan_rows = check_keys(name, staged[name], parents)
         for r in orphan_summary(orphan_rows).collect():
             lost[r["child"], r["parent"], r["field"], r["action"]] = r["n"]
-        merged[name] = merge(target, source, full=full)
+        merged[name] = store.write(version, name, merge(store.read(name), source, full=full.get(name, False)))
         counts[name] = source.count()
-    return CycleResult(store.commit(merged), counts, lost)
+    store.commit(version, list(staged))
+    store.unstage(version)
+    return CycleResult(version, counts, lost, found)
 
 
 def cursors(tables: Mapping[str, DataFrame]) -> dict[str, datetime | None]:
@@ -238,7 +376,8 @@ def last_run(states: DataFrame, status: str | None = None) -> DataFrame:
 def merge_stream(stream: DataFrame, path: str, checkpoint: str, key: str, updated: str):
     """Merge a stream into a Parquet table with ``foreachBatch``, and stop when it is drained.
 
-    Each batch writes the next version folder; a replayed batch writes the same one again.
+    Each batch writes the next version folder from the one before; a replayed batch writes the same one again.
+    Older folders are deleted.
     """
     schema = stream.schema
 
@@ -246,7 +385,9 @@ def merge_stream(stream: DataFrame, path: str, checkpoint: str, key: str, update
         spark = df.sparkSession
         before = f"{path}/v{number - 1}"
         target = spark.read.schema(schema).parquet(before) if number else spark.createDataFrame([], schema)
-        merge(target, last_wins(df, key, [updated]), key, updated).write.mode("overwrite").parquet(f"{path}/v{number}")
+        merge(target, newest_arrivals(df, key, updated), key, updated).write.mode("overwrite").parquet(f"{path}/v{number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
