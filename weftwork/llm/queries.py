@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import common, media, mixing, neardup, packing, quality, secrets, sharding, tokencounts, toxicity, warc
+from weftwork.llm import centroids, common, media, mixing, neardup, packing, quality, secrets, sharding, tokencounts, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -89,8 +89,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(common.table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, seed="2")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_packing, op4_sharding, op5_media, op6_quality_rules, op7_secrets, op8_mixing, op9_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_packing, op4_sharding, op5_media, op6_quality_rules, op7_secrets, op8_mixing, op9_near_dedup, op10_token_counts, op11_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -100,5 +104,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": warc.decisions_sql(min_bytes=0),
         "op6_quality_rules": quality.judge_sql(),
         "op8_mixing": mixing.take_sql(),
+        "op11_centroids": centroids.cluster_sql(k=40, rounds=5, dims=64, seed="2"),
         "op9_near_dedup": neardup.group_sql(percent=85, width=5),
     }
