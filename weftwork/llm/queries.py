@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import centroids, common, exactdedup, media, mixing, neardup, packing, quality, secrets, sharding, tokencounts, toxicity, warc
+from weftwork.llm import centroids, collocations, common, exactdedup, media, mixing, neardup, packing, quality, secrets, sharding, tokencounts, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -97,8 +97,12 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.resolve(common.table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best(collocations.mine(common.table(spark, sf_dir, "documents"), least=30, percent=80), most=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_packing, op4_sharding, op5_media, op6_quality_rules, op7_secrets, op8_mixing, op9_near_dedup, op10_token_counts, op11_centroids, op12_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_packing, op4_sharding, op5_media, op6_quality_rules, op7_secrets, op8_mixing, op9_near_dedup, op10_token_counts, op11_centroids, op12_exact_dedup, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -110,5 +114,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_mixing": mixing.take_sql(),
         "op11_centroids": centroids.cluster_sql(k=40, rounds=5, dims=64, seed="2"),
         "op12_exact_dedup": exactdedup.resolve_sql(),
+        "op13_collocations": collocations.best_sql(least=30, percent=80, most=2000),
         "op9_near_dedup": neardup.group_sql(percent=85, width=5),
     }
