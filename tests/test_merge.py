@@ -40,7 +40,7 @@ def test_cycle(spark, tmp_path):
     extra = [dict(id=90, net_id=99, ixlan_id=21), dict(id=91, net_id=10, ixlan_id=21, net_side_id=77, ix_side_id=30), dict(id=92, net_id=0, ixlan_id=21)]
     staged["netixlan"] = staged["netixlan"].union(native.frame(spark, "netixlan", extra))
     result = merge.run_cycle(store, staged)
-    assert result.orphans == {("netixlan", "net", "net_id", "dropped"): 1, ("netixlan", "fac", "net_side_id", "nulled"): 1}
+    assert result.orphans == {("netixlan", "net", "net_id", "drop"): 1, ("netixlan", "fac", "net_side_id", "null"): 1}
     rows = {r["id"]: r for r in store.read("netixlan").collect()}
     assert 90 not in rows and rows[91]["net_side_id"] is None and rows[91]["ix_side_id"] == 30 and 92 in rows
     assert result.counts["net"] == 5 and store.read("poc").count() == 0
@@ -59,10 +59,15 @@ def test_arrival_order_and_untouched_types(spark, tmp_path):
     first = merge.run_cycle(store, {"org": orgs, "net": both})
     assert [r["name"] for r in store.read("net").collect()] == ["Last"] and store.read("net").columns == T.StructType.fromDDL(NATIVE_DDL["net"]).names
     second = merge.run_cycle(store, {"net": native.frame(spark, "net", [dict(id=11, org_id=1, name="More")])})
-    assert store.places(second.version) == {"org": first.version, "net": second.version}
+    # Only the bucket of the new row is of the second version.
+    places = store.places(second.version)
+    assert set(places["org"].values()) == {first.version} and sorted(places["net"].values()) == [first.version, second.version]
+    third = merge.run_cycle(store, {"net": native.frame(spark, "net", [dict(id=10, org_id=1, name="Third", updated=datetime(2025, 1, 1))])})
+    assert sorted(store.places(third.version)["net"].values()) == [second.version, third.version]
     store.vacuum(keep=1)
-    assert store.read("net").count() == 2 and store.read("org").count() == 1 and store.current() == second.version
+    assert store.read("net").count() == 2 and store.read("org").count() == 1 and store.current() == third.version
     assert not (tmp_path / "versions" / first.version / "net").exists() and not list((tmp_path / "staging").iterdir())
+    assert (tmp_path / "versions" / first.version / "org").exists() and (tmp_path / "versions" / second.version / "net").exists()
 
 
 def native_arrival(n):
@@ -118,6 +123,65 @@ def test_backfill(spark, tmp_path):
             assert asked == ([("net", [10])] if n == 1 else [])
 
 
+def test_null_and_zero_keys_stay(spark, tmp_path):
+    """A null required key counts as 0, as 0 it passes; an optional one may be null or 0."""
+    store = merge.Store(spark, str(tmp_path))
+    rows = [dict(id=i, org_id=k, campus_id=c, name="x") for i, k, c in [(10, 1, None), (11, None, 0), (12, 0, 5), (13, 9, 5), (14, 1, 5)]]
+    result = merge.run_cycle(store, {"org": native.frame(spark, "org", [dict(id=1, name="One")]), "fac": native.frame(spark, "fac", rows)})
+    assert {r["id"]: (r["org_id"], r["campus_id"]) for r in store.read("fac").collect()} == {10: (1, None), 11: (0, 0), 12: (0, None), 14: (1, None)}
+    assert result.orphans == {("fac", "org", "org_id", "drop"): 1, ("fac", "campus", "campus_id", "null"): 2} and result.counts == {"org": 1, "fac": 4}
+    checked, orphans = merge.check_keys("fac", native.frame(spark, "fac", rows), {"org": store.read("org"), "campus": store.read("campus")})
+    assert checked.count() == 4 and {tuple(r) for r in merge.orphan_summary(orphans).collect()} == {("fac", "campus", "campus_id", "null", 2), ("fac", "org", "org_id", "drop", 1)}
+
+
+def test_all_rows_orphaned(spark, tmp_path):
+    store = merge.Store(spark, str(tmp_path))
+    result = merge.run_cycle(store, {"net": native.frame(spark, "net", [dict(id=1, org_id=7, name="x"), dict(id=2, org_id=8, name="y")])})
+    assert result.orphans == {("net", "org", "org_id", "drop"): 2} and result.counts == {"net": 0} and store.read("net").count() == 0
+
+
+def test_cycle_stores_folds_and_runs_one_job_a_type(spark, tmp_path):
+    store = merge.Store(spark, str(tmp_path))
+    cat = native.catalogue(spark)
+    merge.run_cycle(store, {n: cat.tables[n] for n in ("org", "net")})
+    assert {r["id"]: r["name_fold"] for r in store.read("net", folds=True).collect()}[12] == "cafe strasse"
+    assert "name_fold" not in store.read("net").columns
+    # Staged rows merge with one job that writes: the counts of rows and orphans come with it.
+    writes = []
+    plain = merge.Store._dealt
+    merge.Store._dealt = lambda self, df, path: (writes.append(path), plain(self, df, path))[1]
+    try:
+        merge.run_cycle(store, {"net": cat.tables["net"]})
+    finally:
+        merge.Store._dealt = plain
+    assert [w.split("/")[0] for w in writes] == ["staging", "versions"]
+
+
+def test_merge_rewrites_only_what_it_touches(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = [(i, "old", T1, "ok") for i in range(500)]
+    merge.merge_keyed(path, frame(spark, rows), "id", "updated", buckets=32)
+    files = lambda: {str(p.relative_to(path)) for p in (tmp_path / "table").rglob("*.parquet")}
+    before = files()
+    touched = merge.merge_keyed(path, frame(spark, [(3, "new", T2, "ok"), (7, "late", datetime(2020, 1, 1), "ok"), (1000, "first", T1, "ok")]), "id", "updated", buckets=32)
+    assert 1 <= len(touched) <= 3
+    changed = {f.split("/")[0] for f in before ^ files()}
+    assert changed == {f"{merge.BUCKET}={b}" for b in touched}
+    got = {r["id"]: r["v"] for r in merge.newest_version(spark, path, frame(spark, []).schema).collect()}
+    assert len(got) == 501 and (got[3], got[7], got[1000], got[8]) == ("new", "old", "first", "old")
+    again = merge.merge_keyed(path, frame(spark, [(3, "new", T2, "ok")]), "id", "updated", buckets=32)
+    assert len(again) == 1 and {r["id"]: r["v"] for r in merge.newest_version(spark, path, frame(spark, []).schema).collect()} == got
+    assert merge.merge_keyed(path, frame(spark, []), "id", "updated", buckets=32) == []
+
+
+def test_faults_of_queries_are_no_reason_to_read_in_full(spark, tmp_path):
+    store, live, notes = merge.Store(spark, str(tmp_path)), native.frame(spark, "org", [dict(id=1, name="One")]), {}
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
+        merge.stage_type(store, "v", "org", lambda since: live if since is None else live.select("nothing"), T1)
+    merge.stage_type(store, "v", "org", lambda since: live if since is None else spark.read.parquet(str(tmp_path / "missing")), T1, fallbacks=notes)
+    assert list(notes) == ["org"] and "PATH_NOT_FOUND" in notes["org"]
+
+
 def test_scheduled_stream(spark, tmp_path):
     frame(spark, [(1, "a", T1, "ok")]).write.parquet(f"{tmp_path}/in")
     seen = []

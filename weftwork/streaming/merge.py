@@ -4,23 +4,28 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
+from typing import Any
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException, ParseException, PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftwork.functions.text import fold_column
 from weftwork.operators import joins
 from weftwork.plans import paging
-from weftwork.plans.schema import NATIVE_DDL, NATIVE_KEYS, OPTIONAL_KEYS, Entity
+from weftwork.plans.schema import NATIVE_DDL, NATIVE_FOLDED, NATIVE_KEYS, OPTIONAL_KEYS, Entity
 from weftwork.sources.envelope import ARRIVAL
 
 ZERO_TIME = "1900-01-01 00:00:00"
+#: The column that a table's folders are dealt by: a hash of the key.
+BUCKET = "store_bucket"
 
 
 # Staging.
@@ -35,12 +40,13 @@ def last_wins(arrivals: DataFrame, key: str, order: Sequence[str | Column]) -> D
 def newest_arrivals(rows: DataFrame, key: str = "id", updated: str = "updated") -> DataFrame:
     """One row of a key: the last arrival, or where arrivals aren't numbered, the newest update.
 
-    Ties go by a hash of the whole row, so reruns agree.
+    Ties go by a hash of the whole row, so reruns agree.  Tasks reduce their own arrivals before rows are
+    shuffled, so a key that arrives often is no hot one.
     """
-    if ARRIVAL in rows.columns:
-        plain = [c for c in rows.columns if c != ARRIVAL]
-        return last_wins(rows, key, [F.desc(ARRIVAL), F.xxhash64(*plain).desc()]).drop(ARRIVAL)
-    return last_wins(rows, key, [F.desc(updated), F.xxhash64(*rows.columns).desc()])
+    plain = [c for c in rows.columns if c != ARRIVAL]
+    first = F.col(ARRIVAL) if ARRIVAL in rows.columns else F.col(updated)
+    order = F.struct(first.alias("first"), F.xxhash64(*plain).alias("tie"))
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*plain), order).alias("_row")).select("_row.*")
 
 
 def overlay(snapshot: DataFrame, window: DataFrame, key: str) -> DataFrame:
@@ -59,6 +65,11 @@ def with_folds(df: DataFrame, entity: Entity) -> DataFrame:
     return df.withColumns({f"{c}_fold": fold_column(F.col(c)) for c in sorted(entity.folded)}) if entity.folded else df
 
 
+def fold_names(name: str) -> list[str]:
+    """The columns of a type that are stored with a folded copy."""
+    return sorted(NATIVE_FOLDED.get(name, "").split())
+
+
 # The merge.
 
 
@@ -87,34 +98,94 @@ def changed_counts(target: DataFrame, source: DataFrame, key: str = "id", update
     return source.join(old, F.col(key) == F.col("_k"), "left").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def required_keys(name: str) -> list[tuple[str, str]]:
+    """(key, parent) of the keys without which a row is dropped."""
+    return [(fk, parent) for child, fk, parent in NATIVE_KEYS if child == name and (child, fk) not in OPTIONAL_KEYS]
+
+
+def optional_keys(name: str) -> list[tuple[str, str]]:
+    """(key, parent) of the keys that become null where the parent is missing."""
+    return [(fk, parent) for (child, fk), parent in OPTIONAL_KEYS.items() if child == name]
+
+
+def marked_keys(name: str, source: DataFrame, parents: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[tuple[str, str, str, str], Column]]:
+    """The source with a mark ``_no_<key>`` for each key whose parent is missing, and what each kind of orphan is.
+
+    Key 0 and null are none: a null required key is stored as 0.  A row counts with its first missing required key
+    only, and its optional keys count if the row stays.
+    """
+    kinds: dict[tuple[str, str, str, str], Column] = {}
+    stays = F.lit(True)
+    for action, keys in (("drop", required_keys(name)), ("null", optional_keys(name))):
+        for fk, parent in keys:
+            if action == "drop":
+                source = source.withColumn(fk, F.coalesce(fk, F.lit(0)))
+            ids = parents[parent].select(F.col("id").alias("_p")).withColumn("_hit", F.lit(True))
+            source = source.join(ids, F.col(fk) == F.col("_p"), "left").withColumn(f"_no_{fk}", F.col("_hit").isNull() & (F.coalesce(fk, F.lit(0)) != 0)).drop("_p", "_hit")
+            kinds[name, parent, fk, action] = stays & F.col(f"_no_{fk}")
+            stays = stays & ~F.col(f"_no_{fk}") if action == "drop" else stays
+    return source, kinds
+
+
+def without_orphans(name: str, marked: DataFrame) -> DataFrame:
+    """What stays of marked rows: those with all required parents, missing optional ones set to null."""
+    for fk, _ in required_keys(name):
+        marked = marked.where(~F.col(f"_no_{fk}"))
+    for fk, _ in optional_keys(name):
+        marked = marked.withColumn(fk, F.when(~F.col(f"_no_{fk}"), F.col(fk)))
+    return marked.drop(*[f"_no_{fk}" for fk, _ in (*required_keys(name), *optional_keys(name))])
+
+
 def check_keys(name: str, source: DataFrame, parents: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(rows to merge, orphans): a required key without parent drops the row, an optional one
-    becomes null.  Key 0 and, for optional ones, null pass."""
-    orphan_rows: list[DataFrame] = []
-    for child, fk, parent in NATIVE_KEYS:
-        if child != name or (child, fk) in OPTIONAL_KEYS:
-            continue
-        ids = parents[parent].select("id")
-        lost = joins.orphans(source.where(F.col(fk) != 0), fk, ids)
-        orphan_rows.append(lost.select(F.lit(name).alias("child"), F.lit(parent).alias("parent"), F.lit(fk).alias("field"), F.lit("dropped").alias("action")))
-        source = joins.with_existing_parent(source, fk, ids.union(source.sparkSession.createDataFrame([(0,)], "id bigint")))
-    for (child, fk), parent in OPTIONAL_KEYS.items():
-        if child == name:
-            ids = parents[parent].select("id")
-            lost = joins.orphans(source.where(F.col(fk).isNotNull()), fk, ids)
-            orphan_rows.append(lost.select(F.lit(name).alias("child"), F.lit(parent).alias("parent"), F.lit(fk).alias("field"), F.lit("nulled").alias("action")))
-            source = joins.null_on_miss(source, fk, ids)
-    empty = source.sparkSession.createDataFrame([], "child string, parent string, field string, action string")
-    out = empty
-    for lost in orphan_rows:
-        out = out.union(lost)
-    return source, out
+    becomes null.  Key 0 and null pass."""
+    marked, kinds = marked_keys(name, source, parents)
+    described = [F.when(is_one, F.struct(*[F.lit(v).alias(k) for k, v in zip(("child", "parent", "field", "action"), kind)])) for kind, is_one in kinds.items()]
+    if not described:
+        return source, source.sparkSession.createDataFrame([], "child string, parent string, field string, action string")
+    orphans = marked.select(F.explode(F.array_compact(F.array(*described))).alias("o")).select("o.*")
+    return without_orphans(name, marked), orphans
 
 
 def orphan_summary(orphans: DataFrame) -> DataFrame:
     return orphans.groupBy("child", "parent", "field", "action").agg(F.count(F.lit(1)).alias("n")).orderBy("child", "parent", "field", "action")
 
 
+# A table dealt by key hash: a merge reads and rewrites the folders that its rows fall into.
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def read_keyed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table dealt by key hash; without rows where none was written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())]))
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(path)
+
+
+def merge_keyed(path: str, source: DataFrame, key: str, updated: str, buckets: int = 64, full: bool = False) -> list[int]:
+    """Merge one row a key into the table at ``path`` and return the buckets that were rewritten.
+
+    The scan is pruned to the touched folders, and dynamic partition overwrite replaces those alone, so what is read and
+    written follows the increment.  A repeated merge writes the same rows again.  The number of buckets is
+    fixed with the first merge.
+    """
+    spark, schema = source.sparkSession, source.schema
+    source = source.withColumn(BUCKET, bucket_of(key, buckets)).persist()
+    try:
+        touched = sorted(r[BUCKET] for r in source.select(BUCKET).distinct().collect())
+        if touched:
+            old = read_keyed(spark, path, schema).where(F.col(BUCKET).isin(touched))
+            merged = merge(old.drop(BUCKET), source.drop(BUCKET), key, updated, full).withColumn(BUCKET, bucket_of(key, buckets))
+            merged.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    finally:
+        source.unpersist()
+    return touched
+
+
 # Versions: a cycle writes what it changes to a new folder; a pointer names the version in force.
 
 
@@ -122,12 +193,14 @@ def orphan_summary(orphans: DataFrame) -> DataFrame:
 class Store:
     """Versioned tables under a root; readers see a whole cycle or none of it.
 
-    A version's manifest names the folder of each type, so types that a cycle leaves alone stay where they are.
+    Tables are dealt by key hash.  A version's manifest names the folder of each type's buckets, so what a cycle
+    leaves alone stays where it is.
     """
 
     spark: SparkSession
     root: str
     schemas: dict[str, T.StructType] = field(default_factory=dict)
+    buckets: int = 16
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -145,43 +218,56 @@ class Store:
         names = self._names("pointers")
         return names[-1].split(".", 1)[1] if names else None
 
-    def places(self, version: str | None) -> dict[str, str]:
-        """Type to the version whose folder holds its rows; one small file."""
+    def places(self, version: str | None) -> dict[str, dict[str, str]]:
+        """Type to its buckets' folders and the versions that wrote them; one small file."""
         if version is None:
             return {}
         return json.loads(self.spark.read.text(f"{self.root}/manifests/{version}", wholetext=True).first()["value"])
 
-    def _schema(self, name: str) -> T.StructType:
-        return self.schemas.get(name) or T.StructType.fromDDL(NATIVE_DDL[name])
+    def schema(self, name: str) -> T.StructType:
+        """A type's columns and the folded copies that are stored with them."""
+        plain = self.schemas.get(name) or T.StructType.fromDDL(NATIVE_DDL[name])
+        return T.StructType([*plain.fields, *[T.StructField(f"{c}_fold", T.StringType()) for c in fold_names(name) if c in plain.names]])
+
+    def rows(self, name: str, places: Mapping[str, str]) -> DataFrame:
+        """The rows of some buckets of a type, by bucket and version."""
+        if not places:
+            return self.spark.createDataFrame([], self.schema(name))
+        return self.spark.read.schema(self.schema(name)).parquet(*[f"{self.root}/versions/{v}/{name}/{b}" for b, v in sorted(places.items())])
 
-    def read(self, name: str, version: str | None = None) -> DataFrame:
-        """A type's rows in a version, the one in force if none is named."""
-        place = self.places(version or self.current()).get(name)
-        if place is None:
-            return self.spark.createDataFrame([], self._schema(name))
-        return self.spark.read.schema(self._schema(name)).parquet(f"{self.root}/versions/{place}/{name}")
+    def read(self, name: str, version: str | None = None, folds: bool = False) -> DataFrame:
+        """A type's rows in a version, the one in force if none is named; with their folded copies if asked."""
+        rows = self.rows(name, self.places(version or self.current()).get(name, {}))
+        return rows if folds else rows.drop(*[f"{c}_fold" for c in fold_names(name)])
 
     def begin(self) -> str:
         return f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
 
-    def write(self, version: str, name: str, df: DataFrame) -> DataFrame:
-        """Write a type's rows for a version and read them back, which cuts the lineage."""
-        path = f"{self.root}/versions/{version}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def _dealt(self, df: DataFrame, path: str) -> list[str]:
+        """Write rows by bucket and name the folders made; another try overwrites the first."""
+        df.withColumn(BUCKET, bucket_of("id", self.buckets)).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/{path}")
+        return [n for n in self._names(path) if n.startswith(BUCKET)]
+
+    def write(self, version: str, name: str, df: DataFrame) -> dict[str, str]:
+        """Write some buckets of a type for a version; their places."""
+        return dict.fromkeys(self._dealt(df.select(*self.schema(name).names), f"versions/{version}/{name}"), version)
 
     def stage(self, version: str, name: str, df: DataFrame) -> DataFrame:
-        """Write arrivals beside the versions and read them back; another try overwrites the first."""
-        path = f"{self.root}/staging/{version}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        """Write arrivals beside the versions, by bucket, and read them back, which cuts the lineage."""
+        self._dealt(df, f"staging/{version}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/staging/{version}/{name}")
+
+    def touched(self, version: str, *names: str) -> set[str]:
+        """The buckets that staged rows fall into."""
+        return {n for name in names for n in self._names(f"staging/{version}/{name}") if n.startswith(BUCKET)}
 
     def unstage(self, version: str) -> None:
         self._fs().delete(self._path("staging", version), True)
 
-    def commit(self, version: str, names: Sequence[str]) -> str:
+    def commit(self, version: str, written: Mapping[str, Mapping[str, str]]) -> str:
         """Write the manifest, then the pointer; a failure before the pointer changes nothing."""
-        places = self.places(self.current()) | dict.fromkeys(names, version)
+        before = self.places(self.current())
+        places = before | {name: before.get(name, {}) | dict(own) for name, own in written.items()}
         self.spark.createDataFrame([(json.dumps(places),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifests/{version}")
         pointers = self._names("pointers")
         number = int(pointers[-1].split(".")[0]) + 1 if pointers else 0
@@ -192,10 +278,14 @@ class Store:
         """Delete tables that none of the last versions reads, and what failed cycles left."""
         fs, pointers = self._fs(), self._names("pointers")
         kept = [p.split(".", 1)[1] for p in pointers[-keep:]]
-        used = {(place, name) for v in kept for name, place in self.places(v).items()}
+        used = {(place, name, bucket) for v in kept for name, places in self.places(v).items() for bucket, place in places.items()}
         for version in self._names("versions"):
             for name in self._names(f"versions/{version}"):
-                if (version, name) not in used:
+                buckets = [b for b in self._names(f"versions/{version}/{name}") if b.startswith(BUCKET)]
+                unused = [b for b in buckets if (version, name, b) not in used]
+                for bucket in unused:
+                    fs.delete(self._path("versions", version, name, bucket), True)
+                if len(unused) == len(buckets):
                     fs.delete(self._path("versions", version, name), True)
         for version in self._names("staging"):
             self.unstage(version)
@@ -206,35 +296,50 @@ class Store:
 
 @dataclass
 class CycleResult:
+    """What a cycle did.  Counts are taken as rows pass, so a task that ran twice after a loss may count twice; tables are exact."""
+
     version: str
     counts: dict[str, int]
     orphans: dict[tuple[str, str, str, str], int]
     backfilled: dict[str, int] = field(default_factory=dict)
+    #: Types whose increment failed, and why.
+    fallbacks: dict[str, str] = field(default_factory=dict)
 
 
 Read = Callable[[datetime | None], DataFrame]
-#: What reading from a source may raise; anything else is a fault of this library.
-SOURCE_ERRORS = (PySparkException, Py4JJavaError, OSError)
+#: Types that are staged or merged at a time.
+AT_ONCE = 6
+
+
+def reading_failed(error: Exception) -> bool:
+    """Whether an error is a source's: its files or service. Faults of a query are this library's, and no reason to read in full."""
+    if isinstance(error, AnalysisException):
+        return error.getCondition() == "PATH_NOT_FOUND"
+    return isinstance(error, (PySparkException, Py4JJavaError, OSError)) and not isinstance(error, ParseException)
 
 
-def stage_type(store: Store, version: str, name: str, read: Read, cursor: datetime | None, mode: str = "incremental") -> tuple[DataFrame, bool]:
+def stage_type(store: Store, version: str, name: str, read: Read, cursor: datetime | None, mode: str = "incremental", fallbacks: dict[str, str] | None = None) -> tuple[DataFrame, bool]:
     """(staged rows, whether they are an increment); ``read`` gives rows since a moment, or all live ones.
 
-    An increment that fails falls back to a full read.  Rows since the cursor, tombstones among them, are laid
-    over a full snapshot, as the next cursor lies after them; where they can't be read a full cycle fails, and a
+    An increment that can't be read falls back to a full read, which ``fallbacks`` records.  Rows since the cursor, tombstones
+    among them, are laid over a full snapshot, as the next cursor lies after them; where they can't be read a full cycle fails, and a
     fallback goes without.
     """
     fell_back = False
     if mode == "incremental" and cursor is not None:
         try:
             return store.stage(version, name, newest_arrivals(read(cursor))), True
-        except SOURCE_ERRORS:
+        except Exception as error:
+            if not reading_failed(error):
+                raise
             fell_back = True
+            if fallbacks is not None:
+                fallbacks[name] = f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
     if cursor is not None:
         try:
             return store.stage(version, name, overlay(newest_arrivals(read(None)), newest_arrivals(read(cursor)), "id")), False
-        except SOURCE_ERRORS:
-            if not fell_back:
+        except Exception as error:
+            if not (fell_back and reading_failed(error)):
                 raise
     return store.stage(version, name, newest_arrivals(read(None))), False
 
@@ -277,11 +382,11 @@ def run_cycle(
 ) -> CycleResult:
     """Merge arrivals of all types, parents before children, and commit them as one version.
 
-    Each merged table is written before its children look for their parents in it, and types without
+    Each merged table is written before its children look for their parents in it, and buckets without
     arrivals stay where they are.  ``lookup`` fetches missing parents by type and ids.
     """
     version = store.begin()
-    rows = {name: store.stage(version, name, newest_arrivals(df)) for name, df in staged.items()}
+    rows = at_once(store.spark, list(staged), lambda name: store.stage(version, name, newest_arrivals(staged[name])))
     return _merge_staged(store, version, rows, {name: full for name in rows}, lookup, most, until)
 
 
@@ -289,44 +394,82 @@ def sync(
     store: Store, sources: Mapping[str, Read], mode: str = "incremental", lookup: Callable[[str, DataFrame], DataFrame] | None = None, most: int = 10_000, until: datetime | None = None
 ) -> CycleResult:
     """A whole cycle: read each type since its cursor, or in full, then merge and commit."""
-    version, rows = store.begin(), {}
-    for name in (n for n in NATIVE_DDL if n in sources):
-        cursor = cursors({name: store.read(name)})[name]
-        rows[name], _ = stage_type(store, version, name, sources[name], cursor, mode)
-    return _merge_staged(store, version, rows, {name: mode == "full" for name in rows}, lookup, most, until)
+    version, fallbacks = store.begin(), {}
+    names = [n for n in NATIVE_DDL if n in sources]
+    since = cursors({name: store.read(name) for name in names})
+    staged = at_once(store.spark, names, lambda name: stage_type(store, version, name, sources[name], since[name], mode, fallbacks)[0])
+    result = _merge_staged(store, version, staged, {name: mode == "full" for name in names}, lookup, most, until)
+    result.fallbacks.update(fallbacks)
+    return result
+
+
+def at_once(spark: SparkSession, names: Sequence[str], do: Callable[[str], Any]) -> dict[str, Any]:
+    """Run independent Spark jobs side by side; the first error is raised when all have ended."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(do), name) for name in names}
+    return {name: job.result() for name, job in running.items()}
+
+
+def levels(names: Collection[str]) -> list[list[str]]:
+    """Types in groups, each after the groups of all its parents."""
+    depth: dict[str, int] = {}
+    for name in NATIVE_DDL:
+        parents = [p for _, p in (*required_keys(name), *optional_keys(name))]
+        depth[name] = 1 + max((depth[p] for p in parents), default=-1)
+    return [group for d in sorted(set(depth.values())) if (group := [n for n in NATIVE_DDL if depth[n] == d and n in names])]
 
 
 def _merge_staged(store: Store, version: str, staged: Mapping[str, DataFrame], full: Mapping[str, bool], lookup, most: int, until: datetime | None) -> CycleResult:
+    """One job a type: keys are checked, orphans counted and touched buckets merged as the rows pass once."""
     found: dict[str, int] = {}
     if lookup is not None:
         staged, found = backfill(store, version, staged, lookup, most, until)
-    merged: dict[str, DataFrame] = {}
+    places = {name: dict(own) for name, own in store.places(store.current()).items()}
+    written: dict[str, dict[str, str]] = {}
+
+    def merge_type(name: str) -> tuple[int, dict[tuple[str, str, str, str], int]]:
+        touched, own = store.touched(version, name, f"{name}.found"), places.get(name, {})
+        marked, kinds = marked_keys(name, staged[name], {p: store.rows(p, places.get(p, {})) for _, p in (*required_keys(name), *optional_keys(name))})
+        if not touched:
+            written[name] = {}
+            return 0, {}
+        stays = F.lit(True)
+        for fk, _ in required_keys(name):
+            stays = stays & ~F.col(f"_no_{fk}")
+        counted = [F.count_if(stays).alias("rows"), *[F.count_if(is_one).alias(f"kind_{k}") for k, is_one in enumerate(kinds.values())]]
+        seen = Observation()
+        source = without_orphans(name, marked.observe(seen, *counted)).withColumns({f"{c}_fold": fold_column(F.col(c)) for c in fold_names(name)})
+        written[name] = store.write(version, name, merge(store.rows(name, {b: v for b, v in own.items() if b in touched}), source, full=full.get(name, False)))
+        try:
+            n = seen.get
+        except Py4JJavaError:
+            # Where no row stays, Spark drops that part of the plan with what it observed.
+            n = marked.agg(*counted).first().asDict()
+        return n["rows"], {kind: n[f"kind_{k}"] for k, kind in enumerate(kinds) if n[f"kind_{k}"]}
+
     counts: dict[str, int] = {}
     lost: dict[tuple[str, str, str, str], int] = {}
-    for name in NATIVE_DDL:
-        if name not in staged:
-            merged[name] = store.read(name)
-            continue
-        parents = {p: merged[p] for c, _, p in NATIVE_KEYS if c == name} | {p: merged[p] for (c, _), p in OPTIONAL_KEYS.items() if c == name}
-        source, orphan_rows = check_keys(name, staged[name], parents)
-        for r in orphan_summary(orphan_rows).collect():
-            lost[r["child"], r["parent"], r["field"], r["action"]] = r["n"]
-        merged[name] = store.write(version, name, merge(store.read(name), source, full=full.get(name, False)))
-        counts[name] = source.count()
-    store.commit(version, list(staged))
+    for group in levels(staged):
+        for name, (rows, orphans) in at_once(store.spark, group, merge_type).items():
+            counts[name] = rows
+            lost |= orphans
+            places[name] = places.get(name, {}) | written[name]
+    store.commit(version, written)
     store.unstage(version)
     return CycleResult(version, counts, lost, found)
 
 
 def cursors(tables: Mapping[str, DataFrame]) -> dict[str, datetime | None]:
-    """The newest update of each type: where the next incremental read starts."""
+    """The newest update of each type, in one job: where the next incremental read starts."""
     from weftwork.operators.aggregates import newest
 
-    out: dict[str, datetime | None] = {}
-    for name, df in tables.items():
-        row = newest(df, "updated").first()
-        out[name] = row["newest"] if row else None
-    return out
+    newest_of = [newest(df, "updated").select(F.lit(name).alias("name"), "newest") for name, df in tables.items()]
+    if not newest_of:
+        return {}
+    every = newest_of[0]
+    for more in newest_of[1:]:
+        every = every.unionByName(more)
+    return dict.fromkeys(tables) | {r["name"]: r["newest"] for r in every.collect()}
 
 
 def effective_mode(asked: str, last_full: datetime | None, now: datetime, interval: timedelta) -> str:
@@ -373,33 +516,21 @@ def last_run(states: DataFrame, status: str | None = None) -> DataFrame:
 # Streams.
 
 
-def merge_stream(stream: DataFrame, path: str, checkpoint: str, key: str, updated: str):
-    """Merge a stream into a Parquet table with ``foreachBatch``, and stop when it is drained.
+def merge_stream(stream: DataFrame, path: str, checkpoint: str, key: str, updated: str, buckets: int = 64):
+    """Merge a stream into a table dealt by key hash with ``foreachBatch``, and stop when it is drained.
 
-    Each batch writes the next version folder from the one before; a replayed batch writes the same one again.
-    Older folders are deleted.
+    A batch rewrites the buckets of its keys; a replayed batch writes the same rows again.
     """
-    schema = stream.schema
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        before = f"{path}/v{number - 1}"
-        target = spark.read.schema(schema).parquet(before) if number else spark.createDataFrame([], schema)
-        merge(target, newest_arrivals(df, key, updated), key, updated).write.mode("overwrite").parquet(f"{path}/v{number}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        merge_keyed(path, newest_arrivals(df, key, updated), key, updated, buckets)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def newest_version(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table of the last batch."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    numbers = [int(s.getPath().getName()[1:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("v")] if fs.exists(at) else []
-    if not numbers:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/v{max(numbers)}")
+    """The table as the last batch left it."""
+    return read_keyed(spark, path, schema).drop(BUCKET)
 
 
 def scheduled(query: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str):
