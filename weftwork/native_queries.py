@@ -123,31 +123,61 @@ def filter_in_number(spark: SparkSession, d: str) -> DataFrame:
     return compile_filters(cat, "supplier", {"s_acctbal__in": "0.5,1234.25"}).apply(cat.tables["supplier"]).select("s_suppkey", "s_acctbal")
 
 
-# The sync cycle: a full one from pages of envelopes, then an increment with repeated arrivals and missing parents.
-
-_SYNCED = {"org": {}, "fac": {"org_id": "org"}, "net": {"org_id": "org"}, "netfac": {"net_id": "net", "fac_id": "fac"}}
+# The sync cycle over all types: a full one from pages of envelopes, then an increment since each type's cursor
+# with repeated arrivals, missing parents and null keys.
+
+_KEYS = {t: {"required": dict(merge.required_keys(t)), "optional": dict(merge.optional_keys(t))} for t in NATIVE_DDL}
+#: Columns that the views don't give, or that lack a key now and then.
+_MORE_KEYS = {
+    "netfac": {"fac_id": "CASE WHEN id % 9 = 1 THEN NULL ELSE fac_id END"},
+    "netixlan": {"net_side_id": "id % 13", "ix_side_id": "CASE WHEN id % 5 = 0 THEN NULL ELSE id % 2000 END"},
+}
 _FIRST_UPDATE = "TIMESTAMP '2024-01-01 00:00:00' + id % 3 * INTERVAL 1 DAY"
+_EARLY_UPDATE = "CASE WHEN id % 3 = 0 THEN TIMESTAMP '2023-12-01 00:00:00' ELSE TIMESTAMP '2025-01-01 00:00:00' END"
 _NEXT_UPDATE = "CASE WHEN id % 8 = 0 THEN TIMESTAMP '2024-01-03 12:00:00' ELSE TIMESTAMP '2023-12-31 00:00:00' END"
 _FOUND_UPDATE = "TIMESTAMP '2024-01-01 06:00:00'"
 
 
+def _links(t: str) -> list[str]:
+    return [*_KEYS[t]["required"], *_KEYS[t]["optional"]]
+
+
 def _sync_sql() -> str:
     """Types by suffix: _1 after the first cycle, _a what arrives then, _b what is looked up, _2 after the second cycle."""
     parts = []
-    row = lambda t, label, updated: f"SELECT id, {', '.join([*_SYNCED[t], ''])}'{label}' AS name, {updated} AS updated FROM {t}"
-    has = lambda t, version: "".join(f" AND ({k} = 0 OR {k} IN (SELECT id FROM {p}_{version}))" for k, p in _SYNCED[t].items())
-    for t in _SYNCED:
-        parts.append(f"{t}_1 AS ({row(t, 'first', _FIRST_UPDATE)} WHERE id % 5 <> 0{has(t, 1)})")
-        parts.append(f"{t}_a AS ({row(t, 'late', _NEXT_UPDATE)} WHERE id % 4 = 0)")
-    for t in reversed(_SYNCED):
-        asked = " UNION ALL ".join(f"SELECT {k} FROM {c}_{v}" for c, keys in _SYNCED.items() for k, p in keys.items() if p == t for v in "ab")
+    for t, (table, columns) in VIEWS.items():
+        plain = f"(SELECT {', '.join(f'{v} AS {k}' for k, v in columns.items())} FROM {table})"
+        given = [f"{_MORE_KEYS.get(t, {}).get(k, k)} AS {k}" for k in _links(t)]
+        parts.append(f"{t}_0 AS (SELECT {', '.join(['id', *given])} FROM {plain})")
+
+    def row(t: str, label: str, updated: str) -> str:
+        return f"SELECT {', '.join(['id', *_links(t)])}, '{label}' AS name, {updated} AS updated FROM {t}_0"
+
+    def stored(t: str, source: str, version: int) -> str:
+        """Rows whose required parents are there; null required keys are 0, missing optional ones null."""
+        keys = [f"coalesce({k}, 0) AS {k}" for k in _KEYS[t]["required"]]
+        keys += [f"CASE WHEN {k} = 0 OR {k} IN (SELECT id FROM {p}_{version}) THEN {k} END AS {k}" for k, p in _KEYS[t]["optional"].items()]
+        has = [f"(coalesce({k}, 0) = 0 OR {k} IN (SELECT id FROM {p}_{version}))" for k, p in _KEYS[t]["required"].items()]
+        return f"SELECT {', '.join(['id', *keys])}, name, updated FROM ({source}) WHERE {' AND '.join(has or ['true'])}"
+
+    for t in NATIVE_DDL:
+        parts.append(f"{t}_1 AS MATERIALIZED ({stored(t, row(t, 'first', _FIRST_UPDATE) + ' WHERE id % 5 <> 0', 1)})")
+        # The later arrival counts, though the earlier one may have the newer update; both only from the cursor on.
+        passes = f"updated >= (SELECT coalesce(max(updated), TIMESTAMP '1900-01-01 00:00:00') FROM {t}_1)"
+        late = f"SELECT * FROM ({row(t, 'late', _NEXT_UPDATE)} WHERE id % 4 = 0) WHERE {passes}"
+        early = f"SELECT * FROM ({row(t, 'early', _EARLY_UPDATE)} WHERE id % 4 = 0) WHERE {passes}"
+        parts.append(f"{t}_l AS MATERIALIZED ({late})")
+        parts.append(f"{t}_a AS MATERIALIZED (SELECT * FROM {t}_l UNION ALL SELECT * FROM ({early}) WHERE id NOT IN (SELECT id FROM {t}_l))")
+    for t in reversed(NATIVE_DDL):
+        asked = " UNION ALL ".join(f"SELECT {k} FROM {c}_{v} WHERE {k} IS NOT NULL" for c in NATIVE_DDL for k, p in _KEYS[c]["required"].items() if p == t for v in "ab")
         here = "".join(f" AND id NOT IN (SELECT id FROM {t}_{v})" for v in "1a")
-        parts.append(f"{t}_b AS ({row(t, 'found', _FOUND_UPDATE)} WHERE {f'id > 0 AND id IN ({asked}){here}' if asked else 'false'})")
-    for t in _SYNCED:
-        parts.append(f"{t}_s AS (SELECT * FROM (SELECT * FROM {t}_a UNION ALL SELECT * FROM {t}_b) WHERE true{has(t, 2)})")
-        columns = ", ".join(f"CASE WHEN o.id IS NULL OR s.updated > o.updated THEN s.{c} ELSE o.{c} END AS {c}" for c in ("id", "name", "updated"))
-        parts.append(f"{t}_2 AS (SELECT {columns} FROM {t}_1 o FULL JOIN {t}_s s ON o.id = s.id)")
-    return _WITH + ",\n" + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT '{t}' AS type, id, name, updated FROM {t}_2" for t in _SYNCED)
+        parts.append(f"{t}_b AS MATERIALIZED ({row(t, 'found', _FOUND_UPDATE)} WHERE {f'id > 0 AND id IN ({asked}){here}' if asked else 'false'})")
+    for t in NATIVE_DDL:
+        parts.append(f"{t}_s AS MATERIALIZED ({stored(t, f'SELECT * FROM {t}_a UNION ALL SELECT * FROM {t}_b', 2)})")
+        columns = ", ".join(f"CASE WHEN o.id IS NULL OR s.updated > o.updated THEN s.{c} ELSE o.{c} END AS {c}" for c in ("id", *_links(t), "name", "updated"))
+        parts.append(f"{t}_2 AS MATERIALIZED (SELECT {columns} FROM {t}_1 o FULL JOIN {t}_s s ON o.id = s.id)")
+    shown = lambda t: "concat_ws(',', " + ", ".join([*[f"coalesce({k}::VARCHAR, '-')" for k in _links(t)], "''"]) + ")"
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT '{t}' AS type, id, name, updated, {shown(t)} AS links FROM {t}_2" for t in NATIVE_DDL)
 
 
 @register(_sync_sql())
@@ -156,26 +186,54 @@ def sync_cycles(spark: SparkSession, d: str) -> DataFrame:
     cat, page = catalogue(spark, d), F.floor(F.col("id") / 250)
     store = merge.Store(spark, f"{root}/store")
 
-    def made(t: str, label: str, updated: str) -> DataFrame:
-        return cat.tables[t].where("id IS NOT NULL").withColumns({"name": F.lit(label), "updated": F.expr(updated).cast("timestamp"), **({"campus_id": F.lit(None).cast("bigint")} if t == "fac" else {})})
+    def made(t: str, text: str, updated: str) -> DataFrame:
+        given = {k: F.expr(v).cast("bigint") for k, v in _MORE_KEYS.get(t, {}).items()}
+        return cat.tables[t].where("id IS NOT NULL").withColumns(given | {label(t): F.lit(text), "updated": F.expr(updated).cast("timestamp")})
 
-    def arriving(t: str) -> DataFrame:
-        # The later arrival counts, though the earlier one has the newer update.
-        return made(t, "early", "TIMESTAMP '2025-01-01 00:00:00'").unionByName(made(t, "late", _NEXT_UPDATE)).where("id % 4 = 0")
+    def label(t: str) -> str:
+        """Where a type has no name, another text column takes it."""
+        return "name" if "name" in cat.tables[t].columns else "protocol"
 
-    for t in _SYNCED:
+    def write(t: str) -> None:
         envelope.write_pages(made(t, "first", _FIRST_UPDATE).where("id % 5 <> 0"), f"{root}/full/{t}", page)
-        envelope.write_pages(arriving(t), f"{root}/increment/{t}", page * 2 + F.when(F.col("name") == "late", 1).otherwise(0))
+        arriving = made(t, "early", _EARLY_UPDATE).unionByName(made(t, "late", _NEXT_UPDATE)).where("id % 4 = 0")
+        envelope.write_pages(arriving, f"{root}/increment/{t}", page * 2 + F.when(F.col(label(t)) == "late", 1).otherwise(0))
+
+    merge.at_once(spark, list(NATIVE_DDL), write)
 
-    def read(t: str, kind: str) -> DataFrame:
-        return envelope.read_pages(spark, f"{root}/{kind}/{t}", T.StructType.fromDDL(NATIVE_DDL[t]))
+    def read(t: str, kind: str):
+        return lambda since: envelope.since(envelope.read_pages(spark, f"{root}/{kind}/{t}", T.StructType.fromDDL(NATIVE_DDL[t])), since)
 
-    merge.sync(store, {t: lambda since, t=t: read(t, "full") for t in _SYNCED}, mode="full")
-    merge.sync(store, {t: lambda since, t=t: read(t, "increment") for t in _SYNCED}, lookup=lambda t, ids: made(t, "found", _FOUND_UPDATE), most=10**9)
-    out = [store.read(t).select(F.lit(t).alias("type"), "id", "name", F.col("updated").cast("timestamp_ntz").alias("updated")) for t in _SYNCED]
+    merge.sync(store, {t: read(t, "full") for t in NATIVE_DDL}, mode="full")
+    merge.sync(store, {t: read(t, "increment") for t in NATIVE_DDL}, lookup=lambda t, ids: made(t, "found", _FOUND_UPDATE), most=10**9)
+    shown = lambda t: F.concat_ws(",", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in _links(t)], F.lit(""))
+    out = [store.read(t).select(F.lit(t).alias("type"), "id", F.col(label(t)).alias("name"), F.col("updated").cast("timestamp_ntz").alias("updated"), shown(t).alias("links")) for t in NATIVE_DDL]
     return reduce(DataFrame.unionByName, out)
 
 
+_CHANGED = "CASE WHEN o_orderkey % 1000 < 3 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate + INTERVAL 1 DAY END"
+
+
+@register(
+    f"""
+    WITH old AS (SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderkey % 1000 <> 7),
+    new AS (SELECT o_orderkey, o_totalprice * 2 AS o_totalprice, {_CHANGED} AS o_orderdate FROM orders WHERE o_orderkey % 1000 < 8 AND o_orderkey % 1000 <> 5)
+    SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL OR n.o_orderdate > o.o_orderdate THEN n.o_totalprice ELSE o.o_totalprice END AS o_totalprice,
+           CASE WHEN o.o_orderkey IS NULL OR n.o_orderdate > o.o_orderdate THEN n.o_orderdate ELSE o.o_orderdate END AS o_orderdate
+    FROM old o FULL JOIN new n ON o.o_orderkey = n.o_orderkey
+    """
+)
+def merge_touched(spark: SparkSession, d: str) -> DataFrame:
+    """A table dealt by key hash, then a small increment of it: late, newer and new rows."""
+    path = shared_folder(spark, "merge")
+    orders = _table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    place = F.col("o_orderkey") % 1000
+    merge.merge_keyed(path, orders.where(place != 7), "o_orderkey", "o_orderdate", buckets=128)
+    new = orders.where((place < 8) & (place != 5)).withColumns({"o_totalprice": F.col("o_totalprice") * 2, "o_orderdate": F.expr(_CHANGED)})
+    merge.merge_keyed(path, new, "o_orderkey", "o_orderdate", buckets=128)
+    return merge.newest_version(spark, path, orders.schema)
+
+
 # Display formats.
 
 

@@ -255,7 +255,7 @@ class Store:
     def stage(self, version: str, name: str, df: DataFrame) -> DataFrame:
         """Write arrivals beside the versions, by bucket, and read them back, which cuts the lineage."""
         self._dealt(df, f"staging/{version}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/staging/{version}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/staging/{version}/{name}").select(*df.columns)
 
     def touched(self, version: str, *names: str) -> set[str]:
         """The buckets that staged rows fall into."""
