@@ -60,3 +60,25 @@ def test_columns_answer_budget_questions(docs):
     assert n > 40
     none = table.select(tokencounts.tokens_at(F.lit(None).cast("binary"), F.lit(3)).alias("x")).first()["x"]
     assert none is None
+
+
+def test_long_pieces_cost_a_step_a_byte(library):
+    """A megabyte without a break, in some seconds, and the library's count at the end and at some prefixes."""
+    import time
+
+    counter, rng = tokencounts.PrefixCounter(PATH), random.Random(5)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.process_time()
+    counts = counter.prefix_counts(text)
+    assert time.process_time() - began < 10
+    for n in (1, 77, 5_000, 100_000):
+        assert counts[n] == len(library.encode(text[:n], add_special_tokens=False).ids)
+    assert not counter.known
+
+
+def test_budget_in_the_same_pass(docs, library):
+    for r in tokencounts.prefix_table(docs, PATH, budget=9).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        text = r["text"] or ""
+        count = lambda k: len(library.encode(text[:k], add_special_tokens=False).ids)
+        assert r["within"] == tokencounts.longest_within(r["deltas"], 9) and count(r["within"]) <= 9
+        assert r["within"] == len(text) or count(r["within"] + 1) > 9

@@ -85,8 +85,8 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = tokencounts.prefix_table(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
-    return tables.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+    tables = tokencounts.prefix_table(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), budget=512)
+    return tables.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.col("within").alias("chars_within_limit"), "deltas")
 
 
 def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,10 @@ tokens never cross them, so the tables of the pieces add up to the table of the
 where a cut itself depends on what follows (white space, contractions), the prefixes
 that end there are counted apart.
 
-``prefix_table`` stores the counts; ``count_at`` and ``longest_within``, or for whole tables the
+Which tokens end at a place is asked of an automaton of the vocabulary's tokens, so a long piece costs a step for each byte and
+token that ends there, not one for each length a token may have.  Pieces of up to 64 characters are remembered, a bounded number of them.
+
+``prefix_table`` stores the counts and answers one budget in the same pass; ``count_at`` and ``longest_within``, or for whole tables the
 columns ``tokens_at`` and ``characters_within``, answer truncation and budget questions from them
 without encoding anything again.
 
@@ -26,6 +29,7 @@ import struct
 from collections.abc import Iterator
 from operator import sub
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,7 +40,9 @@ from pyspark.sql import types as T
 
 from weftwork.llm import common
 
-TABLE = "doc_id long, n_bytes long, n_tokens long, deltas binary"
+TABLE = "doc_id long, n_bytes long, n_tokens long, deltas binary, within long"
+#: Longer pieces aren't remembered, so memory is bounded in bytes.
+KEPT_CHARS = 64
 
 #: Fixed value: how the byte-level vocabulary cuts a text into pieces.
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -65,7 +71,10 @@ class PrefixCounter:
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.ids = {to_bytes(t): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.bytes_of = {i: b for b, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        self.ending = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            self.ending.add_word(token.decode("latin-1"), (i, len(token)))
+        self.ending.make_automaton()
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for order, merge in enumerate(model["model"]["merges"]):
@@ -113,25 +122,23 @@ class PrefixCounter:
 
     def bytes_prefixes(self, data: bytes) -> list[int]:
         """Token counts of data[:1], data[:2], ... for a piece of text."""
-        counts, last = [0], [-1]
-        token_of, fits, longest = self.ids.get, self.fits, self.longest
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = token_of(data[start:end])
-                if token is None:
+        counts, last, fits = [0], [-1], self.fits
+        # Longest tokens come first of those that end at a place; just one of them fits.
+        for at, (token, length) in self.ending.iter(data.decode("latin-1")):
+            if len(counts) > at + 1:
+                continue
+            start = at + 1 - length
+            if start:
+                pair = (last[start], token)
+                fit = fits.get(pair)
+                if fit is None:
+                    fit = self._fit(*pair)
+                if not fit:
                     continue
-                if start:
-                    pair = (last[start], token)
-                    fit = fits.get(pair)
-                    if fit is None:
-                        fit = self._fit(*pair)
-                    if not fit:
-                        continue
-                counts.append(counts[start] + 1)
-                last.append(token)
-                break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+            counts.append(counts[start] + 1)
+            last.append(token)
+        if len(counts) != len(data) + 1:
+            raise ValueError("the vocabulary lacks a byte")
         return counts[1:]
 
     def piece(self, text: str) -> bytes:
@@ -142,9 +149,10 @@ class PrefixCounter:
             if len(data) != len(text):
                 counts = [counts[e - 1] for e in np.cumsum([len(c.encode()) for c in text]).tolist()]
             known = struct.pack(f"<{len(counts)}h", counts[0], *map(sub, counts[1:], counts))
-            if len(self.known) > self.most_pieces:
-                self.known.clear()
-            self.known[text] = known
+            if len(text) <= KEPT_CHARS:
+                if len(self.known) > self.most_pieces:
+                    self.known.clear()
+                self.known[text] = known
         return known
 
     def _count(self, piece: str) -> int:
@@ -229,29 +237,33 @@ def prefix_counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
-def _tables(path: str):
+def _tables(path: str, budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
         for whole in batches:
             for batch in common.slices(whole, "text"):
                 texts = [text or "" for text in batch.column("text").to_pylist()]
                 tables = [counter.changes(text) for text in texts]
+                totals = [int(np.frombuffer(t, "<i2").sum(dtype=np.int64)) for t in tables]
+                within = [len(text) if n <= budget else longest_within(table, budget) for text, table, n in zip(texts, tables, totals)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
                         pa.array([len(t.encode()) for t in texts], pa.int64()),
-                        pa.array([int(np.frombuffer(t, "<i2").sum(dtype=np.int64)) for t in tables], pa.int64()),
+                        pa.array(totals, pa.int64()),
                         pa.array(tables, pa.binary()),
+                        pa.array(within, pa.int64()),
                     ],
-                    names=["doc_id", "n_bytes", "n_tokens", "deltas"],
+                    names=["doc_id", "n_bytes", "n_tokens", "deltas", "within"],
                 )
 
     return run
 
 
-def prefix_table(documents: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and ``deltas``: for each character of the text, the
-    change of the token count as a little-endian signed 16-bit integer."""
+def prefix_table(documents: DataFrame, vocabulary: str, budget: int = 512) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, ``deltas``: for each character of the text, the
+    change of the token count as a little-endian signed 16-bit integer; and ``within``: the characters of the
+    longest prefix of at most ``budget`` tokens."""
     common.ship_package(documents.sparkSession)
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_tables(vocabulary), TABLE)
+    return slim.mapInArrow(_tables(vocabulary, budget), TABLE)
