@@ -108,6 +108,35 @@ def test_links_in_both_directions(spark):
     assert got["r2"]["request"] is None and got["r2"]["metadata"] is None and got.keys() == {"r1", "r2"}
 
 
+def _comparable(captures):
+    part = lambda p: p and (p["type"], p["record_id"], p["target"], bytes(p["payload"]))
+    head = lambda r: (r["record_id"], r["type"], r["refers_to"], r["target"], r["page_id"], sorted(r["headers"].items()), bytes(r["payload"]), r["payload_bytes"], r["payload_digest"])
+    return sorted((c["capture_id"], part(c["request"]), head(c["response"]), c["metadata"] and [part(m) for m in c["metadata"]]) for c in captures.collect())
+
+
+def test_captures_hold_their_payloads(spark, tmp_path):
+    """The query's nested rows are those of the join over all records, payloads with them."""
+    path = f"{tmp_path}/archives"
+    captures = warc.captured(spark.createDataFrame(PAGES, "page_id long, url string, html string"), path)
+    assert _comparable(captures) == _comparable(warc.assemble(warc.read_records(spark, path)))
+    texts = {c["response"]["page_id"]: bytes(c["response"]["payload"]).decode() for c in captures.collect() if c["response"]["type"] == "response"}
+    assert texts[3] == PAGES[0][2] and texts[6] == "x" * 300_000
+    assert "Join" not in captures._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_between_archives(spark, tmp_path):
+    record = lambda kind, name, links, body=b"b": b"".join([b"WARC/1.1\r\nWARC-Type: ", kind, b"\r\nWARC-Record-ID: ", name, *[b"\r\nWARC-Concurrent-To: " + x for x in links], b"\r\nContent-Length: %d\r\n\r\n" % len(body), body, b"\r\n\r\n"])
+    path = tmp_path / "far"
+    path.mkdir()
+    (path / "1.warc").write_bytes(record(b"response", b"r1", [b"q1", b"m9"]) + record(b"metadata", b"m1", [b"r1", b"r2"]))
+    (path / "2.warc").write_bytes(record(b"request", b"q1", []) + record(b"response", b"r2", []) + record(b"metadata", b"m2", [b"r1", b"r1", b"nowhere"]))
+    (path / "3.warc").write_bytes(record(b"metadata", b"m9", [b"r1"]) + record(b"response", b"r3", []))
+    got = _comparable(warc.read_captures(spark, str(path)))
+    assert got == _comparable(warc.assemble(warc.read_records(spark, str(path))))
+    by_id = {c[0]: c for c in got}
+    assert by_id["r1"][1][1] == "q1" and [m[1] for m in by_id["r1"][3]] == ["m1", "m2", "m9"] and [m[1] for m in by_id["r2"][3]] == ["m1"] and by_id["r3"][3] is None
+
+
 def test_repeated_headers():
     record = b"WARC/1.1\r\nWARC-Concurrent-To: <a>\r\nWARC-Type: metadata\r\nWARC-Concurrent-To: <b>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
     assert [(h["warc-concurrent-to"], block) for h, block in warc.parse(record)] == [("<a> <b>", b"hi")]

@@ -2,9 +2,10 @@
 
 A capture is written as three records: request, response (or revisit, where an
 earlier capture has the same payload) and metadata.  WARC-Concurrent-To ties request and
-metadata to the response.  Reading gives one row per record; ``assemble`` joins
-them through these identifiers, in either direction, to one nested row per capture.  Archives are
-parsed once and captures assembled once: both are tables, and what follows reads the columns it needs.
+metadata to the response.  ``read_records`` gives one row per record, and ``assemble`` joins
+them through these identifiers, in either direction, to one nested row per capture.  ``read_captures`` gives the same rows with
+payloads where they were read: the task that parses an archive joins what lies in it, and only records that
+name, or are named by, records of other archives are joined by a shuffle.  Captures are a table, and what follows reads the columns it needs.
 
 Archives are written by Spark's text writer with the record separator as line end, and
 read as whole files, so any storage that Spark reaches will do.  Captures of like size share
@@ -14,6 +15,7 @@ Defined results: a null payload is empty; a null url writes no target; a null pa
 as null and comes after all others when the smallest is chosen.  Repeated rows are
 captures of their own: the first of them is the response.  An empty table gives no records.  A very
 long page is an archive of its own, and takes its size a few times in the tasks that write and parse it.
+Identifiers that an archive holds aren't looked up in others.
 Records that no other names, or that name a missing one, are left out of captures but
 stay in ``read_records``.  Extra columns are ignored.
 """
@@ -36,6 +38,8 @@ from weftwork.llm import common
 CRLF = "\r\n"
 RECORD_END = "\r\n\r\n"
 VERSION = "WARC/1.1"
+#: Types of records that a capture is made around.
+MAIN = ("response", "revisit", "resource")
 #: Fixed value: the base-32 alphabet.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -206,6 +210,13 @@ def _payload(headers: dict[str, str], block: bytes) -> bytes:
     return block
 
 
+def _fields(h: dict[str, str], block: bytes) -> tuple:
+    """A record's fields from headers and block; payload size and digest are of the bytes read."""
+    payload, page = _payload(h, block), h.get("warc-page-id")
+    digest = b32encode(hashlib.sha1(payload).digest()).decode()
+    return h.get("warc-record-id"), h.get("warc-type"), h.get("warc-concurrent-to", "").split(), h.get("warc-refers-to"), h.get("warc-target-uri"), int(page) if page else None, list(h.items()), len(block), payload, len(payload), digest
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()]
     names = [part.split(" ")[0] for part in re.sub(r"<.*?>", "", RECORDS).split(", ")]
@@ -217,12 +228,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             rows, size, archive = [], 0, batch.column("path")[i].as_py()
             for h, block in parse(batch.column("content")[i].as_py()):
-                payload = _payload(h, block)
-                page = h.get("warc-page-id")
-                digest = b32encode(hashlib.sha1(payload).digest()).decode()
-                rows.append(
-                    (h.get("warc-record-id"), h.get("warc-type"), h.get("warc-concurrent-to", "").split(), h.get("warc-refers-to"), h.get("warc-target-uri"), int(page) if page else None, list(h.items()), len(block), payload, len(payload), digest, archive)
-                )
+                rows.append((*_fields(h, block), archive))
                 size += len(block)
                 if size > 8 << 20:
                     yield out(rows)
@@ -248,7 +254,7 @@ def assemble(records: DataFrame) -> DataFrame:
     structs.  Links count in both directions: from a record to the response
     and from the response to a record.  Blocks of responses are shuffled once.
     """
-    main = F.col("type").isin("response", "revisit", "resource")
+    main = F.col("type").isin(*MAIN)
     heads = records.where(main)
     small = records.where(~main).select("record_id", "type", "concurrent_to", "target", "payload")
     backward = small.select(F.explode("concurrent_to").alias("capture_id"), F.col("record_id").alias("other"))
@@ -265,6 +271,89 @@ def assemble(records: DataFrame) -> DataFrame:
     return heads.select(F.col("record_id").alias("capture_id"), response.alias("response")).join(tied, "capture_id", "left").select("capture_id", "request", "response", "metadata")
 
 
+HEAD = "struct<record_id:string,type:string,refers_to:string,target:string,page_id:bigint,headers:map<string,string>,payload:binary,payload_bytes:bigint,payload_digest:string>"
+PART = "struct<type:string,record_id:string,target:string,payload:binary>"
+#: Rows of captures (part is null) and of other records (response is null); ``wanted`` are identifiers that the archive doesn't hold.
+LOCAL = f"capture_id string, response {HEAD}, parts array<{PART}>, wanted array<string>, part {PART}"
+_HEAD_TYPE = pa.struct(
+    [("record_id", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("target", pa.string()), ("page_id", pa.int64()), ("headers", pa.map_(pa.string(), pa.string()))]
+    + [("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
+)
+_PART_TYPE = pa.struct([("type", pa.string()), ("record_id", pa.string()), ("target", pa.string()), ("payload", pa.binary())])
+
+
+def join_archive(records: list[tuple]) -> list[tuple]:
+    """Rows of ``LOCAL`` from the records of one archive, as ``_fields`` gives them."""
+    heads: dict[str, list[int]] = {}
+    others: dict[str, list[int]] = {}
+    for i, r in enumerate(records):
+        (heads if r[1] in MAIN else others).setdefault(r[0], []).append(i)
+    part = {i: {"type": r[1], "record_id": r[0], "target": r[4], "payload": r[8]} for i, r in enumerate(records) if r[1] not in MAIN}
+    tied: dict[int, set[int]] = {}
+    wanted: dict[int, list[str]] = {}
+    for i, r in enumerate(records):
+        named, far = (others, wanted) if r[1] in MAIN else (heads, wanted)
+        for other in dict.fromkeys(r[2]):
+            found = named.get(other, [])
+            for j in found:
+                tied.setdefault(i if r[1] in MAIN else j, set()).add(j if r[1] in MAIN else i)
+            if not found:
+                far.setdefault(i, []).append(other)
+    rows = []
+    for i, r in enumerate(records):
+        if r[1] in MAIN:
+            head = dict(zip(("record_id", "type", "refers_to", "target", "page_id", "headers"), (r[0], r[1], r[3], r[4], r[5], r[6]))) | {"payload": r[8], "payload_bytes": r[9], "payload_digest": r[10]}
+            rows.append((r[0], head, [part[j] for j in sorted(tied.get(i, ()))], wanted.get(i, []), None))
+        else:
+            rows.append((None, None, [], wanted.get(i, []), part[i]))
+    return rows
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), _HEAD_TYPE, pa.list_(_PART_TYPE), pa.list_(pa.string()), _PART_TYPE]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(column), kind) for column, kind in zip(zip(*rows), kinds)], names=["capture_id", "response", "parts", "wanted", "part"])
+
+    for batch in batches:
+        for content in batch.column("content"):
+            rows, size = [], 0
+            for row in join_archive([_fields(h, block) for h, block in parse(content.as_py())]):
+                rows.append(row)
+                size += len(row[1]["payload"]) if row[1] else 0
+                if size > 8 << 20:
+                    yield out(rows)
+                    rows, size = [], 0
+            if rows:
+                yield out(rows)
+
+
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``assemble(read_records(spark, path))`` over all archives in a folder, as a table of the shared folder;
+    payloads aren't shuffled unless links go from one archive to another."""
+    common.ship_package(spark)
+    if not common.exists(spark, path):
+        local = spark.createDataFrame([], LOCAL)
+    else:
+        files = spark.read.format("binaryFile").load(path).select("content")
+        local = common.materialize(files.mapInArrow(_joined, LOCAL), "captures")
+    captures = local.where("response IS NOT NULL").select("capture_id", "response", "parts", "wanted")
+    if not local.where(F.size("wanted") > 0).select("capture_id").isEmpty():
+        parts = local.where("part IS NOT NULL").select("part", "wanted")
+        named = captures.select("capture_id", F.explode("wanted").alias("other"))
+        forward = named.join(parts.select("part"), F.col("other") == F.col("part.record_id")).select("capture_id", "part")
+        strays = parts.select(F.explode("wanted").alias("capture_id"), "part").union(forward).distinct()
+        strays = strays.groupBy("capture_id").agg(F.collect_list("part").alias("more"))
+        captures = captures.join(strays, "capture_id", "left").withColumn("parts", F.array_distinct(F.concat("parts", F.coalesce("more", F.array().cast(f"array<{PART}>")))))
+    every = F.sort_array("parts")
+    return captures.select(
+        "capture_id",
+        F.get(F.filter(every, lambda p: p["type"] == "request"), F.lit(0)).alias("request"),
+        "response",
+        F.when(F.size("parts") > 0, F.filter(every, lambda p: p["type"] == "metadata")).alias("metadata"),
+    )
+
+
 def resolve_revisits(captures: DataFrame) -> DataFrame:
     """page_id, record_type, of the payload a capture stands for payload_bytes, payload_digest and
     refers_to (the page whose response holds it), and of the records tied to it request_uri,
@@ -296,19 +385,13 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
 def captured(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
     """Write the archives of ``pages`` into the folder ``path``, read them back and assemble their captures.
 
-    The nested rows are a table of the shared folder; other tables on the way are deleted.  Of a
-    response they hold size and digest, of the bytes read, but not the payload itself: that isn't
-    shuffled where nobody asks for it.  ``assemble(read_records(...))`` has it.
+    The nested rows, payloads with them, are a table of the shared folder; tables on the way to the archives are deleted.
     """
     spark = pages.sparkSession
     with common.tracking() as made:
         write_archives(with_decisions(pages, min_bytes), path)
     common.delete(spark, made)
-    with common.tracking() as made:
-        captures = assemble(read_records(spark, path))
-        captures = common.materialize(captures.withColumn("response", F.col("response").dropFields("payload")), "assembled")
-    common.delete(spark, made[:-1])
-    return captures
+    return read_captures(spark, path)
 
 
 def decisions_sql(min_bytes: int = 0) -> str:
