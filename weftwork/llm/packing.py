@@ -31,6 +31,10 @@ _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 _MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)\Z")
 
 
+#: Longer words aren't remembered.
+KEPT_CHARS = 64
+
+
 class WordTokenizer:
     """Ids of whole texts from a word-level memory over the ``tokenizers`` library.
 
@@ -87,7 +91,12 @@ class WordTokenizer:
         for word, (core, tail) in marked.items():
             known[word] = known[core] + known[tail]
         look = known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        out = [b"".join(map(look, words)) for words in split]
+        for word in (*marked, *single):
+            # Memory is bounded in bytes, too: what is longer than any word isn't kept.
+            if len(word) > KEPT_CHARS:
+                known.pop(word, None)
+        return out
 
 
 def _lowered(text: str) -> str:

@@ -298,8 +298,9 @@ def fit(documents: DataFrame, labels: DataFrame, most_rows: int = 10_000, shape:
 class Scorer:
     """Scores whole texts with a memory of projected words."""
 
-    def __init__(self, net: Network, most_words: int = 250_000):
-        self.net, self.most_words = net, most_words
+    def __init__(self, net: Network, most_words: int = 250_000, most_chars: int = 32 << 20):
+        self.net, self.most_words, self.most_chars = net, most_words, most_chars
+        self.chars = 0
         self.columns = np.concatenate([conv[k] for conv in net.convs for k in range(len(conv))], axis=1)
         self.known: dict[str, int] = {}
         self.rows = np.empty((1024, self.columns.shape[1]), np.float32)
@@ -319,9 +320,11 @@ class Scorer:
         for words in split:
             new.update(words)
         new.difference_update(self.known)
-        if len(self.known) + len(new) > self.most_words:
+        if len(self.known) + len(new) > self.most_words or self.chars > self.most_chars:
             self.known.clear()
+            self.chars = 0
             new = {w for words in split for w in words}
+        self.chars += sum(map(len, new))
         if new:
             self._learn(list(new))
         shape, out = self.net.shape, np.empty(len(texts))
