@@ -31,10 +31,31 @@ def test_every_stage_on_its_own_input(spark):
 def test_empty_and_extra_columns(spark, empty, clashing, tmp_path):
     empty.write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
-    clashing.drop("_rest").write.parquet(f"{tmp_path}/more/documents.parquet")
+    clashing.drop("_rest").withColumn("_", clashing["rank"]).write.parquet(f"{tmp_path}/more/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/more").count() > 0
 
 
+def test_tables_of_two_threads_are_told_apart(spark):
+    """What one thread writes isn't in the list of another, so nobody deletes what the other reads."""
+    from threading import Barrier, Thread
+
+    seen, both = {}, Barrier(2)
+
+    def work(name):
+        with common.tracking() as paths:
+            both.wait()
+            common.materialize(spark.range(3), name)
+            both.wait()
+            seen[name] = [p.rsplit("/", 1)[1].split("-")[0] for p in paths]
+
+    threads = [Thread(target=work, args=(name,)) for name in ("a", "b")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert seen == {"a": ["a"], "b": ["b"]}
+
+
 def test_registered_queries_have_their_columns(spark):
     want = {
         "op1_toxicity": "doc_id held_out score predicted",
@@ -47,6 +68,9 @@ def test_registered_queries_have_their_columns(spark):
         "op8_mixing": "doc_id size source_size target taken",
         "op9_near_dedup": "doc_id n_shingles component_id kept",
         "op10_token_counts": "doc_id n_bytes n_tokens over_limit",
+        "op11_centroids": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
+        "op12_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+        "op13_collocations": "lang rank phrase a l r n score",
     }
     assert set(queries.queries()) == set(want)
     for name, columns in want.items():

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,8 +44,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/weftwork/{label}-{uuid.uuid4().hex}"
 
 
-#: Open lists of the paths that ``materialize`` writes; see ``tracking``.
-_TRACKED: list[list[str]] = []
+#: Open lists of the paths that ``materialize`` writes, of this thread or context; see ``tracking``.
+_TRACKED: ContextVar[tuple[list[str], ...]] = ContextVar("tracked", default=())
 
 
 def materialize(df: DataFrame, label: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
@@ -56,7 +57,7 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd", by: str | None =
     path = shared_path(df.sparkSession, label)
     writer = df.write.option("compression", codec)
     (writer.partitionBy(by) if by else writer).parquet(path)
-    for paths in _TRACKED:
+    for paths in _TRACKED.get():
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -70,13 +71,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 @contextmanager
 def tracking() -> Iterator[list[str]]:
     """Collect the paths of the tables that are written inside, so that they can be deleted
-    when no plan reads them any more."""
+    when no plan reads them any more.  Another thread's tables aren't among them."""
     paths: list[str] = []
-    _TRACKED.append(paths)
+    before = _TRACKED.set((*_TRACKED.get(), paths))
     try:
         yield paths
     finally:
-        _TRACKED[:] = [p for p in _TRACKED if p is not paths]
+        _TRACKED.reset(before)
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:

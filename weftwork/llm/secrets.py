@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -240,18 +241,21 @@ def model_spans(text: str, pair: MarkovPair, base: list[tuple[int, int, int]]) -
 SPANS = "spans array<struct<kind:string,start:int,`end`:int>>"
 
 
-def _scan(names: list[str], pair: MarkovPair):
+def _scan(names: list[str], pair: MarkovPair, mark: str | None):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, "text"):
-                found = []
+                found, clean = [], []
                 for text in batch.column("text").to_pylist():
                     base = base_spans(text or "")
                     spans = sorted([*base, *model_spans(text or "", pair, base)])
                     found.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans])
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(found, kind)], names=[*names, "spans"])
+                    if mark is not None:
+                        clean.append(text if not spans else _redact(text, [(s, e) for s, _, e in spans], mark))
+                more = {"spans": pa.array(found, kind)} | ({"redacted": pa.array(clean, pa.string())} if mark is not None else {})
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *more.values()], names=[*names, *more])
 
     return run
 
@@ -317,14 +321,16 @@ def trained_pair(documents: DataFrame | None = None) -> MarkovPair:
     return train([*_generated()[0], *random], [*_generated()[1], *ordinary])
 
 
-def scan(documents: DataFrame, pair: MarkovPair, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``spans``, sorted by start and then by kind.  No shuffle."""
+def scan(documents: DataFrame, pair: MarkovPair, keep: tuple[str, ...] = ("doc_id",), mark: str | None = None) -> DataFrame:
+    """``keep`` columns and ``spans``, sorted by start and then by kind; with a ``mark`` also ``redacted``, the text
+    with every span, or run of overlapping spans, replaced by it.  No shuffle."""
     common.ship_package(documents.sparkSession)
-    fields = [documents.schema[c] for c in keep if c != "spans"]
+    more = T.StructType.fromDDL(SPANS + (", redacted string" if mark is not None else ""))
+    fields = [documents.schema[c] for c in keep if c not in more.names]
     names = [f.name for f in fields]
-    schema = T.StructType([*fields, *T.StructType.fromDDL(SPANS).fields])
+    schema = T.StructType([*fields, *more.fields])
     text = [] if "text" in names else [F.col("text").cast("string").alias("text")]
-    return documents.select(*names, *text).mapInArrow(_scan(names, pair), schema)
+    return documents.select(*names, *text).mapInArrow(_scan(names, pair, mark), schema)
 
 
 def spans_text(spans: Column) -> Column:
@@ -332,12 +338,21 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _redact(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """The text with every (start, end), or run of overlapping ones, replaced; spans come in order.  One pass."""
+    parts, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            parts += (text[at:start], mark)
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
 def redacted(text: Column, spans: Column, mark: str = "<secret>") -> Column:
-    """The text with every span, or run of overlapping spans, replaced by ``mark``."""
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.struct(
-        F.when(s["start"] >= acc["at"], F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["done"]).alias("done"),
-        F.greatest(acc["at"], s["end"]).alias("at"),
-    )
-    end = lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, end))
+    """The text with every span, or run of overlapping spans, replaced by ``mark``; null texts stay null."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None else _redact(t, list(zip(a, b)), mark) for t, a, b in zip(texts, starts, ends)], dtype=object)
+
+    return run(text, spans["start"], spans["end"])
