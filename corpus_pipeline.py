@@ -13,7 +13,9 @@ can do the same with ``common.tracking``; a stage keeps no state.
 - mixing: documents stay as often as the mix takes them (0, 1 or 2 times).
 - packing: power-of-two pieces, each a sequence.
 
-Empty tables pass through all stages.  Extra columns pass through up to the last stage.
+Defined results: empty tables pass through all stages; extra columns, of any name, up to the last one.  A null text has
+no words, so quality drops it like an empty one; a null id, source or language is a value of its own.  Of rows that repeat,
+near_dedup keeps one.  Ties go by id and then by row, so reruns agree.  A very long text is read whole by one task in each stage.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ ORACLE_SQL = None
 def _bundled(docs: DataFrame, *used: str) -> DataFrame:
     """The used columns, and all others in one struct, so that names can't clash."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
-    return docs.select(*used, F.struct(*rest, F.lit(0).alias("_")).alias("_rest"))
+    # A struct needs a field, of a name that no column has.
+    return docs.select(*used, F.struct(*rest, F.lit(0).alias("_" * (1 + max(map(len, docs.columns))))).alias("_rest"))
 
 
 def _unbundled(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
@@ -58,8 +61,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     used = ("text", "n_chars")
-    found = secrets.scan(_bundled(docs, *used), secrets.trained_pair(docs), keep=(*used, "_rest"))
-    clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
+    found = secrets.scan(_bundled(docs, *used), secrets.trained_pair(docs), keep=(*used, "_rest"), mark="<secret>")
+    clean = found.withColumn("text", F.col("redacted"))
     return _unbundled(clean.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text"))), docs, *used)
 
 
