@@ -774,4 +774,4 @@ def flagship_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The queries over the native catalogue register themselves.
-from weftwork import native_queries  # noqa: E402, F401
+from weftwork import flow_queries, native_queries  # noqa: E402, F401
