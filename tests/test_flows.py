@@ -113,3 +113,75 @@ def test_structure(spark):
     assert structure.paths(left.limit(0), "j").count() == 0
     other = structure.paths(spark.createDataFrame([("[1]",)], "j string"), "j")
     assert {tuple(r) for r in structure.compare_paths(structure.paths(left, "j"), other).collect()} == {("$", "type_mismatch")}
+
+
+def test_address_bits_against_the_standard_library(spark):
+    """Every spelling: what is an address, and its bits."""
+    import ipaddress
+    import random
+
+    from weftwork.functions import net
+
+    rng, texts = random.Random(7), ["", None, "::", "::1", "1::", "1::2::3", ":::", ":1", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8::", "::ffff:192.0.2.1", "1::1.2.3.4", "1:2:3:4:5:6:1.2.3.4"]
+    texts += ["1:2:3:4:5:6:7:1.2.3.4", "::1.2.3", "::1.2.3.256", "1.2.3.4", "01.2.3.4", "1.2.3.4.5", "12345::", "g::", "FE80::ABCD", "fe80::1%eth0", "1.2.3.4:1::", "-1::", "1 ::", "::1/64"]
+    for _ in range(300):
+        n = rng.getrandbits(128) & rng.getrandbits(128) & (rng.getrandbits(128) if rng.random() < 0.5 else -1)
+        texts.append(rng.choice([str, lambda a: a.exploded, lambda a: str(a).upper()])(ipaddress.IPv6Address(n)))
+        texts.append(str(ipaddress.IPv4Address(rng.getrandbits(32))))
+
+    def want(text):
+        try:
+            a = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        return (a.version, signed(int(a) >> 64), signed(int(a) & (1 << 64) - 1))
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", net.address_bits(F.col("t")).alias("b"))
+    assert [(r["t"], r["b"] and tuple(r["b"])) for r in df.collect()] == [(t, want(t)) for t in texts]
+    assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_prefix_bits_against_the_standard_library(spark):
+    import ipaddress
+
+    from weftwork.functions import net
+    from weftwork.operators import lookup
+
+    prefixes = [f"2001:db8:ffff:8000::8000:1/{n}" for n in range(0, 130)] + [f"203.0.113.77/{n}" for n in range(0, 34)] + ["::/x", "1.2.3.4", "::1", "1.2.3.4/8/8", "1.2.3.4/", None]
+
+    def want(text):
+        try:
+            n = ipaddress.ip_network(text, strict=False)
+        except ValueError:
+            return None
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        return (n.version, n.prefixlen, signed(int(n.network_address) >> 64), signed(int(n.network_address) & (1 << 64) - 1))
+
+    df = spark.createDataFrame([(p,) for p in prefixes], "prefix string")
+    assert [r["b"] and tuple(r["b"]) for r in df.select(net.prefix_bits(F.col("prefix")).alias("b")).collect()] == [want(p) for p in prefixes]
+    found = lookup.addresses_in_prefixes(spark.createDataFrame([("203.0.113.99",), ("2001:db8:ffff:8000::1",), ("nothing",)], "address string"), df)
+    assert "Python" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
+    inside = lambda a, p: want(p) is not None and ipaddress.ip_address(a) in ipaddress.ip_network(p, strict=False)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((a, p) for a in ("203.0.113.99", "2001:db8:ffff:8000::1") for p in prefixes if inside(a, p))
+
+
+def test_footers_answer_without_data(spark, tmp_path):
+    from weftwork.operators import aggregates
+
+    spark.range(10, 500).repartition(3).write.parquet(f"{tmp_path}/t")
+    df = aggregates.from_footers(spark, f"{tmp_path}/t", ["id"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(id), MAX(id)]" in plan
+    assert tuple(df.first()) == (490, 10, 499)
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_sides_in_one_shuffle(spark):
+    from weftwork.operators import compare
+
+    rows = [(1, 1, "a", 10), (1, 2, "a", 11), (1, 3, "b", 12), (1, 4, "b", 13), (2, 5, "a", 14), (3, 6, "b", 15), (None, 7, "a", 16), (4, 8, "c", 17)]
+    df = spark.createDataFrame(rows, "k long, at long, side string, v long")
+    out = compare.sides(df, F.col("side") == "a", F.col("side") == "b", "k", "at", ["v"], b_last=False)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 11, 12, True), (2, 14, None, False), (3, None, 15, False)]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.operators import structure
+from weftwork.operators import aggregates, compare, lookup, structure
 from weftwork.queries import _table, register
 from weftwork.session import shared_folder
 from weftwork.sources import pages
@@ -82,3 +82,48 @@ def json_compare(spark: SparkSession, d: str) -> DataFrame:
     events = _table(spark, d, "events")
     sides = [structure.paths(events.select(F.expr(text).alias("j")), "j") for text in (_NESTED, _CHANGED)]
     return structure.compare_paths(*sides)
+
+
+# Addresses, footers and comparisons.
+
+
+@register(
+    """
+    SELECT event_id, n_nationkey, 4 AS family FROM events JOIN nation ON event_id % 2 = 0 AND event_id % 25 = n_nationkey AND event_id % 7 = n_nationkey % 7
+    UNION ALL SELECT event_id, n_nationkey, 6 FROM events JOIN nation ON event_id % 2 = 1 AND event_id % 25 = n_nationkey AND event_id % 3 = 0
+    UNION ALL SELECT event_id, n_nationkey, 0 FROM events JOIN nation ON event_id % 2 = 1 AND event_id % 25 = n_nationkey
+    """
+)
+def ip_both_families(spark: SparkSession, d: str) -> DataFrame:
+    """IPv4 and IPv6 addresses, in several spellings, against prefixes of several lengths."""
+    e, n = F.col("event_id"), F.col("n_nationkey")
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    digits = lambda c: F.lower(F.hex(c))
+    four = text("10.", e % 25, ".", e % 7, ".", e % 251)
+    long = text("2001:DB8:", digits(e % 25), ":", digits(e % 3), ":0:0:0:", digits(e % 251))
+    short = text("2001:db8:", digits(e % 25), ":", digits(e % 3), "::", e % 251, ".0.0.1")
+    addresses = _table(spark, d, "events").select("event_id", F.when(e % 2 == 0, four).when(e % 4 == 1, long).otherwise(short).alias("address"))
+    prefixes = [(4, text("10.", n, ".", n % 7, ".0/24")), (6, text("2001:db8:", digits(n), "::/64")), (0, text("2001:db8:", digits(n), ":ffff::/48")), (9, text("10.", n, ".0.0/33"))]
+    nations = _table(spark, d, "nation")
+    listed = nations.select("n_nationkey", F.explode(F.array(*[F.struct(F.lit(k).alias("family"), p.alias("prefix")) for k, p in prefixes])).alias("p")).select("n_nationkey", "p.*")
+    return lookup.addresses_in_prefixes(addresses, listed).select("event_id", "n_nationkey", "family")
+
+
+@register("SELECT count(*) AS n, min(o_orderkey) AS min_o_orderkey, max(o_orderkey) AS max_o_orderkey, min(o_custkey) AS min_o_custkey, max(o_custkey) AS max_o_custkey FROM orders")
+def agg_from_footers(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.from_footers(spark, f"{d}/orders.parquet", ["o_orderkey", "o_custkey"])
+
+
+@register(
+    """
+    WITH a AS (SELECT l_partkey, l_quantity, l_extendedprice FROM lineitem WHERE l_suppkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber DESC) = 1),
+    b AS (SELECT l_partkey, l_quantity, l_extendedprice FROM lineitem WHERE l_suppkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber) = 1)
+    SELECT coalesce(a.l_partkey, b.l_partkey) AS l_partkey, a.l_quantity AS l_quantity_a, a.l_extendedprice AS l_extendedprice_a, b.l_quantity AS l_quantity_b, b.l_extendedprice AS l_extendedprice_b,
+           a.l_partkey IS NOT NULL AND b.l_partkey IS NOT NULL AS shared
+    FROM a FULL JOIN b ON a.l_partkey = b.l_partkey
+    """
+)
+def compare_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that two groups of suppliers have shipped, each with the last shipment of one and the first of the other."""
+    lines = _table(spark, d, "lineitem").withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return compare.sides(lines, F.col("l_suppkey") % 3 == 0, F.col("l_suppkey") % 2 == 0, "l_partkey", "at", ["l_quantity", "l_extendedprice"], b_last=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.plans import paging
@@ -34,6 +34,19 @@ def newest(df: DataFrame, updated: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.max(updated).alias("newest"))
 
 
+def from_footers(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """(n, min_<column>, max_<column>, ...) of a Parquet table from its files' footers: no data page is read.
+
+    The second reader of Parquet pushes counts, minima and maxima of numbers, dates and zone-less timestamps down to the scan; a session
+    of its own holds these settings.  Files without statistics are an error there.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    asked = [f(c).alias(f"{name}_{c}") for c in columns for name, f in (("min", F.min), ("max", F.max))]
+    return own.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), *asked)
+
+
 def total_of(counts: Column) -> Column:
     """The sum of a map's values."""
     return F.aggregate(F.map_values(counts), F.lit(0).cast("bigint"), lambda a, v: a + v)

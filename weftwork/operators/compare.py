@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,21 @@ def everything(a: DataFrame, b: DataFrame, key: str, order: str, columns: Sequen
     return joined.withColumn(key, F.coalesce("_a", "_b")).withColumn("shared", both).drop("_a", "_b")
 
 
+def sides(df: DataFrame, in_a: Column, in_b: Column, key: str, order: str, columns: Sequence[str], b_last: bool = True) -> DataFrame:
+    """(key, columns of a, columns of b, shared) of one table's rows that are on side a, on b, or on both: one scan and one shuffle.
+
+    Of duplicates the last by ``order`` counts, of b the first if asked; a column of a side without the key is null.
+    """
+    def one(on: Column, last: bool, name: str) -> Column:
+        row, at = F.when(on, F.struct(*columns)), F.when(on, F.col(order))
+        return (F.max_by(row, at) if last else F.min_by(row, at)).alias(name)
+
+    known = df.where(F.col(key).isNotNull() & (in_a | in_b))
+    both = known.groupBy(key).agg(one(in_a, True, "_a"), one(in_b, b_last, "_b"))
+    named = [F.col(f"_{side}")[c].alias(f"{c}_{side}") for side in "ab" for c in columns]
+    return both.select(key, *named, (F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("shared"))
+
+
 def shared_groups(a: DataFrame, b: DataFrame, group: str, member: str) -> DataFrame:
     """Groups on both sides with the members they share, which may be none."""
     left = a.where(F.col(group).isNotNull()).groupBy(group).agg(F.collect_set(member).alias("_a"))

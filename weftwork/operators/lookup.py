@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.functions.net import candidate_networks, prefix_parts
+from weftwork.functions.net import address_bits, network_bits, prefix_bits
 
 
 def addresses_in_prefixes(addresses: DataFrame, prefixes: DataFrame, address: str = "address", prefix: str = "prefix") -> DataFrame:
     """Pairs of rows whose address lies in the prefix, IPv4 and IPv6.
 
     A prefix is an equality on the leading bits, so the join is an ordinary equi-join on
-    (family, length, network): an address looks for one network for each prefix length in use,
-    of which there are 162 at most.  No range or cross join is involved.
+    (family, length, network): an address looks for one network for each prefix length in use.
+    These are a table of 162 rows at most, joined by family; no range or cross join is involved, and no Python.
     """
-    parts = prefixes.withColumn("_p", prefix_parts(F.col(prefix))).where("_p.family IS NOT NULL")
-    lengths = [r["n"] for r in parts.select((F.col("_p.family") * 1000 + F.col("_p.length")).alias("n")).distinct().collect()]
-    asked = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
-    looked = addresses.withColumn("_n", F.explode(candidate_networks(F.col(address), asked)))
-    on = [F.col("_n.family") == F.col("_p.family"), F.col("_n.length") == F.col("_p.length"), F.col("_n.network") == F.col("_p.network")]
-    return looked.join(parts, on).drop("_n", "_p")
+    parts = prefixes.withColumn("_p", prefix_bits(F.col(prefix))).where("_p IS NOT NULL")
+    lengths = F.broadcast(parts.select(F.col("_p.family").alias("_family"), F.col("_p.length").alias("_length")).distinct())
+    looked = addresses.withColumn("_a", address_bits(F.col(address))).where("_a IS NOT NULL").join(lengths, F.col("_a.family") == F.col("_family"))
+    looked = looked.withColumn("_n", network_bits(F.col("_family"), F.col("_a.high"), F.col("_a.low"), F.col("_length")))
+    on = [F.col("_family") == F.col("_p.family"), F.col("_length") == F.col("_p.length"), F.col("_n.high") == F.col("_p.high"), F.col("_n.low") == F.col("_p.low")]
+    return looked.join(parts, on).drop("_a", "_n", "_p", "_family", "_length")
 
 
 def numbers_in_ranges(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, bits: int = 32) -> DataFrame:
