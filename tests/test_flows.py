@@ -185,3 +185,38 @@ def test_sides_in_one_shuffle(spark):
     out = compare.sides(df, F.col("side") == "a", F.col("side") == "b", "k", "at", ["v"], b_last=False)
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(tuple(r) for r in out.collect()) == [(1, 11, 12, True), (2, 14, None, False), (3, None, 15, False)]
+
+
+def test_selections(spark):
+    """Limits at every level, empty sets, missing parents, pruned scans and unknown names."""
+    import native
+
+    from weftwork.plans.filters import FilterError
+    from weftwork.plans.selection import Selection, select
+
+    cat = native.catalogue(spark)
+    spots = Selection(["id", "speed"], order=["-speed"], first=1)
+    asked = Selection(["name"], {"id__in": "10,11,12"}, ["-id"], 2, {"org": Selection(["name"], {"name__contains": "other"}), "netixlan": spots, "poc": Selection(["id"])})
+    rows = [r.asDict(recursive=True) for r in select(cat, "net", asked).collect()]
+    assert sorted(rows, key=lambda r: r["name"]) == [
+        {"name": "Hurricane", "org": None, "netixlan": [{"id": 71, "speed": 1000}], "poc": [{"id": 9001}]},
+        {"name": "café straße", "org": {"name": "Other"}, "netixlan": [], "poc": [{"id": 9002}]},
+    ]
+    deep = select(cat, "org", Selection(["id"], {"id": "1"}, edges={"net": Selection(["id"], order=["id"], edges={"netixlan": Selection(["id"], first=2)})})).first().asDict(recursive=True)
+    assert [(n["id"], [x["id"] for x in n["netixlan"]]) for n in deep["net"]] == [(10, [70, 73]), (11, [71]), (13, [72]), (14, [])]
+    assert select(cat, "net", Selection(["id"], first=0)).count() == 0
+    for wrong in (Selection(["nothing"]), Selection(["id"], order=["-nothing"]), Selection(["id"], edges={"nothing": Selection(["id"])}), Selection(["id"], first=-1)):
+        with pytest.raises(FilterError):
+            select(cat, "net", wrong)
+
+
+def test_numbers_of_a_repeated_key(spark):
+    """A key with most rows spreads over the ranges, and numbers have no gap."""
+    from weftwork.plans import paging
+
+    df = spark.range(1000).select(F.when(F.col("id") < 900, 5).otherwise(F.col("id")).alias("k"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("v"))
+    rows = paging.numbered(df, ["k"], "at").collect()
+    assert sorted(r["at"] for r in rows) == list(range(1000))
+    assert [r["k"] for r in sorted(rows, key=lambda r: r["at"])] == sorted(r["k"] for r in rows)
+    weighted = paging.numbered(spark.createDataFrame([(1, 3), (2, 4), (None, 2)], "k int, w int"), ["k"], "at", F.col("w")).collect()
+    assert {r["k"]: r["at"] for r in weighted} == {None: 0, 1: 2, 2: 5}

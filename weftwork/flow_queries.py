@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.operators import aggregates, compare, lookup, structure
+from weftwork.plans.schema import driver_catalogue
+from weftwork.plans.selection import Selection, select
 from weftwork.queries import _table, register
 from weftwork.session import shared_folder
 from weftwork.sources import pages
@@ -127,3 +129,30 @@ def compare_sides(spark: SparkSession, d: str) -> DataFrame:
     """Parts that two groups of suppliers have shipped, each with the last shipment of one and the first of the other."""
     lines = _table(spark, d, "lineitem").withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     return compare.sides(lines, F.col("l_suppkey") % 3 == 0, F.col("l_suppkey") % 2 == 0, "l_partkey", "at", ["l_quantity", "l_extendedprice"], b_last=False)
+
+
+# Nested selections.
+
+
+@register(
+    """
+    WITH c AS (SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_acctbal >= 1000 ORDER BY c_acctbal DESC, c_custkey LIMIT 500),
+    o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
+    l AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_orderkey) AS pos FROM lineitem WHERE l_quantity > 10),
+    ls AS (SELECT l_orderkey, string_agg(l_linenumber || ':' || p_brand, ' ' ORDER BY pos) AS lns FROM l JOIN part ON l_partkey = p_partkey WHERE pos <= 2 GROUP BY 1),
+    os AS (SELECT o_custkey, string_agg(o_orderkey || '(' || coalesce(lns, '') || ')', ', ' ORDER BY pos) AS listed FROM o LEFT JOIN ls ON l_orderkey = o_orderkey WHERE pos <= 3 GROUP BY 1)
+    SELECT c_name, n_name || '/' || r_name AS place, coalesce(listed, '') AS listed
+    FROM c LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN os ON o_custkey = c_custkey
+    """
+)
+def nested_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with their nation and its region, three orders each, of each two lines with their part."""
+    lines = Selection(["l_linenumber"], {"l_quantity__gt": "10"}, ["-l_extendedprice", "l_linenumber"], 2, {"part": Selection(["p_brand"])})
+    orders = Selection(["o_orderkey"], {"o_orderpriority__in": "1-URGENT,2-HIGH"}, ["-o_totalprice"], 3, {"lineitem": lines})
+    nation = Selection(["n_name"], edges={"region": Selection(["r_name"])})
+    asked = Selection(["c_name"], {"c_acctbal__gte": "1000"}, ["-c_acctbal"], 500, {"nation": nation, "orders": orders})
+    rows = select(driver_catalogue(spark, d), "customer", asked)
+    line = lambda x: F.concat(x["l_linenumber"].cast("string"), F.lit(":"), x["part"]["p_brand"])
+    order = lambda o: F.concat(o["o_orderkey"].cast("string"), F.lit("("), F.array_join(F.transform(o["lineitem"], line), " "), F.lit(")"))
+    place = F.concat(F.col("nation.n_name"), F.lit("/"), F.col("nation.region.r_name"))
+    return rows.select("c_name", place.alias("place"), F.array_join(F.transform("orders", order), ", ").alias("listed"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from weftwork.plans.filters import FilterError
+from weftwork.session import shared_folder
 
 DEFAULT_PAGE, MOST_PAGE = 100, 1000
 
@@ -187,22 +188,21 @@ def slice_page(column: Column, offset: int, size: int) -> Column:
 def numbered(df: DataFrame, keys: Sequence[str], name: str = "at", weight: Column | None = None) -> DataFrame:
     """Number the rows from 0 in the order of ``keys``, nulls first, without sorting all of them in one task.
 
-    Bounds from a sample deal the rows into ranges; a row's number is the count of the
-    ranges before its own plus its number within.  The bounds tell only how even the ranges are.
+    Spark deals the rows into ranges by a sample, and they are stored once with their range; a row's number is the count of the
+    ranges before its own plus its number within.  Rows of one key differ by row, so a key that repeats spreads over ranges.
     With a weight, a row stands for so many, and the number is that of those before it.
     """
     weight = F.lit(1) if weight is None else weight
+    path, order = shared_folder(df.sparkSession, "numbered"), [*keys, "_row"]
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    step = max(1, df.count() // (20 * n))
-    key = F.struct(*keys)
-    sample = df.where(F.pmod(F.xxhash64(*keys), F.lit(step)) == 0).agg(F.sort_array(F.collect_list(key)).alias("_sample"))
-    bounds = sample.select(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("_sample", F.floor(i * F.size("_sample") / n).cast("int"))).alias("_bounds"))
-    dealt = df.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
-    counts = dealt.groupBy("_range").agg(F.sum(weight).alias("_n"))
+    dealt = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    dealt.write.parquet(path)
+    stored = df.sparkSession.read.schema(dealt.schema).parquet(path)
+    counts = stored.groupBy("_range").agg(F.sum(weight).alias("_n"))
     # One row for each range.
     before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    within = dealt.withColumn(name, F.sum(weight).over(Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)) - weight)
-    return within.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col(name)).cast("bigint")).drop("_range", "_before")
+    within = stored.repartition(n, "_range").withColumn(name, F.sum(weight).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - weight)
+    return within.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col(name)).cast("bigint")).drop("_range", "_before", "_row")
 
 
 def batches(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
