@@ -220,3 +220,69 @@ def test_numbers_of_a_repeated_key(spark):
     assert [r["k"] for r in sorted(rows, key=lambda r: r["at"])] == sorted(r["k"] for r in rows)
     weighted = paging.numbered(spark.createDataFrame([(1, 3), (2, 4), (None, 2)], "k int, w int"), ["k"], "at", F.col("w")).collect()
     assert {r["k"]: r["at"] for r in weighted} == {None: 0, 1: 2, 2: 5}
+
+
+def decoded(data):
+    """(number, value) of a message's fields: the other way round, by hand."""
+    def varint(at):
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if not data[at - 1] & 128:
+                return value, at
+
+    out, at = [], 0
+    while at < len(data):
+        tag, at = varint(at)
+        value, at = varint(at)
+        if tag & 7 == 2:
+            value, at = bytes(data[at : at + value]), at + value
+        out.append((tag >> 3, value))
+    return out
+
+
+def test_wire_rows_are_decoded_again(spark):
+    from weftwork.functions import proto
+
+    numbers = [0, 1, 127, 128, 300, 2**31, 2**63 - 1, -1, -(2**63), None]
+    texts = ["", "x", "é" * 200, None]
+    rows = [(n, t, None if n is None else n % 2 == 1, [t, None, ""], T0 + timedelta(microseconds=1_500_000) if n else datetime(1969, 12, 31, 23, 59, 59, 500_000)) for n in numbers for t in texts]
+    df = spark.createDataFrame(rows, "n long, t string, b boolean, ts array<string>, at timestamp")
+    c = F.col
+    wire = proto.message([proto.number_field(1, c("n")), proto.bytes_field(2, c("t")), proto.number_field(3, c("b")), proto.number_field(4, c("n"), True), proto.repeated_field(500, c("ts")), proto.timestamp_field(501, c("at"))])
+    epoch = datetime(1970, 1, 1)
+    for r in df.withColumn("wire", wire).collect():
+        want = [(1, r["n"] % 2**64)] if r["n"] else []
+        want += [(2, r["t"].encode())] if r["t"] else []
+        want += [(3, 1)] if r["b"] else []
+        want += [(4, r["n"] % 2**64)] if r["n"] is not None else []
+        want += [(500, t.encode()) for t in r["ts"] if t is not None]
+        got = decoded(r["wire"])
+        assert got[:-1] == want
+        seconds, micros = divmod(int((r["at"] - epoch) / timedelta(microseconds=1)), 1_000_000)
+        assert got[-1][0] == 501 and decoded(got[-1][1]) == [(1, seconds % 2**64)] + ([(2, micros * 1000)] if micros else [])
+
+
+def test_index_reads_fewer_files(spark, tmp_path):
+    from weftwork.operators import textindex
+
+    words = ["Köln tower", "Berlin hall", "straße yard", "Paris dock", "x", "", None]
+    df = spark.createDataFrame([(i, None if words[i % 7] is None else f"{words[i % 7]} {i}", "City" if i % 50 else "Odd") for i in range(700)], "id long, a string, b string")
+    path = f"{tmp_path}/index"
+    textindex.build(df, path, ["a", "b"], folders=16)
+    whole = spark.read.parquet(f"{path}/rows")
+    for text in ("koln", "KÖLN TOWER 7", "strasse", "odd", "x", "berlin hall 1", "nothing like it", "", "12"):
+        got = textindex.search(spark, path, ["a", "b"], text)
+        assert got.columns == df.columns
+        want = {r["id"] for r in df.collect() if any(v is not None and fold_of(text) in fold_of(v) for v in (r["a"], r["b"]))}
+        assert {r["id"] for r in got.collect()} == want, text
+    assert len(textindex.folders_with(spark, path, "köln")) < 8 and textindex.folders_with(spark, path, "nothing like it") == [] and textindex.folders_with(spark, path, "ab") is None
+    plan = textindex.search(spark, path, ["a", "b"], "köln")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and textindex.FOLDER in plan.split("PartitionFilters: [")[1].split("]")[0] and whole.count() == 700
+
+
+def fold_of(text):
+    from weftwork.functions.text import fold
+
+    return fold(text)

@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.operators import aggregates, compare, lookup, structure
+from weftwork.functions import proto
+from weftwork.operators import aggregates, compare, lookup, structure, textindex
 from weftwork.plans.schema import driver_catalogue
 from weftwork.plans.selection import Selection, select
 from weftwork.queries import _table, register
@@ -156,3 +157,42 @@ def nested_selection(spark: SparkSession, d: str) -> DataFrame:
     order = lambda o: F.concat(o["o_orderkey"].cast("string"), F.lit("("), F.array_join(F.transform(o["lineitem"], line), " "), F.lit(")"))
     place = F.concat(F.col("nation.n_name"), F.lit("/"), F.col("nation.region.r_name"))
     return rows.select("c_name", place.alias("place"), F.array_join(F.transform("orders", order), ", ").alias("listed"))
+
+
+# Indexed search and wire rows.
+
+
+@register("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '77') OR contains(lower(p_type), '77') UNION ALL SELECT p_partkey, p_type FROM part WHERE contains(lower(p_name), 't#1') OR contains(lower(p_type), 't#1')")
+def search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """One text with trigrams, which reads the folders that may hold it, and one too short for any."""
+    path = shared_folder(spark, "index")
+    textindex.build(_table(spark, d, "part").select("p_partkey", "p_name", "p_type"), path, ["p_name", "p_type"], folders=32)
+    short, long = (textindex.search(spark, path, ["p_name", "p_type"], text) for text in ("77", "T#1"))
+    return short.select("p_partkey", "p_name").union(long.select("p_partkey", F.col("p_type").alias("p_name")))
+
+
+def _varint_sql(x: str) -> str:
+    n = f"CASE WHEN {x} < 128 THEN 1 WHEN {x} < 16384 THEN 2 WHEN {x} < 2097152 THEN 3 WHEN {x} < 268435456 THEN 4 ELSE 5 END"
+    return f"array_to_string(list_transform(range(0, {n}), lambda i: printf('%02X', (({x} >> (7 * i)::BIGINT) & 127) + CASE WHEN i < {n} - 1 THEN 128 ELSE 0 END)), '')"
+
+
+def _text_sql(tag: str, text: str) -> str:
+    return f"CASE WHEN strlen({text}) > 0 THEN '{tag}' || {_varint_sql(f'strlen({text})')} || hex(encode({text})) ELSE '' END"
+
+
+@register(
+    f"""
+    WITH c AS (SELECT *, c_nationkey::BIGINT AS nk, (c_custkey % 3)::BIGINT AS flag, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN '' ELSE c_mktsegment END AS seg FROM customer),
+    m AS (SELECT c_custkey, CASE WHEN c_custkey <> 0 THEN '08' || {_varint_sql("c_custkey::BIGINT")} ELSE '' END || {_text_sql("12", "c_name")} || CASE WHEN flag <> 0 THEN '18' || {_varint_sql("flag")} ELSE '' END
+        || {_text_sql("8201", "seg")} || '8A01' || {_varint_sql("(strlen(c_name) + 1 + strlen('é') + 3)::BIGINT")} || '0A' || {_varint_sql("strlen(c_name)")} || hex(encode(c_name)) || '0A' || '02' || hex(encode('é'))
+        || '9001' || {_varint_sql("nk")} AS wire FROM c)
+    SELECT c_custkey, wire FROM m
+    """
+)
+def wire_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as protobuf messages: numbers, texts, absent fields, a nested message of repeated texts, and one number whose 0 is kept."""
+    key = F.col("c_custkey")
+    segment = F.when(key % 4 == 0, F.lit(None)).when(key % 4 == 1, "").otherwise(F.col("c_mktsegment"))
+    names = proto.message([proto.repeated_field(1, F.array(F.col("c_name"), F.lit("é")))])
+    fields = [proto.number_field(1, key), proto.bytes_field(2, F.col("c_name")), proto.number_field(3, key % 3), proto.bytes_field(16, segment), proto.bytes_field(17, names), proto.number_field(18, F.col("c_nationkey"), keep_default=True)]
+    return _table(spark, d, "customer").select("c_custkey", F.hex(proto.message(fields)).alias("wire"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftwork.plans.filters import search_predicate
 from weftwork.plans.schema import Catalogue
+from weftwork.session import shared_folder
 
 PREVIEW, PAGE, LEAST_CHARACTERS = 10, 50, 2
 
@@ -29,16 +30,19 @@ def hits(catalogue: Catalogue, name: str, query: str, label: str | None = None,
 
 
 def grouped(catalogue: Catalogue, names: list[str], query: str, preview: int = PREVIEW, tier: str = "public") -> DataFrame:
-    """The first hits of each entity, by name and id, with each one's total, in one plan."""
-    ranked = []
-    for place, name in enumerate(names):
-        # A limit per entity keeps the window over a few rows; totals come from one count.
-        found = hits(catalogue, name, query, tier=tier)
-        total = found.groupBy("type").agg(F.count(F.lit(1)).alias("total"))
-        first = found.orderBy("name", "id").limit(preview)
-        ranked.append(first.join(total, "type").withColumn("place", F.lit(place)))
-    rows = reduce(DataFrame.unionByName, ranked)
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy("name", "id")))
+    """The first hits of each entity, by name and id, with each one's total.
+
+    Entities are scanned once: their hits, a few narrow columns, are stored, and firsts and totals come from there.
+    """
+    found = [hits(catalogue, name, query, tier=tier).withColumn("place", F.lit(place)) for place, name in enumerate(names)]
+    every = reduce(DataFrame.unionByName, found)
+    path = shared_folder(every.sparkSession, "hits")
+    every.write.parquet(path)
+    stored = every.sparkSession.read.schema(every.schema).parquet(path)
+    # Tasks keep the first rows of each type before anything is shuffled.
+    first = stored.withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy("name", "id"))).where(F.col("rank") <= preview)
+    totals = stored.groupBy("type").agg(F.count(F.lit(1)).alias("total"))
+    return first.join(totals, "type").select("type", "id", "name", "total", "place", "rank")
 
 
 def page(catalogue: Catalogue, name: str, query: str, offset: int = 0, size: int = PAGE, tier: str = "public") -> tuple[DataFrame, int]:
