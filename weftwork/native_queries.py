@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from weftwork.functions import format as fmt
 from weftwork.functions import text
-from weftwork.operators import nested, search
+from weftwork.operators import details, diff, joins, nested, search
 from weftwork.plans import cost
 from weftwork.plans.filters import compile_filters
 from weftwork.plans.schema import NATIVE_DDL, Catalogue, driver_catalogue, native_entities
@@ -281,15 +281,119 @@ def strip_control_texts(spark: SparkSession, d: str) -> DataFrame:
 # Estimates and completions.
 
 
+_SIZES = (
+    "('org', 704, 8448), ('net', 1664, 2560), ('fac', 1344, 3392), ('ix', 1280, 2688), ('poc', 384, 2752), ('ixlan', 576, 2560), ('ixpfx', 384, 2240), ('netixlan', 640, 4928), "
+    "('netfac', 384, 4736), ('ixfac', 384, 4416), ('carrier', 512, 1664), ('carrierfac', 320, 3520), ('campus', 576, 2688)"
+)
+
+
+@register(
+    f"WITH n AS ({' UNION ALL '.join(f"SELECT '{t}' AS type, count(*) AS n FROM {table}" for t, (table, _) in VIEWS.items())})\n"
+    f"SELECT type, n * plain AS plain, n * expanded AS expanded FROM (VALUES {_SIZES}) v(type, plain, expanded) JOIN n USING (type)"
+)
+def budget_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """What the rows of each type come to, flat and with their sets."""
+    tables = catalogue(spark, d).tables
+    counted = [tables[t].agg((F.count(F.lit(1)) * cost.row_bytes(t)).alias("plain"), (F.count(F.lit(1)) * cost.row_bytes(t, 1)).alias("expanded")).select(F.lit(t).alias("type"), "*") for t in VIEWS]
+    return reduce(DataFrame.unionByName, counted)
+
+
+# Details at depth 1, detail services, relation lists, search hits with details, differences of tables.
+
+
+def _detail_flat(name: str, parent: str, key: str, sets: str, over: str = "") -> None:
+    """Register depth 1 of a type: a parent's name, and of each set the ids in order; a set over a bridge keeps what the bridge names."""
+    pairs, bridges = ([p.split(":") for p in part.split()] for part in (sets, over))
+    made = [f"(SELECT p.name FROM {parent} p WHERE p.id = e.{key}) AS {parent}_name"] if parent else []
+    made += [f"coalesce((SELECT string_agg(c.id::VARCHAR, ',' ORDER BY c.id) FROM {c} c WHERE c.{k} = e.id AND c.{_LIVE}), '') AS {c}_set" for c, k in pairs]
+    made += [f"coalesce((SELECT string_agg(b.{far}::VARCHAR, ',' ORDER BY b.id) FROM {bridge} b WHERE b.{near} = e.id AND b.{_LIVE}), '') AS {f}_set" for f, bridge, near, far in bridges]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = nested.expand(catalogue(spark, d), name, 1)
+        names = [F.col(parent)["name"].alias(f"{parent}_name")] if parent else []
+        return rows.select("id", *names, *[F.array_join(F.col(f"{c}_set").cast("array<string>"), ",").alias(f"{c}_set") for c, *_ in (*pairs, *bridges)])
+
+    run.__name__ = f"detail_flat_{name}"
+    register(f"{_WITH}\nSELECT {', '.join(['e.id', *made])} FROM {name} e WHERE e.{_LIVE}")(run)
+
+
+_detail_flat("org", "", "", "net:org_id fac:org_id ix:org_id carrier:org_id campus:org_id")
+_detail_flat("net", "org", "org_id", "poc:net_id netfac:net_id netixlan:net_id")
+_detail_flat("ix", "org", "org_id", "ixlan:ix_id", "fac:ixfac:ix_id:fac_id")
+_detail_flat("ixlan", "ix", "ix_id", "ixpfx:ixlan_id", "net:netixlan:ixlan_id:net_id")
+_detail_flat("carrier", "org", "org_id", "carrierfac:carrier_id")
+_detail_flat("campus", "org", "org_id", "fac:campus_id")
+
+
+@register(
+    f"""{_WITH}
+    SELECT e.id, coalesce((SELECT p.name FROM org p WHERE p.id = e.org_id), '') AS org_name, (SELECT count(*) FROM poc c WHERE c.net_id = e.id AND c.{_LIVE}) AS poc_count,
+           (SELECT coalesce(sum(speed), 0) FROM netixlan c WHERE c.net_id = e.id AND c.{_LIVE})::BIGINT AS aggregate_bandwidth FROM net e WHERE e.{_LIVE}"""
+)
+def service_net(spark: SparkSession, d: str) -> DataFrame:
+    return details.details(catalogue(spark, d), "net").select("id", "org_name", "poc_count", "aggregate_bandwidth")
+
+
+@register(
+    f"""{_WITH}
+    SELECT e.id, (SELECT count(*) FROM ixpfx c JOIN ixlan v ON c.ixlan_id = v.id WHERE v.ix_id = e.id AND c.{_LIVE} AND v.{_LIVE}) AS prefix_count,
+           (SELECT coalesce(sum(speed), 0) FROM netixlan c JOIN ixlan v ON c.ixlan_id = v.id WHERE v.ix_id = e.id AND c.{_LIVE} AND v.{_LIVE})::BIGINT AS aggregate_bandwidth FROM ix e WHERE e.{_LIVE}"""
+)
+def service_ix(spark: SparkSession, d: str) -> DataFrame:
+    return details.details(catalogue(spark, d), "ix").select("id", "prefix_count", "aggregate_bandwidth")
+
+
+@register(
+    f"""{_WITH}
+    SELECT e.id, {', '.join(f"(SELECT count(*) FROM {c} c WHERE c.org_id = e.id AND c.{_LIVE}) AS {label}_count" for c, label in (("net", "networks"), ("ix", "exchanges"), ("fac", "facilities"), ("campus", "campuses"), ("carrier", "carriers")))}
+    FROM org e WHERE e.{_LIVE}"""
+)
+def service_org(spark: SparkSession, d: str) -> DataFrame:
+    return details.details(catalogue(spark, d), "org").select("id", "networks_count", "exchanges_count", "facilities_count", "campuses_count", "carriers_count")
+
+
+@register(
+    f"""{_WITH}
+    SELECT f.fac_id AS owner, f.id, row_number() OVER (PARTITION BY f.fac_id ORDER BY n.name NULLS FIRST, f.id) AS pos
+    FROM netfac f LEFT JOIN net n ON n.id = f.net_id WHERE f.{_LIVE} AND f.fac_id IS NOT NULL QUALIFY pos <= 101"""
+)
+def relation_first_page(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of every facility's networks, by the network's name, with one row more."""
+    rows = details.related_rows(catalogue(spark, d), "fac", "networks")
+    top = joins.top_per_group(rows, ["owner"], details.relation_order("fac", "networks"), details.FRAGMENT + 1, "pos")
+    return top.select("owner", "id", F.col("pos").cast("bigint").alias("pos"))
+
+
+@register(
+    "\nUNION ALL ".join(
+        [f"{_WITH}\nSELECT 'net' AS type, id, name, '' AS country, '' AS city, asn::BIGINT AS number FROM net WHERE {_LIVE} AND contains(lower(name), '12')"]
+        + [f"SELECT '{t}', id, name, '', '', 0::BIGINT FROM {t} WHERE {_LIVE} AND contains(lower(name), '12')" for t in ("fac", "ix")]
+    )
+)
+def search_details(spark: SparkSession, d: str) -> DataFrame:
+    cat = catalogue(spark, d)
+    return reduce(DataFrame.unionByName, [search.hits(cat, t, "12", details=True) for t in ("net", "fac", "ix")])
+
+
+_LEFT = "'{\"a\":1' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ',\"b\":2' END || '}'"
+_RIGHT = "'{\"a\":1,\"b\":2' || CASE WHEN o_orderkey % 5 = 0 THEN ',\"c\":3' ELSE '' END || '}'"
+
+
 @register(
     """
-    SELECT * FROM (VALUES ('org', 704, 8448), ('net', 1664, 2560), ('fac', 1344, 3392), ('ix', 1280, 2688), ('poc', 384, 2752), ('ixlan', 576, 2560), ('ixpfx', 384, 2240), ('netixlan', 640, 4928),
-    ('netfac', 384, 4736), ('ixfac', 384, 4416), ('carrier', 512, 1664), ('carrierfac', 320, 3520), ('campus', 576, 2688), ('anything', 4096, 4096)) v(type, plain, expanded)
+    SELECT 'orders' AS type, count(*) FILTER (WHERE k % 7 <> 0) AS left_rows, count(*) AS right_rows, count(*) FILTER (WHERE k % 7 = 0) AS only_right,
+           'a=' || count(*) FILTER (WHERE k % 7 = 0) || ',b=' || count(*) FILTER (WHERE k % 7 = 0 OR k % 3 = 0) || ',c=' || count(*) FILTER (WHERE k % 5 = 0) AS fields
+    FROM (SELECT o_orderkey AS k FROM orders)
     """
 )
-def budget_sizes(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(name, cost.row_bytes(name), cost.row_bytes(name, 1)) for name in (*VIEWS, "anything")]
-    return spark.createDataFrame(rows, "type string, plain int, expanded int")
+def diff_report(spark: SparkSession, d: str) -> DataFrame:
+    """What a report says of two captures of the orders as JSON objects."""
+    orders = _table(spark, d, "orders").select("o_orderkey")
+    left = orders.where("o_orderkey % 7 <> 0").select("o_orderkey", F.expr(_LEFT).alias("j"))
+    right = orders.select("o_orderkey", F.expr(_RIGHT).alias("j"))
+    rows = diff.report({"orders": (left, right)}, "o_orderkey", "j")
+    shown = F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return rows.withColumn("fields", shown)
 
 
 _COMPLETED = {"customer": ("c_custkey", "c_name", "c_mktsegment"), "supplier": ("s_suppkey", "s_name"), "part": ("p_partkey", "p_name", "p_brand", "p_type")}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -128,6 +129,29 @@ def compare_schemas(reference: T.DataType, actual: T.DataType, path: str = "") -
     return [] if type(reference) is type(actual) else [(path, "type_mismatch")]
 
 
+def summary(left: DataFrame, right: DataFrame, key: str, json: str) -> DataFrame:
+    """One row of what a report says of two tables of JSON objects: left_rows, right_rows, only_right and, as a map, fields with the
+    number of right rows that have them where the left row lacks them."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    entry = F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "n")))).alias("fields")
+    # Four tables of one row each.
+    one = count(left, "left_rows")
+    for other in (count(right, "right_rows"), count(only_in(right, left, key), "only_right"), field_presence(left, right, key, json).agg(entry)):
+        one = one.crossJoin(other)
+    return one
+
+
+def report(pairs: dict[str, tuple[DataFrame, DataFrame]], key: str, json: str) -> DataFrame:
+    """(type, left_rows, right_rows, only_right, fields) of pairs of tables; ``as_types`` makes a report's input of it."""
+    rows = [summary(left, right, key, json).select(F.lit(name).alias("type"), "*") for name, (left, right) in pairs.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def as_types(rows: DataFrame) -> dict[str, dict[str, Any]]:
+    """What ``markdown_report`` and ``json_report`` format: one entry a type."""
+    return {r["type"]: {k: v for k, v in r.asDict().items() if k != "type"} for r in rows.collect()}
+
+
 def markdown_report(types: dict[str, dict[str, Any]]) -> str:
     """A small report of diff results, a table for each type."""
     out = ["# Differences", ""]
