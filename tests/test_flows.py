@@ -140,6 +140,9 @@ def test_address_bits_against_the_standard_library(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", net.address_bits(F.col("t")).alias("b"))
     assert [(r["t"], r["b"] and tuple(r["b"])) for r in df.collect()] == [(t, want(t)) for t in texts]
     assert "Python" not in df._jdf.queryExecution().toString()
+    order = df.select("t", net.address_number(F.col("t")).alias("n")).where("n IS NOT NULL").orderBy("n.family", "n.high", "n.low").collect()
+    numbers = [(ipaddress.ip_address(r["t"]).version, int(ipaddress.ip_address(r["t"]))) for r in order]
+    assert numbers == sorted(numbers)
 
 
 def test_prefix_bits_against_the_standard_library(spark):

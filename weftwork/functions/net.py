@@ -74,6 +74,13 @@ def address_bits(address: Column) -> Column:
     return F.when(F.contains(address, F.lit(":")), _ipv6_bits(address)).otherwise(_let(ipv4_number(address), four))
 
 
+def address_number(address: Column) -> Column:
+    """The same with both longs shifted so that their order as signed numbers is that of the addresses."""
+    lowest = F.lit(-(1 << 63)).cast("bigint")
+    shifted = lambda b: F.when(b.isNotNull(), F.struct(b["family"].alias("family"), b["high"].bitwiseXOR(lowest).alias("high"), b["low"].bitwiseXOR(lowest).alias("low")))
+    return _let(address_bits(address), shifted)
+
+
 def _mask(bits: Column) -> Column:
     """A long whose first ``bits`` bits are set: none below 1, all from 64 on."""
     ones = F.lit(-1).cast("bigint")
