@@ -86,6 +86,21 @@ def test_children_wait_and_late_ones_never_pass(spark, tmp_path):
     assert {r["id"]: r["v"] for r in merge.newest_version(spark, f"{tmp_path}/table", schema).collect()} == {1: "second", 2: "here"}
 
 
+def test_children_wait_in_a_join_of_streams(spark, tmp_path):
+    """No Python and no call a parent; values pass unchanged, a parent that arrives again passes nothing again."""
+    children, parent = streams(spark, tmp_path, [[(k, k % 2, T0, 'a"\n', T0) for k in range(20)]], [[(0, T0), (0, T0), (5, T0)]])
+    passed = parents.waiting_children(children.drop("arrived"), parent, "p", "id", "k", "updated", shares=3)
+    assert "InPandas" not in passed._jdf.queryExecution().analyzed().toString()
+    seen = []
+    for again in (False, True):
+        if again:
+            spark.createDataFrame([(0, T0), (1, T0)], "k long, arrived timestamp").write.parquet(f"{tmp_path}/parent7")
+        batch = lambda df, n: seen.append(sorted((r["state"], r["id"], r["updated"], r["v"]) for r in df.collect()))
+        assert passed.writeStream.foreachBatch(batch).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination(150)
+    at = spark.createDataFrame([(T0,)], "t timestamp").first()["t"]
+    assert seen == [[("kept", k, at, 'a"\n') for k in range(first, 20, 2)] for first in (0, 1)]
+
+
 def test_timers_end_the_wait(spark, tmp_path):
     hour = lambda n: T0 + timedelta(hours=n)
     children, parent = streams(spark, tmp_path, [[(1, 7, T0, "gone", hour(0)), (2, 8, T0, "here", hour(0))]], [[(8, hour(0))]])

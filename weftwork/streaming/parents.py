@@ -1,9 +1,12 @@
 """Children wait for their parents: a stateful stream.
 
-State is keyed by parent: whether it was seen, the children that wait for it, and the newest update of every child.  A child
-passes once its parent is there, each newer update of it once more, late ones never; a timer ends the wait of what
-never finds its parent, and it passes as an orphan.  A parent's children are dealt over ``shares`` keys by a hash of their id, so a parent with very many
-isn't one key; the parent itself goes to all of them.
+A child passes once its parent is there, as does each further update of it.  Without an end of the wait this is a join of two streams,
+whose state holds both sides by parent: no Python, and no call for each parent.  Late updates pass the join, and the merge drops them.
+
+With an end of the wait, state is keyed by parent in a processor: whether it was seen, the children that wait for it, and the newest update of every child, so late
+ones never pass; a timer ends the wait of what never finds its parent, and it passes as an orphan.  That is one Python call for each parent of a batch.
+
+A parent's children are dealt over ``shares`` keys by a hash of their id, so a parent with very many isn't one key; the parent itself goes to all of them.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZForm
 
 
 class Waiting(StatefulProcessor):
-    """Rows of a parent's share of children; with ``wait_ms``, so long after the first of them arrived they pass as orphans."""
+    """Rows of a parent's share of children; ``wait_ms`` after the first of them arrived they pass as orphans."""
 
-    def __init__(self, wait_ms: int | None):
+    def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -60,7 +63,7 @@ class Waiting(StatefulProcessor):
                 out.append(("kept", child, updated, row))
             else:
                 self.held.updateValue((child,), (updated, row))
-        if self.wait_ms is not None and not there and len(children) and not waiting:
+        if not there and len(children) and not waiting:
             first = int(children["arrived"].min().timestamp() * 1000)
             self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs()) + self.wait_ms)
         if out:
@@ -88,24 +91,29 @@ def waiting_children(children: DataFrame, parents: DataFrame, fk: str, key: str,
     Children without an id, a key or an update pass nowhere.  With ``arrived``, a column of event time in both streams, children whose
     parent is still missing ``wait_ms`` later by the watermark pass as orphans; without it they wait.
     """
+    parent, share = F.col(fk).cast("long").alias("parent"), F.pmod(F.xxhash64(key), F.lit(shares)).cast("int").alias("share")
+    every_share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+    left = children.where(F.col(fk).isNotNull() & F.col(key).isNotNull() & F.col(updated).isNotNull())
+    if arrived is None:
+        # A parent counts once, however often it arrives.
+        once = parents.select(F.col(parent_key).cast("long").alias("parent")).where("parent IS NOT NULL").dropDuplicates(["parent"])
+        rows = left.select(parent, share, F.struct(*children.columns).alias("r"))
+        return rows.join(once.select("parent", every_share), ["parent", "share"]).select(F.lit("kept").alias("state"), "r.*")
     ship_package(children.sparkSession)
-    at = F.col(arrived) if arrived else F.lit(None)
     given = F.struct(*[c for c in children.columns if c != arrived])
-    left = children.where(F.col(fk).isNotNull() & F.col(key).isNotNull() & F.col(updated).isNotNull())
     left = left.select(
-        F.col(fk).cast("long").alias("parent"), F.pmod(F.xxhash64(key), F.lit(shares)).cast("int").alias("share"), F.lit(False).alias("is_parent"), F.col(key).cast("long").alias("id"),
-        F.col(updated).cast("timestamp").alias("updated"), F.to_json(given, _JSON).alias("row"), at.cast("timestamp").alias("arrived"),
+        parent, share, F.lit(False).alias("is_parent"), F.col(key).cast("long").alias("id"),
+        F.col(updated).cast("timestamp").alias("updated"), F.to_json(given, _JSON).alias("row"), F.col(arrived).cast("timestamp").alias("arrived"),
     )
     right = parents.select(
-        F.col(parent_key).cast("long").alias("parent"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(True).alias("is_parent"), F.lit(None).cast("long").alias("id"),
-        F.lit(None).cast("timestamp").alias("updated"), F.lit(None).cast("string").alias("row"), at.cast("timestamp").alias("arrived"),
+        F.col(parent_key).cast("long").alias("parent"), every_share, F.lit(True).alias("is_parent"), F.lit(None).cast("long").alias("id"),
+        F.lit(None).cast("timestamp").alias("updated"), F.lit(None).cast("string").alias("row"), F.col(arrived).cast("timestamp").alias("arrived"),
     )
-    if arrived:
-        left, right = (side.withWatermark("arrived", "0 seconds") for side in (left, right))
+    left, right = (side.withWatermark("arrived", "0 seconds") for side in (left, right))
     passed = (
         left.unionByName(right)
         .groupBy("parent", "share")
-        .transformWithStateInPandas(statefulProcessor=Waiting(wait_ms if arrived else None), outputStructType=T.StructType.fromDDL(PASSED), outputMode="Append", timeMode="EventTime" if arrived else "None")
+        .transformWithStateInPandas(statefulProcessor=Waiting(wait_ms), outputStructType=T.StructType.fromDDL(PASSED), outputMode="Append", timeMode="EventTime")
     )
     schema = T.StructType([f for f in children.schema.fields if f.name != arrived])
     return passed.select("state", F.from_json("row", schema, _JSON).alias("r")).select("state", "r.*")
