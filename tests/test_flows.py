@@ -130,6 +130,33 @@ def test_structure(spark):
     assert {tuple(r) for r in structure.compare_paths(structure.paths(left, "j"), other).collect()} == {("$", "type_mismatch")}
 
 
+def test_structure_of_shapes(spark, tmp_path):
+    """Equal shapes are walked once, whatever their values; names and values that look like JSON, escapes, spaces and long strings."""
+    texts = [
+        r' { "a\"#:1" : "x\\" , "b c":[ -1.5e+3,0 , true,false,null,"]" ], "{\u0041":{"":[[ ],{ }]} } ', r'{"t":"tru\ne","n":"null, 1: [{","0":"\"0\"","e":"","l":null,"x":12345678901234567890123}',
+        '{"k":"' + "ab\\n" * 50_000 + '"}', "null", " 7 ", '"s"', "[1, [2, [3]]]", '[true, 1] x "', '{"a":1,"a":2}', "[1,]", "{'a':1}", "01", "NaN", "", '"\x01"',
+    ]
+
+    def walk(value, path, out):
+        kind = {dict: "object", list: "array", str: "string", bool: "bool", type(None): "null"}.get(type(value), "number")
+        out.append((path, kind))
+        for key, inner in value.items() if kind == "object" else [(None, v) for v in value] if kind == "array" else []:
+            walk(inner, f"{path}[]" if key is None else f"{path}.{key}", out)
+
+    import json
+    from collections import Counter
+
+    want: list = []
+    for text in texts[:8]:
+        # What follows the first value of a text is not looked at.
+        walk(json.JSONDecoder().raw_decode(text.strip())[0], "$", want)
+    df = spark.createDataFrame([(t,) for t in texts for _ in range(2)], "j string")
+    found = {(r["path"], r["kind"]): r["n"] for r in structure.paths(df, "j").collect()}
+    assert found == {k: 2 * n for k, n in Counter(want).items()}
+    numbered = spark.range(1000).selectExpr("concat('{\"a\":', id, ',\"b\":[\"', id, '\",', IF(id % 2 = 0, 'true', 'false'), ']}') AS j")
+    assert numbered.select(structure.shape_of(F.col("j"))).distinct().count() == 1
+
+
 def test_address_bits_against_the_standard_library(spark):
     """Every spelling: what is an address, and its bits."""
     import ipaddress

@@ -1,7 +1,9 @@
 """Structure of JSON columns over whole tables: which paths there are, of which kinds, and how two tables differ.
 
-Texts become variants and are walked level by level: a level's objects and arrays are exploded into the next one, so
-every row counts and no value comes to the driver.  Array elements share a path (``[]``).
+Texts are reduced to shapes, in which every number is 0, every string empty and every boolean true, and equal shapes are counted
+in one pass over the table.  Shapes are walked level by level: a level's objects and arrays are exploded, equal parts of
+a path counted again and stored, so no level is computed twice, every row counts and no value comes to the driver.  Array
+elements share a path (``[]``).
 """
 
 from __future__ import annotations
@@ -9,35 +11,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A variant's type, as its schema begins, and the kind that it counts as; other types are numbers.
-KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "bool", "VOID": "null"}
+from weftwork.session import shared_folder
+
+#: A shape's first character and the kind that it counts as.
+KINDS = {"{": "object", "[": "array", '"': "string", "t": "bool", "n": "null", "0": "number"}
 CONTAINERS = ("object", "array")
+#: Possessive, so long strings need neither stack nor backtracking.
+_INSIDE = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+
+
+def shape_of(json: Column) -> Column:
+    """A valid JSON text without space between its parts and without its values: fields keep their names, values their kinds.
+
+    Control characters can't occur in a valid text but as space, so one of them can mark the ends of values.
+    """
+    bare = F.regexp_replace(json, F.lit(rf'("{_INSIDE}")[ \t\r\n]*+(:)|("){_INSIDE}(")|[ \t\r\n]++'), F.lit("$1$2$3$4"))
+    marked = F.regexp_replace(bare, F.lit(rf'("{_INSIDE}"|null)|(?:tru|fals)(e)|[-0-9][-+.eE0-9]*+'), F.lit("$1$2\x01"))
+    for end, value in (('"', '"'), ("l", "l"), ("e", "true"), ("", "0")):
+        marked = F.replace(marked, F.lit(f"{end}\x01"), F.lit(value))
+    return marked
 
 
-def kind_of(variant: Column) -> Column:
+def kind_of(shape: Column) -> Column:
     """object, array, string, bool, null or number."""
-    starts = F.regexp_extract(F.schema_of_variant(variant), "^[A-Z]+", 0)
-    out = F.lit("number")
-    for name, kind in KINDS.items():
-        out = F.when(starts == name, kind).otherwise(out)
+    first = F.substring(shape, 1, 1)
+    out = F.lit(None)
+    for begins, kind in KINDS.items():
+        out = F.when(first == begins, kind).otherwise(out)
     return out
 
 
 def paths(df: DataFrame, json: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(``by``, path, kind, n): how often each kind of value stands at each path of a column of JSON texts.
 
-    Null texts, and texts that aren't JSON, have no structure.  The walk ends with the deepest value; a level costs
-    one look whether there is another.
+    Null texts, and texts that aren't JSON, have no structure.  The walk ends with the deepest value; a level is one job.
     """
-    tables = df.sparkSession.tvf
-    level = df.select(*by, F.lit("$").alias("path"), F.try_parse_json(json).alias("v")).where("v IS NOT NULL").withColumn("kind", kind_of(F.col("v")))
-    found = level.groupBy(*by, "path", "kind").agg(F.count(F.lit(1)).alias("n"))
-    while not (inner := level.where(F.col("kind").isin(*CONTAINERS))).isEmpty():
+    spark, root = df.sparkSession, shared_folder(df.sparkSession, "shapes")
+    level = df.where(F.try_parse_json(json).isNotNull()).select(*by, F.lit("$").alias("path"), shape_of(F.col(json)).alias("shape"), F.lit(1).cast("long").alias("n"))
+    found: DataFrame | None = None
+    depth = 0
+    while True:
+        counted = level.groupBy(*by, "path", "shape").agg(F.sum("n").alias("n")).withColumn("kind", kind_of(F.col("shape")))
+        counted.write.parquet(f"{root}/{depth}")
+        stored = spark.read.schema(counted.schema).parquet(f"{root}/{depth}")
+        here = stored.groupBy(*by, "path", "kind").agg(F.sum("n").alias("n"))
+        found = here if found is None else found.unionByName(here)
+        inner = stored.where(F.col("kind").isin(*CONTAINERS))
+        if inner.isEmpty():
+            return found
         inside = F.when(F.col("kind") == "array", F.lit("[]")).otherwise(F.concat(F.lit("."), F.col("key")))
-        exploded = inner.lateralJoin(tables.variant_explode(F.col("v").outer()))
-        level = exploded.select(*by, F.concat("path", inside).alias("path"), F.col("value").alias("v")).withColumn("kind", kind_of(F.col("v")))
-        found = found.unionByName(level.groupBy(*by, "path", "kind").agg(F.count(F.lit(1)).alias("n")))
-    return found
+        exploded = inner.withColumn("v", F.parse_json("shape")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        level = exploded.select(*by, F.concat("path", inside).alias("path"), F.to_json("value").alias("shape"), "n")
+        depth += 1
 
 
 def compare_paths(reference: DataFrame, actual: DataFrame) -> DataFrame:
