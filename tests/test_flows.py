@@ -157,6 +157,15 @@ def test_structure_of_shapes(spark, tmp_path):
     assert numbered.select(structure.shape_of(F.col("j"))).distinct().count() == 1
 
 
+def test_levels_are_walked_from_stored_shapes(spark, tmp_path):
+    """Grouped paths; what is returned doesn't read the table again for each level."""
+    spark.range(100).selectExpr("id % 2 AS g", "concat('{\"a\":[', id, ',{\"b\":', id, '}]}') AS j").write.parquet(f"{tmp_path}/t")
+    found = structure.paths(spark.read.parquet(f"{tmp_path}/t"), "j", ("g",))
+    want = {("$", "object"), ("$.a", "array"), ("$.a[]", "number"), ("$.a[]", "object"), ("$.a[].b", "number")}
+    assert {tuple(r) for r in found.collect()} == {(g, path, kind, 50) for g in (0, 1) for path, kind in want}
+    assert not [f for f in found.inputFiles() if str(tmp_path) in f]
+
+
 def test_address_bits_against_the_standard_library(spark):
     """Every spelling: what is an address, and its bits."""
     import ipaddress
