@@ -166,6 +166,28 @@ def test_levels_are_walked_from_stored_shapes(spark, tmp_path):
     assert not [f for f in found.inputFiles() if str(tmp_path) in f]
 
 
+def test_pages_are_compressed_and_staging_adds_no_shuffle(spark, tmp_path):
+    import glob
+
+    from weftwork.sources import envelope
+
+    rows = spark.range(2000).selectExpr("id", "concat('name of ', id) AS name", "timestamp'2024-01-01' AS updated")
+    envelope.write_pages(rows, f"{tmp_path}/pages", F.floor(F.col("id") / 250))
+    files = glob.glob(f"{tmp_path}/pages/part-*")
+    assert files and all(f.endswith(".gz") for f in files)
+    read = envelope.read_pages(spark, f"{tmp_path}/pages", rows.schema)
+    store = merge.Store(spark, f"{tmp_path}/store", {"org": rows.schema})
+    written = []
+    plain = merge.Store._dealt
+    try:
+        merge.Store._dealt = lambda self, df, path: (written.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange ")), plain(self, df, path))[1]
+        staged = store.stage("v", "org", merge.newest_arrivals(read))
+    finally:
+        merge.Store._dealt = plain
+    assert written == [1] and sorted(tuple(r) for r in staged.collect()) == sorted(tuple(r) for r in rows.collect())
+    assert len(store.touched("v", "org")) == 16
+
+
 def test_address_bits_against_the_standard_library(spark):
     """Every spelling: what is an address, and its bits."""
     import ipaddress

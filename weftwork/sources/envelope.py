@@ -27,10 +27,10 @@ def read_native(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def write_pages(df: DataFrame, path: str, page: Column, meta: Mapping[str, Any] | None = None) -> None:
-    """Envelopes of pages, one a line, written by the executors; rows of a page are those of one value."""
+    """Envelopes of pages, one a line, written compressed by the executors; rows of a page are those of one value."""
     head = F.struct(F.col("_page").alias("page"), *[F.lit(v).alias(k) for k, v in (meta or {}).items()])
     pages = df.select(page.alias("_page"), F.struct(*df.columns).alias("_row")).groupBy("_page").agg(F.collect_list("_row").alias("data"))
-    pages.select(F.to_json(F.struct(head.alias("meta"), "data")).alias("value")).write.text(path)
+    pages.select(F.to_json(F.struct(head.alias("meta"), "data")).alias("value")).write.option("compression", "gzip").text(path)
 
 
 def read_pages(spark: SparkSession, path: str, row: T.StructType) -> DataFrame:

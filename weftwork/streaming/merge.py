@@ -245,15 +245,18 @@ class Store:
 
     def _dealt(self, df: DataFrame, path: str) -> list[str]:
         """Write rows by bucket and name the folders made; another try overwrites the first."""
-        df.withColumn(BUCKET, bucket_of("id", self.buckets)).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/{path}")
+        df.withColumn(BUCKET, bucket_of("id", self.buckets)).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/{path}")
         return [n for n in self._names(path) if n.startswith(BUCKET)]
 
     def write(self, version: str, name: str, df: DataFrame) -> dict[str, str]:
         """Write some buckets of a type for a version; their places."""
-        return dict.fromkeys(self._dealt(df.select(*self.schema(name).names), f"versions/{version}/{name}"), version)
+        return dict.fromkeys(self._dealt(df.select(*self.schema(name).names).withColumn(BUCKET, bucket_of("id", self.buckets)).hint("rebalance", BUCKET), f"versions/{version}/{name}"), version)
 
     def stage(self, version: str, name: str, df: DataFrame) -> DataFrame:
-        """Write arrivals beside the versions, by bucket, and read them back, which cuts the lineage."""
+        """Write arrivals beside the versions, by bucket, and read them back, which cuts the lineage.
+
+        They live for a cycle, so they aren't shuffled again for fewer files.
+        """
         self._dealt(df, f"staging/{version}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/staging/{version}/{name}").select(*df.columns)
 
