@@ -166,6 +166,24 @@ def test_levels_are_walked_from_stored_shapes(spark, tmp_path):
     assert not [f for f in found.inputFiles() if str(tmp_path) in f]
 
 
+def test_rows_are_outlined_by_one_replacement(spark, tmp_path):
+    """Equal outlines are counted before anything is parsed; texts that the pattern doesn't reach the end of are parsed, and valid texts aren't confused with odd ones."""
+    import re
+
+    spark.range(1000).selectExpr("concat('{\"a\":', id, ',\"b\":[\"', id, '\",', IF(id % 2 = 0, 'true', 'false'), ']}') AS j").write.parquet(f"{tmp_path}/t")
+    counted = structure.outlines(spark.read.parquet(f"{tmp_path}/t"), "j")
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_replace\(", plan)) == 1
+    assert [r["n"] for r in counted.collect()] == [1000]
+    valid = ["7", "1e9999999999", "9" * 150, "null\x03x", "-0.5e+07 ", "true", '"x"', "[1] x", '[1] \x01', '{"e\\u0001":1,"tru":[true,"e"]}', "[" + "9" * 150 + "]", '["' + "x" * (structure.SHORT + 1) + '"]', "[" + ",".join(["null", "true", '"a"'] * 9000) + "]"]
+    odd = ["7.", "07", "7-8", "7x", "[1.5.5]", "[tru\x01]", "[\x01]", "\x01", '"\x01', '"\x01"', "e\x01", "[1e5e]", "[truefalse]", "[1 2]", r'["\x"]', r'["\u12"]', "[--1]", "[nulltrue]", '{"a":1,"a":"b"}', "[" + "1" * 1100 + ".5]"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(valid + odd)], "id int, j string")
+    assert {r["id"] for r in df.where(F.try_parse_json("j").isNotNull()).collect()} == set(range(len(valid)))
+    found = structure.paths(df, "j", ("id",)).where("path = '$'").collect()
+    kinds = ["number", "number", "number", "null", "number", "bool", "string", "array", "array", "object", "array", "array", "array"]
+    assert sorted((r["id"], r["kind"], r["n"]) for r in found) == [(k, kind, 1) for k, kind in enumerate(kinds)]
+
+
 def test_pages_are_compressed_and_staging_adds_no_shuffle(spark, tmp_path):
     import glob
 

@@ -1,9 +1,9 @@
 """Structure of JSON columns over whole tables: which paths there are, of which kinds, and how two tables differ.
 
-Texts are reduced to shapes, in which every number is 0, every string empty and every boolean true, and equal shapes are counted
-in one pass over the table.  Shapes are walked level by level: a level's objects and arrays are exploded, equal parts of
-a path counted again and stored, so no level is computed twice, every row counts and no value comes to the driver.  Array
-elements share a path (``[]``).
+One pass over the table replaces the values of each text by marks and counts equal outlines.  Only these are parsed and brought
+to shapes, in which every number is 0, every string empty and every boolean true.  Shapes are walked level by level: a
+level's objects and arrays are exploded, equal parts of a path counted again and stored, so no level is computed twice, every
+row counts and no value comes to the driver.  Array elements share a path (``[]``).
 """
 
 from __future__ import annotations
@@ -18,6 +18,34 @@ KINDS = {"{": "object", "[": "array", '"': "string", "t": "bool", "n": "null", "
 CONTAINERS = ("object", "array")
 #: Possessive, so long strings need neither stack nor backtracking.
 _INSIDE = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+#: Strings and numbers that are valid for certain; longer numbers may pass the parser's limits.
+_STRICT = r'[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+'
+_NUMBER = r"-?+(?:0|[1-9][0-9]{0,99}+)(?:\.[0-9]{1,99}+)?+(?:[eE][-+]?+[0-9]{1,9}+)?+(?![-+.eE0-9])"
+#: What stands before a value, and the value; each match begins where the last one ended, so none begins inside a string.
+_VALUE = rf'\G((?:[\[\]{{}},: \t\r\n]++|"{_STRICT}"[ \t\r\n]*+:|null)*+)(?:(")(?:{_STRICT})"|{_NUMBER}|(?:tru|fals)(e)|(\x03)\z)'
+#: Bytes up to which no text passes the parser's limits for strings and variants.
+SHORT = 1 << 20
+
+
+def outlines(df: DataFrame, json: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(``by``, shape, n): equal texts without their values, counted; null for some texts that aren't JSON.
+
+    One replacement finds an outline and parses nothing but texts whose end the pattern doesn't reach, and very long
+    ones.  ``text_of`` turns it into a text that is valid if and only if the whole one is, and of the same shape.
+    """
+    texts = df.select(*by, F.col(json).alias("shape"))
+    ended = F.concat(F.replace("shape", F.lit("\x01"), F.lit("\x02")), F.lit("\x03"))
+    # Two steps, or Spark finds the outline twice.
+    marked = texts.withColumn("path", F.regexp_replace(ended, F.lit(_VALUE), F.lit("$1$2$3$4\x01")))
+    plain = F.endswith("path", F.lit("\x03\x01")) & (F.octet_length("shape") <= SHORT)
+    return marked.select(*by, F.when(plain | F.try_parse_json("shape").isNotNull(), F.col("path")).alias("shape")).groupBy(*by, "shape").agg(F.count(F.lit(1)).alias("n"))
+
+
+def text_of(outline: Column) -> Column:
+    """A JSON text for an outline."""
+    for mark, value in (("\x03\x01", ""), ("\x03", " "), ('"\x01', '""'), ("e\x01", "true"), ("\x01", "0")):
+        outline = F.replace(outline, F.lit(mark), F.lit(value))
+    return outline
 
 
 def shape_of(json: Column) -> Column:
@@ -47,13 +75,15 @@ def paths(df: DataFrame, json: str, by: tuple[str, ...] = ()) -> DataFrame:
     Null texts, and texts that aren't JSON, have no structure.  The walk ends with the deepest value; a level is one job.
     """
     spark, root = df.sparkSession, shared_folder(df.sparkSession, "shapes")
-    level = df.where(F.try_parse_json(json).isNotNull()).select(*by, F.lit("$").alias("path"), shape_of(F.col(json)).alias("shape"), F.lit(1).cast("long").alias("n"))
+    text = text_of(F.col("shape"))
+    level = outlines(df, json, by).select(*by, F.lit("$").alias("path"), F.when(F.try_parse_json(text).isNotNull(), shape_of(text)).alias("shape"), "n")
     found: DataFrame | None = None
     depth = 0
     while True:
         counted = level.groupBy(*by, "path", "shape").agg(F.sum("n").alias("n")).withColumn("kind", kind_of(F.col("shape")))
         counted.write.parquet(f"{root}/{depth}")
-        stored = spark.read.schema(counted.schema).parquet(f"{root}/{depth}")
+        # Not before: Spark would move the condition below the counts, to every row.
+        stored = spark.read.schema(counted.schema).parquet(f"{root}/{depth}").where("shape IS NOT NULL")
         here = stored.groupBy(*by, "path", "kind").agg(F.sum("n").alias("n"))
         found = here if found is None else found.unionByName(here)
         inner = stored.where(F.col("kind").isin(*CONTAINERS))
