@@ -7,6 +7,7 @@ import native
 import pytest
 from pyspark.sql import types as T
 
+from weftwork.operators import joins
 from weftwork.plans.schema import NATIVE_DDL
 from weftwork.sources import envelope
 from weftwork.streaming import merge
@@ -123,6 +124,33 @@ def test_backfill(spark, tmp_path):
             assert asked == ([("net", [10])] if n == 1 else [])
 
 
+@pytest.mark.parametrize("most, broadcast", [(100, True), (1, False)])
+def test_many_keys_arent_broadcast(spark, tmp_path, monkeypatch, most, broadcast):
+    """The driver builds what is broadcast, so keys above a number are shuffled, though Spark takes them for small; rows are the same."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", most, raising=False)
+    plans = {}
+    for step, named in (("stage", lambda version, name: name), ("write", lambda version, name: f"{name}.merged")):
+        plain = getattr(merge.Store, step)
+
+        def noted(store, version, name, df, plain=plain, named=named):
+            plans[named(version, name)] = df._jdf.queryExecution().executedPlan().toString()
+            return plain(store, version, name, df)
+
+        monkeypatch.setattr(merge.Store, step, noted)
+    known, store = native.catalogue(spark).tables, merge.Store(spark, str(tmp_path))
+    merge.run_cycle(store, {n: known[n] for n in ("org", "fac", "ix", "ixlan", "net")})
+    plans.clear()
+    spots = [dict(id=i, net_id=n, ixlan_id=x, net_side_id=s) for i, n, x, s in [(1, 10, 21, 30), (2, 98, 22, 77), (3, 99, 21, None), (4, 97, 21, None), (5, 11, 29, 31)]]
+    found = native.frame(spark, "net", [dict(id=98, org_id=1, name="Found"), dict(id=99, org_id=1, name="Found")])
+    result = merge.run_cycle(store, {"netixlan": native.frame(spark, "netixlan", spots)}, lookup=lambda name, ids: found if name == "net" else known[name])
+    assert {(r["id"], r["net_side_id"]) for r in store.read("netixlan").collect()} == {(1, 30), (2, None), (3, None)}
+    assert result.backfilled["net"] == 2 and result.orphans == {("netixlan", "net", "net_id", "drop"): 1, ("netixlan", "ixlan", "ixlan_id", "drop"): 1, ("netixlan", "fac", "net_side_id", "null"): 1}
+    assert {name: "Broadcast" in plans[name] for name in ("net.asked", "net.found", "netixlan.merged")} == dict.fromkeys(("net.asked", "net.found", "netixlan.merged"), broadcast)
+    checked, orphans = merge.check_keys("netixlan", native.frame(spark, "netixlan", spots), {n: store.read(n) for n in ("net", "ixlan", "fac")})
+    assert checked.count() == 3 and orphans.count() == 3
+    assert ("Broadcast" in checked._jdf.queryExecution().executedPlan().toString()) == broadcast
+
+
 def test_null_and_zero_keys_stay(spark, tmp_path):
     """A null required key counts as 0, as 0 it passes; an optional one may be null or 0."""
     store = merge.Store(spark, str(tmp_path))

@@ -7,6 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: rows of keys up to which Spark may broadcast them; one takes 35 to 50 bytes on the driver.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(keys: DataFrame, rows: int | None = None) -> DataFrame:
+    """Keys to join with, which Spark is kept from broadcasting where they are many.
+
+    Spark guesses their size from the compressed files, by the share that the key has in the declared width of a row; for a
+    wide table, mostly nulls, that is far less than what the driver needs to build them.  They are counted unless
+    their number is given, which of a Parquet table reads footers only.
+    """
+    return keys if (keys.count() if rows is None else rows) <= BROADCAST_ROWS else keys.hint("merge")
+
 
 def with_parent(df: DataFrame, fk: str, parents: DataFrame, key: str, alias: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Left join to one parent, as a struct; null where there is none."""

@@ -111,6 +111,7 @@ def optional_keys(name: str) -> list[tuple[str, str]]:
 def marked_keys(name: str, source: DataFrame, parents: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[tuple[str, str, str, str], Column]]:
     """The source with a mark ``_no_<key>`` for each key whose parent is missing, and what each kind of orphan is.
 
+    The parents are best ``joins.bounded``, so that the driver holds no large ones.
     Key 0 and null are none: a null required key is stored as 0.  A row counts with its first missing required key
     only, and its optional keys count if the row stays.
     """
@@ -120,8 +121,8 @@ def marked_keys(name: str, source: DataFrame, parents: Mapping[str, DataFrame])
         for fk, parent in keys:
             if action == "drop":
                 source = source.withColumn(fk, F.coalesce(fk, F.lit(0)))
-            ids = parents[parent].select(F.col("id").alias("_p")).withColumn("_hit", F.lit(True))
-            source = source.join(ids, F.col(fk) == F.col("_p"), "left").withColumn(f"_no_{fk}", F.col("_hit").isNull() & (F.coalesce(fk, F.lit(0)) != 0)).drop("_p", "_hit")
+            ids = parents[parent].select(F.col("id").alias("_p"))
+            source = source.join(ids, F.col(fk) == F.col("_p"), "left").withColumn(f"_no_{fk}", F.col("_p").isNull() & (F.coalesce(fk, F.lit(0)) != 0)).drop("_p")
             kinds[name, parent, fk, action] = stays & F.col(f"_no_{fk}")
             stays = stays & ~F.col(f"_no_{fk}") if action == "drop" else stays
     return source, kinds
@@ -139,7 +140,7 @@ def without_orphans(name: str, marked: DataFrame) -> DataFrame:
 def check_keys(name: str, source: DataFrame, parents: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(rows to merge, orphans): a required key without parent drops the row, an optional one
     becomes null.  Key 0 and null pass."""
-    marked, kinds = marked_keys(name, source, parents)
+    marked, kinds = marked_keys(name, source, {p: joins.bounded(parents[p].select("id")) for _, p in (*required_keys(name), *optional_keys(name))})
     described = [F.when(is_one, F.struct(*[F.lit(v).alias(k) for k, v in zip(("child", "parent", "field", "action"), kind)])) for kind, is_one in kinds.items()]
     if not described:
         return source, source.sparkSession.createDataFrame([], "child string, parent string, field string, action string")
@@ -363,18 +364,19 @@ def backfill(
         wanted = asked[0]
         for more in asked[1:]:
             wanted = wanted.union(more)
-        missing = joins.orphans(wanted.where("id > 0").distinct(), "id", store.read(parent).select("id"))
+        here = store.read(parent).select("id")
         if parent in staged:
-            missing = joins.orphans(missing, "id", staged[parent].select("id"))
-        keys = store.stage(version, f"{parent}.asked", missing)
+            here = here.union(staged[parent].select("id"))
+        keys = store.stage(version, f"{parent}.asked", joins.orphans(wanted.where("id > 0").distinct(), "id", joins.bounded(here)))
         n = keys.count()
         if n == 0:
             continue
         if n > left:
             # Numbered by ranges: a list of the first ``left`` keys need not fit in a task.
             keys = paging.numbered(keys, ["id"], "_at").where(F.col("_at") < left).drop("_at")
-        left -= min(n, left)
-        rows = store.stage(version, f"{parent}.found", newest_arrivals(lookup(parent, keys).join(keys, "id", "left_semi")))
+        n = min(n, left)
+        left -= n
+        rows = store.stage(version, f"{parent}.found", newest_arrivals(lookup(parent, keys).join(joins.bounded(keys, n), "id", "left_semi")))
         found[parent] = rows.count()
         out[parent] = out[parent].unionByName(rows) if parent in out else rows
     return out, found
@@ -429,10 +431,11 @@ def _merge_staged(store: Store, version: str, staged: Mapping[str, DataFrame], f
         staged, found = backfill(store, version, staged, lookup, most, until)
     places = {name: dict(own) for name, own in store.places(store.current()).items()}
     written: dict[str, dict[str, str]] = {}
+    ids: dict[str, DataFrame] = {}
 
     def merge_type(name: str) -> tuple[int, dict[tuple[str, str, str, str], int]]:
         touched, own = store.touched(version, name, f"{name}.found"), places.get(name, {})
-        marked, kinds = marked_keys(name, staged[name], {p: store.rows(p, places.get(p, {})) for _, p in (*required_keys(name), *optional_keys(name))})
+        marked, kinds = marked_keys(name, staged[name], ids)
         if not touched:
             written[name] = {}
             return 0, {}
@@ -453,6 +456,8 @@ def _merge_staged(store: Store, version: str, staged: Mapping[str, DataFrame], f
     counts: dict[str, int] = {}
     lost: dict[tuple[str, str, str, str], int] = {}
     for group in levels(staged):
+        parents = {p for name in group for _, p in (*required_keys(name), *optional_keys(name))} - set(ids)
+        ids |= at_once(store.spark, sorted(parents), lambda p: joins.bounded(store.rows(p, places.get(p, {})).select("id")))
         for name, (rows, orphans) in at_once(store.spark, group, merge_type).items():
             counts[name] = rows
             lost |= orphans
